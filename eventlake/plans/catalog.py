@@ -1,6 +1,702 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the event-log operators over the driver's tables, each with its SQL.
+
+events is the log of users (see sources.adapters), orders a second leader's log, documents and
+pages the bodies for search.  Snapshots are taken where 10 divides a version; the tracking table
+holds, for two followers, the notifications they have processed.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import base64
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventlake.functions import codec, ids, topics
+from eventlake.operators import folds, history, reads, search, snapshots, versions
+from eventlake.plans import scratch
+from eventlake.sources import adapters
+from eventlake.sources.log import EventLog
+from eventlake.streaming import folds as stream_folds
+from eventlake.streaming.system import Node, SingleThreadedRunner, StreamingRunner, System
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+AS_OF = "2024-01-10 00:00:00"
+KEY = base64.b64encode(bytes(range(32))).decode()  # a key for the example queries only
+
+_SE = """
+    WITH se AS (
+        SELECT CAST(user_id AS VARCHAR) AS originator_id,
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS originator_version,
+               event_type AS topic, ts, CAST(value AS DECIMAL(12,2)) AS amount,
+               CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id + 1 AS notification_id
+        FROM events
+    ),
+    tracking AS (
+        SELECT 'events' AS application_name, notification_id FROM se WHERE notification_id % 3 <> 0
+        UNION ALL SELECT 'orders', o_orderkey + 1 FROM orders WHERE o_orderkey % 2 = 0
+    )
+"""
+
+
+#: Decimal columns leave the queries as doubles: drivers print decimals differently.
+_DOUBLES = {
+    "amount": """select_events_asc select_events_desc_limit select_events_gt_lte latest_event_per_aggregate last_event_lte_version
+        select_notifications select_notifications_stop select_notifications_topics json_state_round_trip remote_log_round_trip
+        aes_round_trip zlib_round_trip gzip_aes_round_trip policy_emit""".split(),
+    "balance": """log_join_state state_current state_at_version state_at_timestamp running_balance overdraft_violations
+        state_after_discarding snapshot_every_n replay_from_snapshot replay_from_snapshot_at_version fast_forward_delta take_snapshot""".split(),
+    "total": ["hof_fold_equals_sql", "pandas_fold_equals_sql", "stream_stateful_totals"],
+    "last_purchase": ["last_value_fold"],
+}
+
+
+def query(sql: str):
+    """Registers a query under its name, with its SQL over se (stored events) and tracking."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        doubles = [c for c, names in _DOUBLES.items() if f.__name__ in names]
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("double") for c in doubles}) if doubles else out
+
+        QUERIES[f.__name__] = run
+        replaced = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in doubles)
+        ORACLES[f.__name__] = f"SELECT * REPLACE ({replaced}) FROM ({_SE}{sql})" if doubles else _SE + sql
+        return f
+
+    return add
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.events_as_stored(spark, sf)
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    return adapters.events_as_notifications(spark, sf)
+
+
+def _tracking(spark: SparkSession, sf: str) -> DataFrame:
+    own = _log(spark, sf).where("notification_id % 3 <> 0").select(F.lit("events").alias("application_name"), "notification_id")
+    other = adapters.orders_as_notifications(spark, sf).where("(notification_id - 1) % 2 = 0")
+    return own.unionByName(other.select(F.lit("orders").alias("application_name"), "notification_id"))
+
+
+BALANCE = F.sum(F.col("amount").cast("decimal(28,2)"))  # gives decimal(38,2)
+ACCOUNT = folds.AggregateSpec(
+    "User",
+    {
+        "balance": BALANCE,
+        "last_topic": folds.last_value(F.col("topic")),
+        "n_events": folds.counter(),
+        "n_purchases": folds.counter(F.col("topic") == "purchase"),
+        "is_flagged": folds.flag(F.col("topic") == "error"),
+    },
+    tuple(folds.EventType(t) for t in ("click", "error", "purchase", "signup", "view")),
+)
+_STATE = """
+    originator_id, max(originator_version) AS version, min_by(ts, originator_version) AS created_on,
+    max_by(ts, originator_version) AS modified_on, CAST(sum(amount) AS DECIMAL(38,2)) AS balance,
+    max_by(topic, originator_version) AS last_topic, count(*) AS n_events,
+    count(*) FILTER (topic = 'purchase') AS n_purchases, bool_or(topic = 'error') AS is_flagged
+"""
+
+# -- reads ---------------------------------------------------------------------------------------
+
+
+@query("SELECT originator_id, originator_version, topic, amount FROM se WHERE originator_id = '7'")
+def select_events_asc(spark, sf):
+    return reads.select_events(_stored(spark, sf), "7").select("originator_id", "originator_version", "topic", "amount")
+
+
+@query("SELECT originator_id, originator_version, topic, amount FROM se WHERE originator_id = '7' ORDER BY originator_version DESC LIMIT 5")
+def select_events_desc_limit(spark, sf):
+    return reads.select_events(_stored(spark, sf), "7", desc=True, limit=5).select("originator_id", "originator_version", "topic", "amount")
+
+
+@query("SELECT originator_id, originator_version, topic, amount FROM se WHERE originator_version > 3 AND originator_version <= 9")
+def select_events_gt_lte(spark, sf):
+    return reads.select_events(_stored(spark, sf), gt=3, lte=9).select("originator_id", "originator_version", "topic", "amount")
+
+
+@query("SELECT originator_id, originator_version, topic, amount FROM se QUALIFY row_number() OVER (PARTITION BY originator_id ORDER BY originator_version DESC) = 1")
+def latest_event_per_aggregate(spark, sf):
+    return reads.last_events(_stored(spark, sf).select("originator_id", "originator_version", "topic", "amount"))
+
+
+@query(
+    "SELECT originator_id, originator_version, topic, amount FROM se WHERE originator_version <= 20 "
+    "QUALIFY row_number() OVER (PARTITION BY originator_id ORDER BY originator_version DESC) = 1"
+)
+def last_event_lte_version(spark, sf):
+    return reads.last_events(_stored(spark, sf).select("originator_id", "originator_version", "topic", "amount"), lte=20)
+
+
+@query("SELECT notification_id, originator_id, topic, amount FROM se WHERE notification_id >= 101 ORDER BY notification_id LIMIT 50")
+def select_notifications(spark, sf):
+    return reads.select_notifications(_log(spark, sf), 101, 50).select("notification_id", "originator_id", "topic", "amount")
+
+
+@query("SELECT notification_id, originator_id, topic, amount FROM se WHERE notification_id BETWEEN 101 AND 600 ORDER BY notification_id LIMIT 1000")
+def select_notifications_stop(spark, sf):
+    return reads.select_notifications(_log(spark, sf), 101, 1000, stop=600).select("notification_id", "originator_id", "topic", "amount")
+
+
+@query(
+    "SELECT notification_id, originator_id, topic, amount FROM se WHERE notification_id >= 101 AND topic IN ('purchase', 'signup') "
+    "ORDER BY notification_id LIMIT 100"
+)
+def select_notifications_topics(spark, sf):
+    return reads.select_notifications(_log(spark, sf), 101, 100, topics=("purchase", "signup")).select("notification_id", "originator_id", "topic", "amount")
+
+
+@query("SELECT coalesce(max(notification_id), 0) AS max_notification_id FROM se")
+def max_notification_id(spark, sf):
+    return reads.max_notification_id(_log(spark, sf))
+
+
+@query("SELECT application_name, max(notification_id) AS max_tracking_id FROM tracking GROUP BY 1")
+def max_tracking_per_app(spark, sf):
+    return reads.max_tracking_ids(_tracking(spark, sf))
+
+
+@query("SELECT coalesce(max(notification_id), 0) AS max_tracking_id FROM tracking WHERE application_name = 'nobody'")
+def max_tracking_of_unknown_app(spark, sf):
+    return reads.max_tracking_ids(_tracking(spark, sf), "nobody")
+
+
+@query("SELECT 'events' AS application_name, notification_id FROM se WHERE EXISTS (SELECT 1 FROM tracking t WHERE t.application_name = 'events' AND t.notification_id = se.notification_id)")
+def has_tracking_ids(spark, sf):
+    asked = _log(spark, sf).select(F.lit("events").alias("application_name"), "notification_id")
+    return reads.tracked(asked, _tracking(spark, sf))
+
+
+@query("SELECT notification_id, topic FROM se WHERE NOT EXISTS (SELECT 1 FROM tracking t WHERE t.application_name = 'events' AND t.notification_id = se.notification_id)")
+def unprocessed_notifications(spark, sf):
+    return reads.unprocessed(_log(spark, sf).select("notification_id", "topic"), _tracking(spark, sf), "events")
+
+
+@query(
+    "SELECT (notification_id - 1) // 10 AS section_no, min(notification_id) || ',' || max(notification_id) AS section_id, "
+    "CASE WHEN count(*) = 10 THEN (max(notification_id) + 1) || ',' || (max(notification_id) + 10) END AS next_id, count(*) AS n_items FROM se GROUP BY 1"
+)
+def log_sections(spark, sf):
+    return reads.sections(_log(spark, sf), 10)
+
+
+@query(
+    ", g AS (SELECT notification_id, row_number() OVER (ORDER BY notification_id) - 1 AS r FROM se WHERE topic = 'view') "
+    "SELECT r // 10 AS section_no, min(notification_id) || ',' || max(notification_id) AS section_id, "
+    "CASE WHEN count(*) = 10 THEN (max(notification_id) + 1) || ',' || (max(notification_id) + 10) END AS next_id, count(*) AS n_items FROM g GROUP BY 1"
+)
+def log_sections_with_gaps(spark, sf):
+    rows = reads.ranked(_log(spark, sf).where("topic = 'view'").select("notification_id"))
+    return reads.sections(rows, 10, F.col("rank_"))
+
+
+@query("SELECT notification_id, topic FROM se WHERE notification_id >= 500")
+def log_reader(spark, sf):
+    return reads.read_log(_log(spark, sf), 500).select("notification_id", "topic")
+
+
+@query("SELECT originator_id, min_by(topic, originator_version) AS first_topic, max_by(topic, originator_version) AS last_topic FROM se GROUP BY 1")
+def log_first_last(spark, sf):
+    return reads.first_and_last(_stored(spark, sf), "topic")
+
+
+@query(
+    ", st AS (SELECT originator_id, sum(amount) AS balance FROM se GROUP BY 1) "
+    "SELECT notification_id, se.originator_id, CAST(balance AS DECIMAL(38,2)) AS balance FROM se JOIN st USING (originator_id) WHERE notification_id > 10 AND notification_id <= 500"
+)
+def log_join_state(spark, sf):
+    states = _log(spark, sf).groupBy("originator_id").agg(BALANCE.alias("balance"))
+    return reads.entries_with_state(_log(spark, sf).select("notification_id", "originator_id"), states, gt=10, lte=500).select("notification_id", "originator_id", "balance")
+
+
+@query(
+    ", l AS (SELECT 'events' AS leader_name, max(notification_id) AS m FROM se UNION ALL SELECT 'orders', max(o_orderkey + 1) FROM orders), "
+    "t AS (SELECT application_name, max(notification_id) AS t FROM tracking GROUP BY 1) "
+    "SELECT leader_name, m AS max_notification_id, coalesce(t, 0) AS max_tracking_id, m - coalesce(t, 0) AS lag FROM l LEFT JOIN t ON application_name = leader_name"
+)
+def follower_lag(spark, sf):
+    logs = _log(spark, sf).select(F.lit("events").alias("leader_name"), "notification_id")
+    orders = adapters.orders_as_notifications(spark, sf).select(F.lit("orders").alias("leader_name"), "notification_id")
+    return reads.lag(logs.unionByName(orders), _tracking(spark, sf))
+
+
+# -- folds ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {_STATE} FROM se GROUP BY originator_id")
+def state_current(spark, sf):
+    return folds.project(_stored(spark, sf), ACCOUNT)
+
+
+@query(f"SELECT {_STATE} FROM se WHERE originator_version <= 10 GROUP BY originator_id")
+def state_at_version(spark, sf):
+    return history.state_at_version(_stored(spark, sf), ACCOUNT, 10)
+
+
+@query(f"SELECT {_STATE} FROM se WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY originator_id")
+def state_at_timestamp(spark, sf):
+    return history.state_at(_stored(spark, sf), ACCOUNT, F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+@query(f"SELECT originator_id, coalesce(max(originator_version) FILTER (ts <= TIMESTAMP '{AS_OF}'), 0) AS version FROM se GROUP BY 1")
+def version_asof_timestamp(spark, sf):
+    return history.version_at(_stored(spark, sf), F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+@query(
+    ", asked AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS originator_id, o_orderdate AS as_of FROM orders WHERE o_orderkey % 20 = 0 UNION "
+    f"SELECT DISTINCT originator_id, TIMESTAMP '{AS_OF}' FROM se) "
+    "SELECT a.originator_id, a.as_of, coalesce(max(se.originator_version), 0) AS version FROM asked a LEFT JOIN se ON se.originator_id = a.originator_id AND se.ts <= a.as_of GROUP BY 1, 2"
+)
+def version_asof_join(spark, sf):
+    orders = adapters.orders_as_notifications(spark, sf).where("(notification_id - 1) % 20 = 0").select("originator_id", F.col("timestamp").alias("as_of"))
+    users = _log(spark, sf).select("originator_id", F.lit(AS_OF).cast("timestamp_ntz").alias("as_of"))
+    return history.version_asof(orders.unionByName(users).distinct(), _stored(spark, sf))
+
+
+@query(
+    "SELECT originator_id, originator_version, CAST(sum(amount) OVER (PARTITION BY originator_id ORDER BY originator_version) AS DECIMAL(38,2)) AS balance FROM se"
+)
+def running_balance(spark, sf):
+    return folds.history(_stored(spark, sf), {"balance": BALANCE}).select("originator_id", "originator_version", "balance")
+
+
+@query("SELECT originator_id, max_by(k, originator_version) AS last_k, max_by(amount, originator_version) FILTER (topic = 'purchase') AS last_purchase FROM se GROUP BY 1")
+def last_value_fold(spark, sf):
+    fields = {"last_k": folds.last_value(F.col("k")), "last_purchase": folds.last_value(F.col("amount"), F.col("topic") == "purchase")}
+    return _stored(spark, sf).groupBy("originator_id").agg(*[c.alias(n) for n, c in fields.items()])
+
+
+@query("SELECT originator_id, string_agg(topic, ',' ORDER BY originator_version) AS topics FROM se GROUP BY 1")
+def append_fold(spark, sf):
+    return _stored(spark, sf).groupBy("originator_id").agg(F.concat_ws(",", folds.appended(F.col("topic"))).alias("topics"))
+
+
+@query("SELECT originator_id, bool_or(topic = 'signup') AS is_signed_up FROM se GROUP BY 1")
+def flag_fold(spark, sf):
+    return _log(spark, sf).groupBy("originator_id").agg(folds.flag(F.col("topic") == "signup").alias("is_signed_up"))
+
+
+@query("SELECT topic, count(*) AS n FROM se GROUP BY 1")
+def counter_fold(spark, sf):
+    return _log(spark, sf).groupBy("topic").agg(folds.counter().alias("n"))
+
+
+def _machine(state, topic, amount):
+    """An order-dependent fold: after an error nothing counts until the next signup."""
+    blocked = folds.dispatch(topic, {"error": F.lit(True), "signup": F.lit(False)}, state["blocked"])
+    total = F.when(state["blocked"], state["total"]).otherwise((state["total"] + amount).cast("decimal(38,2)"))
+    return F.struct(blocked.alias("blocked"), total.alias("total"))
+
+
+_BLOCKED = (
+    ", m AS (SELECT *, last_value(CASE WHEN topic = 'error' THEN TRUE WHEN topic = 'signup' THEN FALSE END IGNORE NULLS) "
+    "OVER (PARTITION BY originator_id ORDER BY originator_version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, "
+    "last_value(CASE WHEN topic = 'error' THEN TRUE WHEN topic = 'signup' THEN FALSE END IGNORE NULLS) OVER (PARTITION BY originator_id ORDER BY originator_version) AS after_ FROM se) "
+    "SELECT originator_id, max(originator_version) AS version, coalesce(max_by(after_, originator_version), FALSE) AS blocked, "
+    "CAST(coalesce(sum(amount) FILTER (NOT coalesce(b, FALSE)), 0) AS DECIMAL(38,2)) AS total FROM m GROUP BY 1"
+)
+
+
+@query(_BLOCKED)
+def hof_fold_equals_sql(spark, sf):
+    zero = F.struct(F.lit(False).alias("blocked"), F.lit(0).cast("decimal(38,2)").alias("total"))
+    out = folds.fold(_stored(spark, sf), zero, lambda s, e: _machine(s, e["topic"], e["amount"]), ["topic", "amount"])
+    return out.select("originator_id", "version", "state.*")
+
+
+@query(_BLOCKED)
+def pandas_fold_equals_sql(spark, sf):
+    from decimal import Decimal
+
+    def mutate(state, event):
+        blocked, total = state
+        total = total if blocked else total + event["amount"]
+        blocked = {"error": True, "signup": False}.get(event["topic"], blocked)
+        return blocked, total
+
+    return folds.fold_python(
+        _stored(spark, sf), lambda: (False, Decimal(0)), mutate, lambda s: {"blocked": s[0], "total": s[1]},
+        "blocked boolean, total decimal(38,2)", ["topic", "amount"],
+    )
+
+
+@query(
+    ", b AS (SELECT originator_id, ts AS start, ts + INTERVAL 12 HOUR AS finish FROM se WHERE topic = 'signup') "
+    "SELECT notification_id, originator_id FROM se WHERE topic = 'purchase' AND NOT EXISTS (SELECT 1 FROM b WHERE b.originator_id = se.originator_id AND b.start < se.ts AND se.ts < b.finish)"
+)
+def interval_containment(spark, sf):
+    log = _log(spark, sf)
+    booked = log.where("topic = 'signup'").select("originator_id", F.col("timestamp").alias("start"), F.expr("timestamp + interval 12 hours").alias("finish"))
+    points = log.where("topic = 'purchase'").select("notification_id", "originator_id", "timestamp")
+    return folds.uncovered(points, booked, "originator_id", "timestamp", "start", "finish").select("notification_id", "originator_id")
+
+
+@query(
+    ", r AS (SELECT originator_id, originator_version, CAST(sum(CASE WHEN topic IN ('purchase', 'error') THEN -amount ELSE amount END) "
+    "OVER (PARTITION BY originator_id ORDER BY originator_version) AS DECIMAL(38,2)) AS balance FROM se) SELECT * FROM r WHERE balance < -50"
+)
+def overdraft_violations(spark, sf):
+    delta = F.when(F.col("topic").isin("purchase", "error"), -F.col("amount")).otherwise(F.col("amount"))
+    return folds.violations(_stored(spark, sf), delta, F.lit(50)).withColumn("balance", F.col("balance").cast("decimal(38,2)"))
+
+
+@query("SELECT originator_id FROM se GROUP BY 1 HAVING max_by(topic, originator_version) = 'error'")
+def discarded_aggregates(spark, sf):
+    return folds.discarded(_stored(spark, sf), ("error",))
+
+
+@query(
+    ", d AS (SELECT originator_id, max(originator_version) AS e FROM se WHERE topic = 'error' GROUP BY 1) "
+    "SELECT originator_id, max(originator_version) AS version, CAST(sum(amount) AS DECIMAL(38,2)) AS balance FROM se LEFT JOIN d USING (originator_id) WHERE e IS NULL OR originator_version > e GROUP BY 1"
+)
+def state_after_discarding(spark, sf):
+    spec = folds.AggregateSpec("User", {"balance": BALANCE}, discarded=("error",))
+    return folds.project(_stored(spark, sf), spec).select("originator_id", "version", "balance")
+
+
+@query("SELECT originator_id FROM se WHERE originator_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0) GROUP BY 1")
+def contains_aggregates(spark, sf):
+    asked = adapters.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("originator_id"))
+    return asked.join(_log(spark, sf), "originator_id", "left_semi")
+
+
+# -- versions, conflicts, snapshots --------------------------------------------------------------
+
+_GAPPY = "(notification_id % 97 <> 0)"
+
+
+@query(
+    f", g AS (SELECT * FROM se WHERE {_GAPPY}), l AS (SELECT originator_id, originator_version, coalesce(lag(originator_version) "
+    "OVER (PARTITION BY originator_id ORDER BY originator_version) + 1, 1) AS expected_version FROM g) SELECT * FROM l WHERE originator_version <> expected_version"
+)
+def contiguity_gaps(spark, sf):
+    return versions.gaps(_stored(spark, sf).where(_GAPPY))
+
+
+_BATCH = "SELECT originator_id, originator_version FROM se WHERE notification_id % 5 = 0 UNION ALL SELECT originator_id, originator_version FROM se WHERE notification_id % 7 = 0"
+
+
+def _batch(spark, sf):
+    rows = _stored(spark, sf).select("originator_id", "originator_version", "notification_id")
+    return rows.where("notification_id % 5 = 0").unionByName(rows.where("notification_id % 7 = 0")).drop("notification_id")
+
+
+@query(f", b AS ({_BATCH}) SELECT originator_id, originator_version, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1")
+def conflict_in_batch(spark, sf):
+    return versions.conflicts_in_batch(_batch(spark, sf))
+
+
+@query(f", b AS ({_BATCH}) SELECT originator_id, originator_version FROM b WHERE EXISTS (SELECT 1 FROM se s WHERE s.originator_id = b.originator_id AND s.originator_version = b.originator_version AND s.topic = 'view')")
+def conflict_vs_table(spark, sf):
+    return versions.conflicts_with_table(_batch(spark, sf), _stored(spark, sf).where("topic = 'view'"))
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS originator_version FROM orders")
+def assign_versions(spark, sf):
+    rows = adapters.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return versions.assign_versions(rows, "o_custkey", "o_orderkey", width=1 << 16)
+
+
+@query("SELECT o_orderkey, 1000 + row_number() OVER (ORDER BY o_orderkey) AS notification_id FROM orders WHERE o_orderstatus = 'F'")
+def assign_notification_ids(spark, sf):
+    rows = adapters.table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    return versions.assign_notification_ids(rows, "o_orderkey", 1000)
+
+
+@query(
+    ", r AS (SELECT originator_id, originator_version, CAST(sum(amount) OVER (PARTITION BY originator_id ORDER BY originator_version) AS DECIMAL(38,2)) AS balance FROM se) "
+    "SELECT * FROM r WHERE originator_version % 10 = 0"
+)
+def snapshot_every_n(spark, sf):
+    return snapshots.every(_stored(spark, sf), {"balance": BALANCE}, 10).drop("timestamp")
+
+
+CONTINUED = {
+    "balance": snapshots.Continued(BALANCE, "sum"),
+    "last_topic": snapshots.Continued(folds.last_value(F.col("topic")), "last"),
+    "is_flagged": snapshots.Continued(folds.flag(F.col("topic") == "error"), "any"),
+}
+_CONTINUED = (
+    "originator_id, max(originator_version) AS version, CAST(sum(amount) AS DECIMAL(38,2)) AS balance, "
+    "max_by(topic, originator_version) AS last_topic, bool_or(topic = 'error') AS is_flagged"
+)
+_FIELDS = {n: c.over for n, c in CONTINUED.items()}
+
+
+@query(f"SELECT {_CONTINUED} FROM se GROUP BY 1")
+def replay_from_snapshot(spark, sf):
+    events = _stored(spark, sf)
+    return snapshots.replay(events, snapshots.every(events, _FIELDS, 10), CONTINUED)
+
+
+@query(f"SELECT {_CONTINUED} FROM se WHERE originator_version <= 25 GROUP BY 1")
+def replay_from_snapshot_at_version(spark, sf):
+    events = _stored(spark, sf)
+    return snapshots.replay(events, snapshots.every(events, _FIELDS, 10), CONTINUED, version=25)
+
+
+@query(f"SELECT {_CONTINUED} FROM se GROUP BY 1")
+def fast_forward_delta(spark, sf):
+    events = _stored(spark, sf)
+    old = events.where("originator_version <= 30").groupBy("originator_id").agg(F.max("originator_version").alias("version"), *[c.alias(n) for n, c in _FIELDS.items()])
+    return snapshots.fast_forward(old, events, CONTINUED)
+
+
+@query(
+    "SELECT originator_id, max(originator_version) AS originator_version, 'User' AS topic, CAST(sum(amount) AS DECIMAL(38,2)) AS balance FROM se WHERE originator_version <= 20 GROUP BY 1"
+)
+def take_snapshot(spark, sf):
+    taken = snapshots.project_snapshot(_stored(spark, sf), ACCOUNT, version=20)
+    return taken.select("originator_id", "originator_version", "topic", F.get_json_object("state", "$.balance").cast("decimal(38,2)").alias("balance"))
+
+
+# -- topics and codec ----------------------------------------------------------------------------
+
+_TOPICS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT notification_id, CASE topic WHEN 'view' THEN 'shop.model:Page.Viewed' WHEN 'click' THEN 'shop.model:Page.Clicked' ELSE topic END AS resolved FROM se")
+def topic_alias_resolve(spark, sf):
+    registry = topics.TopicRegistry({"view": "web.model:Page.Viewed", "click": "web.model:Page.Clicked", "web.model": "shop.model"})
+    return _log(spark, sf).select("notification_id", registry.column(F.col("topic"), _TOPICS).alias("resolved"))
+
+
+@query(
+    "SELECT notification_id, upper(CASE WHEN k % 4 < 3 THEN topic ELSE topic || '!' END) AS aa, CASE WHEN k % 4 < 2 THEN 0 ELSE k END AS b, "
+    "CASE WHEN k % 4 < 3 THEN 'none' ELSE topic END AS c FROM se"
+)
+def upcast_chain(spark, sf):
+    rows = _stored(spark, sf)
+    state = {"aa": F.when(F.col("k") % 4 < 3, F.col("topic")).otherwise(F.upper(F.concat("topic", F.lit("!")))), "b": F.col("k"), "c": F.col("topic")}
+    state["aa"] = F.when(F.col("k") % 4 == 0, F.col("topic")).otherwise(F.upper(state["aa"]))
+    steps = [
+        {"aa": lambda s: F.upper(s["aa"]), "b": lambda s: F.lit(0).cast("long")},
+        {"b": lambda s: F.when(F.col("k") % 4 < 2, F.lit(0).cast("long")).otherwise(s["b"])},
+        {"c": lambda s: F.lit("none")},
+    ]
+    now = topics.upcast(state, (F.col("k") % 4 + 1).cast("int"), steps)
+    return rows.select("notification_id", *[c.alias(n) for n, c in now.items()])
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_payload_extract(spark, sf):
+    return adapters.table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT notification_id, amount, ts FROM se")
+def json_state_round_trip(spark, sf):
+    log = _log(spark, sf)
+    stamp = codec.tagged("datetime_iso", codec.iso_of(F.col("timestamp").cast("timestamp")))
+    state = codec.json_state({"amount": codec.tagged("decimal_str", F.col("amount").cast("string")), "at": stamp}, class_version=2)
+    rows = log.select("notification_id", state.alias("state"))
+    amount = codec.decimal_of(codec.tag_data(F.col("state"), "$.amount", "decimal_str")).cast("decimal(12,2)")
+    at = codec.timestamp_of(codec.tag_data(F.col("state"), "$.at", "datetime_iso")).cast("timestamp_ntz")
+    return rows.select("notification_id", amount.alias("amount"), at.alias("ts"))
+
+
+@query(
+    ", h AS (SELECT DISTINCT topic, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('/slugs/' || topic)) AS h FROM se) "
+    "SELECT topic, substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', CAST(instr('0123456789abcdef', substr(h, 17, 1)) - 1 AS INT) % 4 + 1, 1) || substr(h, 18, 15) AS id FROM h"
+)
+def uuid5_ids(spark, sf):
+    return _log(spark, sf).select("topic").distinct().select("topic", ids.slug_id(F.col("topic")).alias("id"))
+
+
+@query("SELECT notification_id, to_base64(encode(topic)) AS state FROM se")
+def base64_page(spark, sf):
+    return _log(spark, sf).select("notification_id", F.base64(F.encode("topic", "UTF-8")).alias("state"))
+
+
+def _envelope(spark, sf):
+    return _stored(spark, sf).select("notification_id", "originator_id", "originator_version", "topic", F.encode(F.to_json(F.struct("amount", "k")), "UTF-8").alias("state"))
+
+
+@query("SELECT notification_id, originator_id, originator_version, topic, amount FROM se")
+def remote_log_round_trip(spark, sf):
+    rows = codec.notifications_from_json(codec.notifications_as_json(_envelope(spark, sf)))
+    amount = F.get_json_object(F.decode("state", "UTF-8"), "$.amount").cast("decimal(12,2)")
+    return rows.select("notification_id", "originator_id", "originator_version", "topic", amount.alias("amount"))
+
+
+@query("SELECT min(notification_id) || ',' || max(notification_id) AS section_id, count(*) AS n_items FROM se GROUP BY (notification_id - 1) // 10")
+def remote_sections(spark, sf):
+    rows = codec.sections_as_json(_envelope(spark, sf), 10)
+    return rows.select("section_id", F.json_array_length(F.get_json_object("json", "$.items")).cast("long").alias("n_items"))
+
+
+def _coded(spark, sf, key, compressor):
+    rows = _log(spark, sf).select("notification_id", F.to_json(F.struct("topic", "amount")).alias("state"))
+    coded = rows.select("notification_id", codec.encode_state(F.col("state"), key, compressor).alias("data"))
+    return coded.select("notification_id", F.get_json_object(codec.decode_state(F.col("data"), key, compressor), "$.amount").cast("decimal(12,2)").alias("amount"))
+
+
+@query("SELECT notification_id, amount FROM se")
+def aes_round_trip(spark, sf):
+    return _coded(spark, sf, KEY, None)
+
+
+@query("SELECT notification_id, amount FROM se")
+def zlib_round_trip(spark, sf):
+    return _coded(spark, sf, None, "zlib")
+
+
+@query("SELECT notification_id, amount FROM se")
+def gzip_aes_round_trip(spark, sf):
+    return _coded(spark, sf, KEY, "gzip")
+
+
+# -- search --------------------------------------------------------------------------------------
+
+
+def _words(sql: str) -> str:
+    return ", d AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM documents) SELECT doc_id FROM d WHERE " + sql
+
+
+@query(_words("list_contains(w, 'the') AND list_contains(w, 'and') AND list_contains(w, 'moron')"))
+def search_and(spark, sf):
+    return search.search(adapters.table(spark, sf, "documents"), "text", "the and moron").select("doc_id")
+
+
+@query(_words("(list_contains(w, 'moron') AND list_contains(w, 'the')) OR list_contains(w, 'license')"))
+def search_or(spark, sf):
+    return search.search(adapters.table(spark, sf, "documents"), "text", "moron the OR license").select("doc_id")
+
+
+@query(_words("(list_contains(w, 'moron') AND list_contains(w, 'the')) OR list_contains(w, 'license')"))
+def search_index(spark, sf):
+    index = search.postings(adapters.table(spark, sf, "documents"), "doc_id", "text")
+    return search.search_postings(index, "doc_id", "moron the OR license")
+
+
+# -- following -----------------------------------------------------------------------------------
+
+
+@query("SELECT notification_id, topic FROM se WHERE topic IN ('purchase', 'error')")
+def follow_topics_filter(spark, sf):
+    return _log(spark, sf).where(F.col("topic").isin("purchase", "error")).select("notification_id", "topic")
+
+
+@query(
+    "SELECT notification_id, originator_id, 'Receipt' AS topic, amount FROM se WHERE topic = 'purchase' "
+    "UNION ALL SELECT notification_id, originator_id, 'Alert', amount FROM se WHERE topic IN ('purchase', 'error') AND amount > 20"
+)
+def policy_emit(spark, sf):
+    receipts = F.when(F.col("topic") == "purchase", F.lit("Receipt"))
+    alerts = F.when(F.col("topic").isin("purchase", "error") & (F.col("amount") > 20), F.lit("Alert"))
+    made = F.explode(F.array_compact(F.array(receipts, alerts))).alias("topic")
+    return _log(spark, sf).select("notification_id", "originator_id", made, "amount")
+
+
+@query(
+    "SELECT 'events' AS leader_name, notification_id, originator_id FROM se UNION ALL SELECT 'orders', o_orderkey + 1, CAST(o_custkey AS VARCHAR) FROM orders"
+)
+def multi_leader_union(spark, sf):
+    one = _log(spark, sf).select(F.lit("events").alias("leader_name"), "notification_id", "originator_id")
+    return one.unionByName(adapters.orders_as_notifications(spark, sf).select(F.lit("orders").alias("leader_name"), "notification_id", "originator_id"))
+
+
+def _recorded(spark, sf, name: str) -> EventLog:
+    """The events table appended to a new log, in two commits."""
+    log = EventLog(spark, scratch.place(spark, name)).create()
+    rows = _envelope(spark, sf)
+    half = adapters.table(spark, sf, "events").agg(F.expr("max(event_id) div 2")).first()[0] + 1
+    log.append(rows.where(F.col("notification_id") <= half), order="notification_id")
+    log.append(rows.where(F.col("notification_id") > half), order="notification_id")
+    return log
+
+
+@query("SELECT notification_id, originator_id, originator_version, topic FROM se")
+def log_append_and_read(spark, sf):
+    return _recorded(spark, sf, "log").notifications().select("notification_id", "originator_id", "originator_version", "topic")
+
+
+def _receipts(rows: DataFrame, node: Node) -> DataFrame:
+    """A policy: each purchase makes a receipt, an aggregate of its own."""
+    made = rows.where("topic = 'purchase'")
+    return made.select(F.concat(F.lit("receipt-"), F.col("notification_id").cast("string")).alias("originator_id"), F.lit(1).cast("long").alias("originator_version"), F.lit("Receipt").alias("topic"), "state")
+
+
+_RECEIPTS = "SELECT 'receipt-' || notification_id AS originator_id, 1::BIGINT AS originator_version, 'Receipt' AS topic FROM se WHERE topic = 'purchase'"
+
+
+@query(_RECEIPTS)
+def system_catch_up(spark, sf):
+    shop = Node("shop", _recorded(spark, sf, "shop"))
+    receipts = Node("receipts", EventLog(spark, scratch.place(spark, "receipts")).create(), _receipts, ("purchase",))
+    SingleThreadedRunner(System({"shop": shop, "receipts": receipts}, [["shop", "receipts"]])).run()
+    return receipts.log.notifications().select("originator_id", "originator_version", "topic")
+
+
+@query(_RECEIPTS)
+def stream_catch_up(spark, sf):
+    shop = Node("shop", _recorded(spark, sf, "shop"))
+    receipts = Node("receipts", EventLog(spark, scratch.place(spark, "receipts")).create(), _receipts, ("purchase",))
+    StreamingRunner(spark, System({"shop": shop, "receipts": receipts}, [["shop", "receipts"]]), scratch.place(spark, "offsets")).run()
+    return receipts.log.notifications().select("originator_id", "originator_version", "topic")
+
+
+def _answer(topic_in: str, topic_out: str, most: int):
+    """A policy of a loop: answers events of one topic until ``most`` rounds are done."""
+
+    def policy(rows: DataFrame, node: Node) -> DataFrame:
+        due = rows.where((F.col("topic") == topic_in) & (F.col("originator_version") < most))
+        return due.select("originator_id", (F.col("originator_version") + 1).alias("originator_version"), F.lit(topic_out).alias("topic"), "state")
+
+    return policy
+
+
+@query(
+    ", u AS (SELECT DISTINCT originator_id FROM se), v AS (SELECT unnest([2, 4])::BIGINT AS originator_version) "
+    "SELECT originator_id, originator_version, 'Result' AS topic FROM u, v"
+)
+def system_feedback_loop(spark, sf):
+    commands = Node("commands", EventLog(spark, scratch.place(spark, "commands")).create(), _answer("Result", "Command", 4))
+    results = Node("results", EventLog(spark, scratch.place(spark, "results")).create(), _answer("Command", "Result", 4))
+    first = _log(spark, sf).select("originator_id").distinct()
+    commands.log.append(first.select("originator_id", F.lit(1).cast("long").alias("originator_version"), F.lit("Command").alias("topic"), F.lit(b"{}").alias("state")))
+    SingleThreadedRunner(System({"commands": commands, "results": results}, [["commands", "results", "commands"]])).run()
+    return results.log.notifications().select("originator_id", "originator_version", "topic")
+
+
+@query("SELECT originator_id, max(originator_version) AS version, CAST(sum(amount) AS DECIMAL(38,2)) AS total FROM se GROUP BY 1")
+def stream_stateful_totals(spark, sf):
+    from eventlake.sources.log_source import register
+
+    log = _recorded(spark, sf, "totals")
+    stream = register(spark).readStream.format("eventlake").option("path", log.path).load()
+    amount = F.get_json_object(F.decode("state", "UTF-8"), "$.amount").cast("decimal(38,2)").alias("amount")
+    totals = stream_folds.running_totals(stream.select("originator_id", "originator_version", amount))
+    table = stream_folds.Projection(scratch.place(spark, "totals-table"), "originator_id string, version long, total decimal(38,2)", "originator_id", "version")
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        write = totals.writeStream.outputMode("update").foreachBatch(table.upsert).option("checkpointLocation", scratch.place(spark, "totals-offsets"))
+        write.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return table.table(spark)
+
+
+@query("SELECT originator_id, max(originator_version) AS version, max_by(topic, originator_version) AS topic FROM se GROUP BY 1")
+def stream_projection(spark, sf):
+    from eventlake.sources.log_source import register
+
+    log = _recorded(spark, sf, "projection")
+    stream = register(spark).readStream.format("eventlake").option("path", log.path).option("section_size", 1).load()
+    table = stream_folds.Projection(scratch.place(spark, "projection-table"), "originator_id string, version long, topic string", "originator_id", "version")
+    rows = stream.select("originator_id", F.col("originator_version").alias("version"), "topic")
+    offsets = scratch.place(spark, "projection-offsets")
+    table.follow(rows, offsets).awaitTermination()
+    table.follow(rows, offsets).awaitTermination()  # whatever the first run's batches left
+    return table.table(spark)
+
+
