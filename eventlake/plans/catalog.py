@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.functions import codec, ids, topics
@@ -86,18 +86,25 @@ def _tracking(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(other.select(F.lit("orders").alias("application_name"), "notification_id"))
 
 
-BALANCE = F.sum(F.col("amount").cast("decimal(28,2)"))  # gives decimal(38,2)
-ACCOUNT = folds.AggregateSpec(
-    "User",
-    {
-        "balance": BALANCE,
-        "last_topic": folds.last_value(F.col("topic")),
-        "n_events": folds.counter(),
-        "n_purchases": folds.counter(F.col("topic") == "purchase"),
-        "is_flagged": folds.flag(F.col("topic") == "error"),
-    },
-    tuple(folds.EventType(t) for t in ("click", "error", "purchase", "signup", "view")),
-)
+# Expressions are made when a query runs: they need a session.
+def _balance() -> Column:
+    return F.sum(F.col("amount").cast("decimal(28,2)"))  # gives decimal(38,2)
+
+
+def _account() -> folds.AggregateSpec:
+    return folds.AggregateSpec(
+        "User",
+        {
+            "balance": _balance(),
+            "last_topic": folds.last_value(F.col("topic")),
+            "n_events": folds.counter(),
+            "n_purchases": folds.counter(F.col("topic") == "purchase"),
+            "is_flagged": folds.flag(F.col("topic") == "error"),
+        },
+        tuple(folds.EventType(t) for t in ("click", "error", "purchase", "signup", "view")),
+    )
+
+
 _STATE = """
     originator_id, max(originator_version) AS version, min_by(ts, originator_version) AS created_on,
     max_by(ts, originator_version) AS modified_on, CAST(sum(amount) AS DECIMAL(38,2)) AS balance,
@@ -213,7 +220,7 @@ def log_first_last(spark, sf):
     "SELECT notification_id, se.originator_id, CAST(balance AS DECIMAL(38,2)) AS balance FROM se JOIN st USING (originator_id) WHERE notification_id > 10 AND notification_id <= 500"
 )
 def log_join_state(spark, sf):
-    states = _log(spark, sf).groupBy("originator_id").agg(BALANCE.alias("balance"))
+    states = _log(spark, sf).groupBy("originator_id").agg(_balance().alias("balance"))
     return reads.entries_with_state(_log(spark, sf).select("notification_id", "originator_id"), states, gt=10, lte=500).select("notification_id", "originator_id", "balance")
 
 
@@ -233,17 +240,17 @@ def follower_lag(spark, sf):
 
 @query(f"SELECT {_STATE} FROM se GROUP BY originator_id")
 def state_current(spark, sf):
-    return folds.project(_stored(spark, sf), ACCOUNT)
+    return folds.project(_stored(spark, sf), _account())
 
 
 @query(f"SELECT {_STATE} FROM se WHERE originator_version <= 10 GROUP BY originator_id")
 def state_at_version(spark, sf):
-    return history.state_at_version(_stored(spark, sf), ACCOUNT, 10)
+    return history.state_at_version(_stored(spark, sf), _account(), 10)
 
 
 @query(f"SELECT {_STATE} FROM se WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY originator_id")
 def state_at_timestamp(spark, sf):
-    return history.state_at(_stored(spark, sf), ACCOUNT, F.lit(AS_OF).cast("timestamp_ntz"))
+    return history.state_at(_stored(spark, sf), _account(), F.lit(AS_OF).cast("timestamp_ntz"))
 
 
 @query(f"SELECT originator_id, coalesce(max(originator_version) FILTER (ts <= TIMESTAMP '{AS_OF}'), 0) AS version FROM se GROUP BY 1")
@@ -266,7 +273,7 @@ def version_asof_join(spark, sf):
     "SELECT originator_id, originator_version, CAST(sum(amount) OVER (PARTITION BY originator_id ORDER BY originator_version) AS DECIMAL(38,2)) AS balance FROM se"
 )
 def running_balance(spark, sf):
-    return folds.history(_stored(spark, sf), {"balance": BALANCE}).select("originator_id", "originator_version", "balance")
+    return folds.history(_stored(spark, sf), {"balance": _balance()}).select("originator_id", "originator_version", "balance")
 
 
 @query("SELECT originator_id, max_by(k, originator_version) AS last_k, max_by(amount, originator_version) FILTER (topic = 'purchase') AS last_purchase FROM se GROUP BY 1")
@@ -359,7 +366,7 @@ def discarded_aggregates(spark, sf):
     "SELECT originator_id, max(originator_version) AS version, CAST(sum(amount) AS DECIMAL(38,2)) AS balance FROM se LEFT JOIN d USING (originator_id) WHERE e IS NULL OR originator_version > e GROUP BY 1"
 )
 def state_after_discarding(spark, sf):
-    spec = folds.AggregateSpec("User", {"balance": BALANCE}, discarded=("error",))
+    spec = folds.AggregateSpec("User", {"balance": _balance()}, discarded=("error",))
     return folds.project(_stored(spark, sf), spec).select("originator_id", "version", "balance")
 
 
@@ -417,45 +424,51 @@ def assign_notification_ids(spark, sf):
     "SELECT * FROM r WHERE originator_version % 10 = 0"
 )
 def snapshot_every_n(spark, sf):
-    return snapshots.every(_stored(spark, sf), {"balance": BALANCE}, 10).drop("timestamp")
+    return snapshots.every(_stored(spark, sf), {"balance": _balance()}, 10).drop("timestamp")
+
+
+def _continued() -> dict[str, snapshots.Continued]:
+    return {
+        "balance": snapshots.Continued(_balance(), "sum"),
+        "last_topic": snapshots.Continued(folds.last_value(F.col("topic")), "last"),
+        "is_flagged": snapshots.Continued(folds.flag(F.col("topic") == "error"), "any"),
+    }
+
+
+def _fields() -> dict[str, Column]:
+    return {n: c.over for n, c in _continued().items()}
 
 
-CONTINUED = {
-    "balance": snapshots.Continued(BALANCE, "sum"),
-    "last_topic": snapshots.Continued(folds.last_value(F.col("topic")), "last"),
-    "is_flagged": snapshots.Continued(folds.flag(F.col("topic") == "error"), "any"),
-}
 _CONTINUED = (
     "originator_id, max(originator_version) AS version, CAST(sum(amount) AS DECIMAL(38,2)) AS balance, "
     "max_by(topic, originator_version) AS last_topic, bool_or(topic = 'error') AS is_flagged"
 )
-_FIELDS = {n: c.over for n, c in CONTINUED.items()}
 
 
 @query(f"SELECT {_CONTINUED} FROM se GROUP BY 1")
 def replay_from_snapshot(spark, sf):
     events = _stored(spark, sf)
-    return snapshots.replay(events, snapshots.every(events, _FIELDS, 10), CONTINUED)
+    return snapshots.replay(events, snapshots.every(events, _fields(), 10), _continued())
 
 
 @query(f"SELECT {_CONTINUED} FROM se WHERE originator_version <= 25 GROUP BY 1")
 def replay_from_snapshot_at_version(spark, sf):
     events = _stored(spark, sf)
-    return snapshots.replay(events, snapshots.every(events, _FIELDS, 10), CONTINUED, version=25)
+    return snapshots.replay(events, snapshots.every(events, _fields(), 10), _continued(), version=25)
 
 
 @query(f"SELECT {_CONTINUED} FROM se GROUP BY 1")
 def fast_forward_delta(spark, sf):
     events = _stored(spark, sf)
-    old = events.where("originator_version <= 30").groupBy("originator_id").agg(F.max("originator_version").alias("version"), *[c.alias(n) for n, c in _FIELDS.items()])
-    return snapshots.fast_forward(old, events, CONTINUED)
+    old = events.where("originator_version <= 30").groupBy("originator_id").agg(F.max("originator_version").alias("version"), *[c.alias(n) for n, c in _fields().items()])
+    return snapshots.fast_forward(old, events, _continued())
 
 
 @query(
     "SELECT originator_id, max(originator_version) AS originator_version, 'User' AS topic, CAST(sum(amount) AS DECIMAL(38,2)) AS balance FROM se WHERE originator_version <= 20 GROUP BY 1"
 )
 def take_snapshot(spark, sf):
-    taken = snapshots.project_snapshot(_stored(spark, sf), ACCOUNT, version=20)
+    taken = snapshots.project_snapshot(_stored(spark, sf), _account(), version=20)
     return taken.select("originator_id", "originator_version", "topic", F.get_json_object("state", "$.balance").cast("decimal(38,2)").alias("balance"))
 
 
