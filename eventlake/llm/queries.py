@@ -77,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-# op3, op7, op8, op9 and op10 learn, plan or tokenise; op2 parses; op6 hashes with XXH64: no SQL.
+# op1 fills its table by turns; op2 parses; op3, op8 and op9 learn; op6 hashes with XXH64; op7 and op10 tokenise: no SQL.
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
         WITH t AS (
@@ -86,9 +86,18 @@ ORACLES: dict[str, str] = {
             FROM documents
         ), r AS (
             SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-                   row_number() OVER w AS at
+                   row_number() OVER w AS rank_
             FROM t WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
         )
-        SELECT doc_id, keep_id, group_size, at = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+        SELECT doc_id, keep_id, group_size, rank_ = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+    """,
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((('0x' || substr(s, (5 * i) // 4 + 1, 2))::INT >> (3 - (5 * i) % 4)::INT) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p
     """,
 }
