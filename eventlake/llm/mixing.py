@@ -13,7 +13,7 @@ rate after k steps follows from its posteriors and k vectors of as many numbers
 domains, so each step is one aggregation over the table of documents and only these vectors come
 to the driver.  All of it is DataFrame expressions.
 
-Tokens are words [^\\x20\\x09-\\x0D]+.  Bounds: ``most_labelled`` rows, chosen by a hash of the id, are
+Tokens and marker words are runs of [^\\x20\\x09-\\x0D].  Bounds: ``most_labelled`` rows, chosen by a hash of the id, are
 read for marker words; ``markers`` words a domain and 64 bins a statistic bound the model.
 
 Defined results: null and empty texts have 0 tokens and rate 1 within the bounds of their domain.
@@ -30,9 +30,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.sample import bounded
 from eventlake.plans import scratch
 
-_SPACES = r"[\x20\x09-\x0D]"
+_SPACES = r"[\x20\x09-\x0D]+"
 _BINS = 64
 #: Binned statistics; each expression gives a whole number.
 _STATISTICS = {
@@ -44,19 +45,24 @@ _STATISTICS = {
 }
 
 
+def _without(text: Column, characters: str) -> Column:
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), characters, text)
+
+
 def _measured(rows: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
     """rows (with text_) plus tokens_ and bins_, an array of bins: statistics, then a domain's marker words each."""
     text = F.coalesce(F.col("text_"), F.lit(""))
-    words = F.array_distinct(F.split(F.lower(text), r"[\x00-@\[-`{-~]+"))
-    counted = rows.withColumns(
+    counted = rows.withColumn("all_", F.split(F.lower(text), _SPACES))
+    blank = lambda at: F.when(F.element_at("all_", at) == "", 1).otherwise(0)  # noqa: E731  before a first or after a last space
+    counted = counted.withColumns(
         {
-            "tokens_": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
-            "chars_": (F.length(text) - F.regexp_count(text, F.lit(_SPACES))).cast("long"),
-            "symbols_": F.regexp_count(text, F.lit(r"[#*$%&|<>]")),
-            "shouts_": F.regexp_count(text, F.lit("!")),
-            "words_": words,
+            "tokens_": F.greatest(F.size("all_") - blank(1) - blank(-1), F.lit(0)).cast("long"),
+            "chars_": F.length(text),
+            "symbols_": F.length(text) - F.length(_without(text, "#*$%&|<>")),
+            "shouts_": F.length(text) - F.length(_without(text, "!")),
+            "words_": F.array_distinct("all_"),
         }
-    )
+    ).drop("all_")
     every = sorted({w for found in markers.values() for w in found})
     found = F.array_intersect("words_", F.array(*[F.lit(w) for w in every])) if every else F.array().cast("array<string>")
     counted = counted.withColumns({"distinct_": F.size("words_"), "found_": found})
@@ -71,7 +77,7 @@ def marker_words(labelled: DataFrame, domains: list[str], markers: int) -> dict[
     texts = {r["domain_"]: r["n_"] for r in labelled.groupBy("domain_").agg(F.count(F.lit(1)).alias("n_")).collect()}
     total = sum(texts.values())
     words = labelled.select(
-        "domain_", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text_", F.lit(""))), r"[\x00-@\[-`{-~]+"))).alias("word")
+        "domain_", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text_", F.lit(""))), _SPACES))).alias("word")
     ).where("word <> ''")
     seen = words.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_"), *[F.count(F.when(F.col("domain_") == d, 1)).alias(f"n{i}_") for i, d in enumerate(domains)]
@@ -108,7 +114,7 @@ class Membership:
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str, markers: int, most_labelled: int) -> Membership:
     """Naive Bayes from ``labelled`` (id_, domain_)."""
     labelled = labelled.where(F.col("domain_").isin(domains) & F.col("id_").isNotNull()).distinct()
-    some = labelled.orderBy(F.xxhash64("id_"), "id_", "domain_").limit(most_labelled)  # bounds the broadcast
+    some = bounded(labelled, "id_", most_labelled, "domain_")  # bounds the broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     texts = scratch.keep(rows.join(F.broadcast(some), "id_"), "mix-labelled")
     words = marker_words(texts, domains, markers)
