@@ -102,3 +102,25 @@ class Application:
         running = snapshots.every(repository.events(due), spec.fields, interval)
         made = running.join(due, ["originator_id", "originator_version"], "left_semi").drop("timestamp")
         return self.snapshots.append(self.encode(snapshots.take(made.withColumnRenamed("originator_version", "version"), spec.name, spec.class_version)))
+
+
+class EventSourcedLog:
+    """One long sequence under a fixed id that is never folded, such as the list of all ids."""
+
+    def __init__(self, log: EventLog, originator_id: str, topic: str, initial_version: int = 1):
+        self.log, self.originator_id, self.topic, self.initial_version = log, originator_id, topic, initial_version
+
+    def trigger_events(self, states: DataFrame, order: str) -> DataFrame:
+        """Append entries (a state each) in an order, numbered on from the last."""
+        rows = states.withColumn("originator_id", F.lit(self.originator_id)).withColumn("topic", F.lit(self.topic))
+        numbered = self.log.next_versions(rows, order, self.initial_version)
+        return self.log.append(numbered, order="originator_version")
+
+    def get(self, gt: int | None = None, lte: int | None = None, desc: bool = False, limit: int | None = None) -> DataFrame:
+        return self.log.select_events(self.originator_id, gt=gt, lte=lte, desc=desc, limit=limit)
+
+    def get_first(self) -> DataFrame:
+        return self.get(limit=1)
+
+    def get_last(self) -> DataFrame:
+        return self.get(desc=True, limit=1)

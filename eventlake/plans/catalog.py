@@ -10,7 +10,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlake.functions import codec, ids, topics
@@ -590,6 +591,63 @@ def search_index(spark, sf):
     return search.search_postings(index, "doc_id", "moron the OR license")
 
 
+@query(
+    "SELECT p.url, CASE WHEN p.page_id % 2 = 0 THEN p.page_id END AS page_id FROM pages p"
+)
+def slug_index_lookup(spark, sf):
+    """Pages by slug through an index keyed by the slug's UUID; a slug without an entry finds null."""
+    pages = adapters.table(spark, sf, "pages").select("page_id", "url")
+    index = pages.where("page_id % 2 = 0").select(ids.slug_id(F.col("url")).alias("id"), "page_id")
+    asked = pages.select("url", ids.slug_id(F.col("url")).alias("id"))
+    return asked.join(index, "id", "left").select("url", "page_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id = 7")
+def select_page(spark, sf):
+    return adapters.table(spark, sf, "pages").where("page_id = 7").select("page_id", "url")
+
+
+@query(
+    ", b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS v FROM conversations) "
+    "SELECT CAST(conv_id AS VARCHAR) AS originator_id, max(v) AS version, max_by(coalesce(text, ''), v) AS body FROM b GROUP BY 1"
+)
+def patch_fold(spark, sf):
+    """Bodies are recorded as diffs; folding applies them in order."""
+    from eventlake.functions.patch import apply_patch, create_diff
+
+    turns = adapters.table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("body"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.coalesce(F.lag("body").over(order), F.lit(""))
+
+    @F.pandas_udf("string")
+    def diff(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([create_diff(a, b) for a, b in zip(old, new, strict=True)], dtype=object)
+
+    events = turns.select(
+        F.col("conv_id").cast("string").alias("originator_id"), F.row_number().over(order).cast("long").alias("originator_version"),
+        "body", before.alias("old"),
+    ).select("originator_id", "originator_version", diff("old", "body").alias("diff"))
+    return folds.fold_python(events, lambda: "", lambda body, e: apply_patch(body, e["diff"]), lambda body: {"body": body}, "body string", ["diff"])
+
+
+@query(_words("(list_contains(w, 'moron') AND list_contains(w, 'the')) OR list_contains(w, 'license')"))
+def stream_search_projection(spark, sf):
+    """A follower keeps the latest body of each page; searches read what it keeps."""
+    from eventlake.sources.log_source import register
+
+    log = EventLog(spark, scratch.place(spark, "bodies")).create()
+    docs = adapters.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("originator_id"), "text")
+    made = docs.select("originator_id", F.lit(1).cast("long").alias("originator_version"), F.lit("Created").alias("topic"), F.lit(b"draft: license").alias("state"))
+    updated = docs.select("originator_id", F.lit(2).cast("long").alias("originator_version"), F.lit("BodyUpdated").alias("topic"), F.encode("text", "UTF-8").alias("state"))
+    log.append(made)
+    log.append(updated)
+    stream = register(spark).readStream.format("eventlake").option("path", log.path).load()
+    pages = stream.select(F.col("originator_id").cast("long").alias("doc_id"), F.col("originator_version").alias("version"), F.decode("state", "UTF-8").alias("body"))
+    table = stream_folds.Projection(scratch.place(spark, "bodies-table"), "doc_id long, version long, body string", "doc_id", "version")
+    table.follow(pages, scratch.place(spark, "bodies-offsets")).awaitTermination()
+    return search.search(table.table(spark), "body", "moron the OR license").select("doc_id")
+
+
 # -- following -----------------------------------------------------------------------------------
 
 

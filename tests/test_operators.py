@@ -11,11 +11,13 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eventlake.application import Application
+from eventlake.application import Application, EventSourcedLog
 from eventlake.functions import codec, ids, topics
 from eventlake.functions.config import Settings, retry, strtobool
+from eventlake.functions.patch import apply_patch, create_diff
 from eventlake.operators import folds, history, search, snapshots
 from eventlake.schema import AggregateNotFoundError, ProgrammingError, TopicError
+from eventlake.sources.log import EventLog
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "originator_id string, originator_version long, topic string, timestamp timestamp_ntz, amount decimal(12,2)"
@@ -213,3 +215,27 @@ def test_settings():
     with pytest.raises(KeyError):
         fails()
     assert len(calls) == 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab\n", max_size=30), st.text("ab\n", max_size=30))
+def test_patches(old, new):
+    diff = create_diff(old, new)
+    assert apply_patch(old, diff) == new
+    assert diff or old == new
+
+
+def test_patch_format():
+    assert create_diff("a\nb\nc\n", "a\nx\nc\nd\n") == "2c2\n< b\n---\n> x\n3a4\n> d\n"
+    assert apply_patch("one\ntwo\n", "1d0\n< one\n") == "two\n"
+    with pytest.raises(ValueError):
+        apply_patch("a\n", "nonsense\n")
+
+
+def test_event_sourced_log(spark, tmp_path):
+    log = EventSourcedLog(EventLog(spark, str(tmp_path)).create(), "f" * 32, "PageLogged")
+    log.trigger_events(spark.createDataFrame([(b"id1", 1), (b"id2", 2)], "state binary, at long"), "at")
+    log.trigger_events(spark.createDataFrame([(b"id3", 1)], "state binary, at long"), "at")
+    get = lambda frame: [bytes(r.state).decode() for r in frame.collect()]
+    assert get(log.get()) == ["id1", "id2", "id3"] and get(log.get(gt=1)) == ["id2", "id3"] and get(log.get(lte=1)) == ["id1"]
+    assert get(log.get(limit=1)) == ["id1"] and get(log.get(desc=True)) == ["id3", "id2", "id1"] and get(log.get_first()) == ["id1"] and get(log.get_last()) == ["id3"]
