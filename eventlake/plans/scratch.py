@@ -15,24 +15,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_OWN: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of this session, as a path or URI without a trailing slash."""
+    """The shared folder of this session, as a URI without a trailing slash."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="eventlake-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="eventlake-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        named = f"file://{_LOCAL[0]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)  # a bare path is one of the default file system
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{root(spark)}/eventlake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in this application's part of it.
+
+    That part is removed when the driver's Python ends, where it is in a file system that is mounted.
+    """
+    own = f"{root(spark)}/eventlake-{spark.sparkContext.applicationId}"
+    if own.startswith("file:") and own not in _OWN:
+        _OWN.add(own)
+        atexit.register(shutil.rmtree, "/" + own.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
