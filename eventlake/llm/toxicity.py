@@ -9,7 +9,7 @@ clean is corrected for the toxic ones among them,
 and where the corrected part turns negative, the step is taken against it, so that the model does
 not fit the unlabelled texts one by one.  p is the toxic share of the labels learned from.
 
-Features are words and their beginnings of 3 to 6 letters (texts inflect and join words); those
+Features are words and their beginnings of 4 to 6 letters (texts inflect and join words); those
 enriched in toxic texts and the most frequent others are chosen by counts.  The score is a logistic
 function of the classifier, shifted and scaled on labelled rows of the learning fold.
 
@@ -33,8 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.sample import bounded
+
 _WORD = re.compile(r"[^\W\d_]+")
-_STEMS = (3, 4, 5, 6)
+_STEMS = (4, 5, 6)
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:
@@ -84,8 +86,8 @@ class Model:
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, float]:
     """(weights, bias) of the linear classifier that minimises the non-negative corrected risk."""
-    w, b = np.zeros(positive.shape[1]), -1.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    w, b = np.zeros(positive.shape[1], np.float32), -1.0
+    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     n_p, n_u = len(positive), len(unlabelled)
     for t in range(1, rounds + 1):
         z_p, z_u = positive @ w + b, unlabelled @ w + b
@@ -96,11 +98,12 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
             g_p, g_u = prior * (s_p - 1) / n_p + g_clean_p, g_clean_u
         else:  # against the corrected part only
             g_p, g_u = -g_clean_p, -g_clean_u
-        grad = np.append(positive.T @ g_p + unlabelled.T @ g_u + decay * w, g_p.sum() + g_u.sum())
+        g_p, g_u = g_p.astype(np.float32), g_u.astype(np.float32)  # the matrices are not copied to a wider type
+        grad = np.append(g_p @ positive + g_u @ unlabelled + decay * w, g_p.sum() + g_u.sum()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        w, b = (w - step[:-1]).astype(np.float32), float(b - step[-1])
+    return w.astype(np.float64), b
 
 
 def _choose(sets_p: list[np.ndarray], sets_u: list[np.ndarray], most: int) -> np.ndarray:
@@ -142,7 +145,7 @@ def _settle(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 5, most_toxic: int = 4000, most_unlabelled: int = 6000, most_clean: int = 3000, most_features: int = 1024,
+    folds: int = 5, most_toxic: int = 2500, most_unlabelled: int = 5000, most_clean: int = 2000, most_features: int = 1024,
 ) -> Model:
     """Learn from labels outside the held-out fold and from unlabelled texts outside it."""
     spark = docs.sparkSession
@@ -150,11 +153,12 @@ def train(
     known = fold.groupBy(F.col(id_col).cast("long").alias("id_")).agg((F.max(label_col) > 0).alias("toxic_"))
     counts = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic_").cast("long")), F.lit(0))).first()
     prior = counts[1] / counts[0] if counts[0] else 0.0
+    constant = Model(float(np.log(np.clip(prior, 1e-9, 1 - 1e-9) / (1 - np.clip(prior, 1e-9, 1 - 1e-9)))))
     if not 0 < prior < 1:
-        return Model(float(np.log(np.clip(prior, 1e-9, 1 - 1e-9) / (1 - np.clip(prior, 1e-9, 1 - 1e-9)))))
+        return constant
 
     def some(rows: DataFrame, most: int, role: int) -> DataFrame:
-        return rows.orderBy(F.xxhash64("id_"), "id_").limit(most).select("id_", F.lit(role).alias("role_"))
+        return bounded(rows, "id_", most).select("id_", F.lit(role).alias("role_"))
 
     ids = docs.select(F.col(id_col).cast("long").alias("id_")).where(F.col("id_").isNotNull() & ~held_out(F.col("id_"), folds)).distinct()
     labelled = labels.select(F.col(id_col).cast("long").alias("id_")).distinct()
@@ -166,15 +170,17 @@ def train(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [text_features(t).astype(np.int64) for t in batch["text_"]]
+            sets = [text_features(t).tobytes() for t in batch["text_"]]
             yield pd.DataFrame({"id_": batch["id_"], "role_": batch["role_"], "features": sets})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(run, "id_ long, role_ int, features array<long>").toPandas()
+    sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(run, "id_ long, role_ int, features binary").toPandas()
     sample = sample.drop_duplicates("id_").sort_values("id_", kind="stable")
-    sets = {r: [np.asarray(x, np.int64) for x in sample.loc[sample["role_"] == r, "features"]] for r in (0, 1, 2)}
+    sets = {r: [np.frombuffer(x, np.uint32) for x in sample.loc[sample["role_"] == r, "features"]] for r in (0, 1, 2)}
     if len(sets[1]) < len(sets[2]):  # too few texts without a label: hide the labels of all
         sets[1] = [*sets[1], *sets[0], *sets[2][: int(prior * (len(sets[0]) + len(sets[1])) / (1 - prior)) + 1]]
+    if not sets[2] or not sets[0]:
+        return constant
     features = _choose(sets[2], sets[1], most_features)
     positive = _matrix(sets[2], features)
     weights, bias = fit_nnpu(positive, _matrix(sets[1], features), prior)
