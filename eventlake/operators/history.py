@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlake.operators.folds import AggregateSpec, project
@@ -34,7 +34,11 @@ def version_at(events: DataFrame, as_of, initial: int = 1) -> DataFrame:
 
 
 def state_at(events: DataFrame, spec: AggregateSpec, as_of) -> DataFrame:
-    """Every aggregate as it was at a time: its events up to the version it had then."""
-    versions = version_at(events, as_of, spec.initial_version).withColumnRenamed("version", "asof_version_")
-    bounded = events.join(versions, "originator_id").where("originator_version <= asof_version_").drop("asof_version_")
+    """Every aggregate as it was at a time: its events up to the version it had then.
+
+    That version is a maximum over the sequence, taken where the sequence lies for the fold anyway.
+    """
+    whole = Window.partitionBy("originator_id")
+    had = F.max(F.when(F.col("timestamp") <= as_of, F.col("originator_version"))).over(whole)
+    bounded = events.withColumn("asof_version_", had).where("originator_version <= asof_version_").drop("asof_version_")
     return project(bounded, spec)

@@ -12,9 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_as_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as stored events: a user is an aggregate, its events in order of event_id its versions."""
-    version = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("originator_id"),
+    # Versions are counted by the id that later folds group by, so that they share one shuffle.
+    named = table(spark, sf_dir, "events").withColumn("originator_id", F.col("user_id").cast("string"))
+    version = F.row_number().over(Window.partitionBy("originator_id").orderBy("event_id")).cast("long")
+    return named.select(
+        "originator_id",
         version.alias("originator_version"),
         F.col("event_type").alias("topic"),
         F.col("ts").alias("timestamp"),
