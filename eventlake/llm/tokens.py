@@ -2,18 +2,23 @@
 
 The tokenizer splits at white space before anything else and never joins across it, so the ids of
 a text are the ids of its space-separated parts, one after another.  Parts recur; each worker
-encodes a part once and keeps its ids as little-endian 32-bit bytes.  The cache is emptied when it
-is full, so its memory is bounded.
+encodes a part once and keeps its ids as little-endian 32-bit bytes.  A part of Latin letters that
+ends in punctuation is two pieces to the tokenizer, and case is ignored, so such parts share the
+entry of their letters; new ones are encoded together, and the marks of word ends tell them apart.
+The cache is emptied when it is full, so its memory is bounded.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
 _LONGEST_KEY = 64
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 def default_path() -> str:
@@ -23,9 +28,9 @@ def default_path() -> str:
 
 
 class WordTokenizer:
-    """Encodes texts with a tokenizer whose pieces never span a space or a line feed."""
+    """Encodes texts with a lower-casing tokenizer whose pieces never span a space or a line feed."""
 
-    def __init__(self, path: str, literal_specials: bool = False, entries: int = 400_000):
+    def __init__(self, path: str, literal_specials: bool = False, entries: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,6 +38,10 @@ class WordTokenizer:
         self._tokenizer.encode_special_tokens = literal_specials
         self._entries = entries
         self._cache: dict[str, bytes] = {}
+        mark = json.loads(self._tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self._ends = np.zeros(self.vocabulary, bool)
+        for piece, id_ in self._tokenizer.get_vocab(with_added_tokens=False).items() if mark else ():
+            self._ends[id_] = piece.endswith(mark)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers; null and empty have none."""
@@ -40,15 +49,39 @@ class WordTokenizer:
         try:
             return b"".join(map(self._cache.__getitem__, parts))
         except KeyError:
-            known, extra = self._cache, {}
-            new = list(set(parts).difference(known))
-            for part, got in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, dtype="<u4").tobytes()
-                (known if len(part) <= _LONGEST_KEY else extra)[part] = ids
-            out = b"".join([known[p] if p in known else extra[p] for p in parts])
-            if len(known) > self._entries:
-                known.clear()
-            return out
+            if len(self._cache) > self._entries:
+                self._cache.clear()
+            extra = self._learn(set(parts).difference(self._cache))
+            known = self._cache
+            return b"".join([known[p] if p in known else extra[p] for p in parts])
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Puts new parts into the cache; those too long for it are returned."""
+        cache, extra, plain, odd, needed = self._cache, {}, [], [], {}
+        for part in new:
+            found = _PLAIN.fullmatch(part.lower()) if len(part) <= _LONGEST_KEY else None
+            if found is None:
+                odd.append(part)
+                continue
+            plain.append((part, found[1], found[2]))
+            for piece in found.groups():
+                if piece and piece not in cache:
+                    needed[piece] = None
+        words = [w for w in needed if w[0].isalpha()]
+        if words and self._ends.any():
+            ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self._ends[ids]) + 1
+            if len(cuts) == len(words):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(words, (4 * cuts).tolist(), strict=True):
+                    cache[word] = data[at:end]
+                    at = end
+        odd += [w for w in needed if w not in cache]
+        for part, got in zip(odd, self._tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            (cache if len(part) <= _LONGEST_KEY else extra)[part] = np.array(got.ids, dtype="<u4").tobytes()
+        for part, word, rest in plain:
+            cache[part] = cache[word] + (cache[rest] if rest else b"")
+        return extra
 
     @property
     def vocabulary(self) -> int:
