@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.sample import bounded
 from eventlake.plans import scratch
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -210,7 +211,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """Learn from labelled rows that pass the base checks, which decide before the list does."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("id_")).agg((F.min(label_col) <= 0).alias("bad_"))
-    rows = stats.where(~base_failed()).join(known, "id_").orderBy(F.xxhash64("id_"), "id_", *STATISTICS).limit(most_rows)
+    rows = bounded(stats.where(~base_failed()).join(known, "id_"), "id_", most_rows, *STATISTICS)
     rows = rows.select("bad_", *STATISTICS).toPandas()
     bad = rows["bad_"].to_numpy(bool)
     return learn(rows, bad, **options) if bad.any() and not bad.all() else []
