@@ -69,6 +69,6 @@ def place(rows: DataFrame, key_col: str, shards: list[str], size: int = 65_537,
     lookup = rows.sparkSession.createDataFrame(table, "slot_ int, shard_ int")
     names = F.array(*[F.lit(s) for s in shards])
     own = [c for c in rows.columns if c not in ("shard_slot", "shard")]
-    key = slot_of(F.col(f"`{key_col}`"), size)
-    placed = rows.withColumn("shard_slot", key).join(F.broadcast(lookup), F.col("shard_slot") == F.col("slot_"))
-    return placed.select(*[F.col(f"`{c}`") for c in own], "shard_slot", F.element_at(names, F.col("shard_") + 1).alias("shard"))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"), slot_of(F.col(f"`{key_col}`"), size).alias("slot_"))
+    placed = packed.join(F.broadcast(lookup), "slot_")
+    return placed.select("row_.*", F.col("slot_").alias("shard_slot"), F.element_at(names, F.col("shard_") + 1).alias("shard"))
