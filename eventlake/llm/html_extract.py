@@ -41,14 +41,15 @@ DROPPED = frozenset(
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner "
     "nav navbar navigation navigator menu menubar breadcrumb breadcrumbs pager pagination toc "
-    "masthead topbar toolbar siteheader footer sitefooter bottombar colophon copyright "
+    "header hdr masthead topbar toolbar footer ftr bottombar colophon copyright legal "
     "sidebar sidebars rail widget widgets aside complementary contentinfo "
     "notice notices cookie cookies consent gdpr alert alertdialog dialog popup modal overlay paywall disclaimer "
     "comment comments commentlist respond reply replies disqus discussion feedback "
     "form search searchbox login signin signup register subscribe subscription newsletter "
     "share sharing social related recommended recommendations trending popular outbrain taboola skip tags".split()
 )
-PLAIN_MARKS = frozenset("has with no without is not show hide".split())  # "has-sidebar" says where, not what
+STEMS = ("nav", "menu", "sidebar", "footer", "comment", "cookie", "advert", "banner", "newsletter")  # also as ends of one word
+PLAIN_MARKS = frozenset("has with no without is not show hide".split())  # "page-with-sidebar" says where, not what
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -199,9 +200,12 @@ def _marked(node: Node) -> bool:
         return node.tag == "article" and any(w in ("comment", "comments", "reply", "ad", "advert", "sponsored", "promo") for w in words)
     for value in (named.get("class", ""), named.get("id", ""), named.get("role", "")):
         for one in value.split():
-            words = [w.lower() for w in _WORDS.findall(one)]
-            if words and words[0] not in PLAIN_MARKS and any(w in BOILERPLATE for w in words):
-                return True
+            for word in _WORDS.findall(one):
+                word = word.lower()
+                if word in PLAIN_MARKS:
+                    break
+                if word in BOILERPLATE or word.endswith(STEMS):
+                    return True
     return False
 
 
@@ -214,26 +218,37 @@ def _inside(node: Node, tags: tuple[str, ...]) -> Node | None:
     return None
 
 
+def _inner(nodes: list[Node], found) -> dict[int, int]:
+    """How many of the nodes that ``found`` picks are in each node's subtree, itself included."""
+    counts = {id(n): int(found(n)) for n in nodes}
+    for node in reversed(nodes[1:]):
+        counts[id(node.parent)] += counts[id(node)]
+    return counts
+
+
 def _drop(nodes: list[Node]) -> None:
-    """Marks what is not the article.  A wrapper of the article is not taken out for its class."""
-    holds = set()
-    for node in nodes:
-        if node.tag in ("article", "main", "h1") and not (node.attrs and _marked(node)):
-            up = node.parent
-            while up is not None and id(up) not in holds:
-                holds.add(id(up))
-                up = up.parent
+    """Marks what is not the article.
+
+    What is named as boilerplate goes, unless it wraps all articles of the page (those that are not
+    named so themselves); where the page has none, unless it wraps its headings.
+    """
+    marked = {id(n) for n in nodes if n.attrs and _marked(n)}
+    titles = _inner(nodes, lambda n: n.tag == "h1")
+    held = _inner(nodes, lambda n: n.tag in ("article", "main") and id(n) not in marked)
+    if not held[id(nodes[0])]:
+        held = titles
+    every = held[id(nodes[0])]
     for node in nodes[1:]:
-        if node.parent.dropped:
-            node.dropped = True
-        elif node.tag in DROPPED:
+        wraps = every and held[id(node)] == every
+        if node.parent.dropped or node.tag in DROPPED:
             node.dropped = True
-        elif node.tag == "header":
-            node.dropped = not _inside(node, ("article", "main"))
+        elif node.tag == "header":  # an article's own header stays with its title
+            node.dropped = not (titles[id(node)] and _inside(node, ("article", "main")))
         elif node.tag == "form":
-            node.dropped = id(node) not in holds
-        elif node.attrs and _marked(node):
-            node.dropped = id(node) not in holds or "hidden" in node.named()
+            node.dropped = not wraps
+        elif id(node) in marked:
+            own = titles[id(node)] and node.tag != "article" and _inside(node, ("article", "main")) and "header" in node.attrs
+            node.dropped = not (wraps or own) or "hidden" in node.named()
 
 
 def _measure(nodes: list[Node]) -> None:

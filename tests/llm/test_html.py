@@ -43,6 +43,26 @@ def test_wrappers_named_for_what_stands_beside_them():
     assert main_text(page(body)) == LONG
 
 
+def test_comments_in_articles_of_their_own():
+    comments = f"<section class='comments'><article><p>{MORE}</p></article><article><p>{MORE}</p></article></section>"
+    assert main_text(page(f"<article><h1>T</h1><p>{LONG}</p>{comments}</article>")) == f"T\n{LONG}"
+    assert main_text(page(f"<main><article><p>{LONG}</p></article>{comments}</main>")) == LONG
+    assert main_text(page(f"<div class='post'><h1>T</h1><div class='entry'><p>{LONG}</p></div></div><div id='disqus_thread'><p>{MORE}</p></div>")) == f"T\n{LONG}"
+
+
+def test_usual_pages():
+    blog = (
+        "<div id='top-header'><h1>My site</h1></div><div class='topnav'><a href=a>A</a> <a href=b>B</a></div><div id='wrap' class='page-with-sidebar'>"
+        f"<article class='post'><header class='entry-header'><h1>Boats</h1></header><div class='entry-content'><p>{LONG}</p><h2>Later</h2><p>{MORE}</p>"
+        f"<div class='sharedaddy share'><a href=f>Share, share, and share, on all the sites there are</a></div></div></article><div class='sidebar'><article class='teaser'><p>{MORE}</p></article></div></div>"
+    )
+    assert main_text(page(blog)) == f"Boats\n{LONG}\nLater\n{MORE}"
+    old = f"<table><tr><td><a href=1>One</a><br><a href=2>Two</a></td><td><h1>Boats</h1><p>{LONG}<p>{MORE}</td></tr></table>"
+    assert main_text(page(old)) == f"Boats\n{LONG}\n{MORE}"
+    form = f"<form id='aspnetForm'><div class='menu'>x</div><article><p>{LONG}</p></article></form>"
+    assert main_text(page(form)) == LONG
+
+
 def test_broken_markup():
     assert main_text(f"<article><h1>Title</h1><p><b>{LONG}<br><p>{MORE}</article>") == f"Title\n{LONG}\n{MORE}"
     assert main_text(f"<div><p>{LONG}<p>{MORE}") == f"{LONG}\n{MORE}"
