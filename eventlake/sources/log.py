@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from eventlake.functions.config import retry
 from eventlake.operators import reads
 from eventlake.operators.versions import conflicts_in_batch, conflicts_with_table
-from eventlake.schema import NOTIFICATION, TRACKING, IntegrityError
 from eventlake.plans import scratch
+from eventlake.schema import NOTIFICATION, TRACKING, IntegrityError
+from eventlake.sources import commits
 
 
 class LostRace(Exception):
@@ -39,6 +40,7 @@ class EventLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._store, self._base = scratch.filesystem(self.path)
+        self._known: list[dict] = []
 
     # -- commits ---------------------------------------------------------------------------------
 
@@ -49,19 +51,12 @@ class EventLog:
         return self
 
     def entries(self) -> list[dict]:
-        """Committed entries in order.  Numbers have no holes: a number is taken only after the one before."""
-        from pyarrow import fs
-
-        found = self._store.get_file_info(fs.FileSelector(f"{self._base}/commits", allow_not_found=True))
-        names = sorted(x.base_name for x in found if x.base_name.endswith(".json") and not x.base_name.startswith("."))
-        out = []
-        for name in names:
-            with self._store.open_input_stream(f"{self._base}/commits/{name}") as source:
-                out.append(json.loads(source.read()))
-        return out
+        """Committed entries in order."""
+        self._known = max(self._known, commits.read_on(self._store, self._base, self._known), key=len)
+        return self._known
 
     def _publish(self, entry: dict) -> None:
-        name = f"{self._base}/commits/{entry['number']:012d}.json"
+        name = f"{self._base}/commits/{commits.name(entry['number'])}"
         data = json.dumps(entry).encode()
         if self._store.type_name == "local":
             # Written aside and linked: the name appears with its content, for one writer only.
@@ -78,7 +73,7 @@ class EventLog:
                 os.unlink(aside)
             return
         jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{entry['number']:012d}.json")
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{commits.name(entry['number'])}")
         store = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
         try:
             sink = store.create(where, False)  # fails where the file exists

@@ -8,7 +8,6 @@ delivered once per checkpoint.  Partitions are data files; they are read as Arro
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from eventlake.plans import scratch
 from eventlake.schema import NOTIFICATION
+from eventlake.sources import commits
 
 
 @dataclass
@@ -44,16 +44,9 @@ class _File(InputPartition):
             yield pa.RecordBatch.from_arrays([ids, *[batch.column(n) for n in names[1:]]], names=names)
 
 
-def _entries(path: str) -> list[dict]:
-    from pyarrow import fs
-
+def _entries(path: str, known: list[dict] | None = None) -> list[dict]:
     store, base = scratch.filesystem(path)
-    found = store.get_file_info(fs.FileSelector(f"{base}/commits", allow_not_found=True))
-    out = []
-    for name in sorted(x.base_name for x in found if x.base_name.endswith(".json") and not x.base_name.startswith(".")):
-        with store.open_input_stream(f"{base}/commits/{name}") as source:
-            out.append(json.loads(source.read()))
-    return out
+    return commits.read_on(store, base, known or [])
 
 
 def _files(path: str, entries: list[dict], start: int, stop: int | None, topics: tuple[str, ...]) -> list[_File]:
@@ -93,20 +86,22 @@ class _Reader(DataSourceReader):
 
 class _StreamReader(DataSourceStreamReader):
     def __init__(self, options: _Options):
-        self.options, self.at = options, 0
+        self.options, self.at, self.known = options, 0, []
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def latestOffset(self) -> dict:
-        there = len(_entries(self.options.path))
+        self.known = _entries(self.options.path, self.known)
+        there = len(self.known)
         self.at = min(there, self.at + self.options.section_size) if self.options.section_size else there
         return {"n": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[_File]:
         o = self.options
         self.at = max(self.at, end["n"])
-        return _files(o.path, _entries(o.path)[start["n"] : end["n"]], 1, None, o.topics)
+        self.known = _entries(o.path, self.known)
+        return _files(o.path, self.known[start["n"] : end["n"]], 1, None, o.topics)
 
     def read(self, partition: _File) -> Iterator:
         return partition.batches()
