@@ -2,10 +2,11 @@
 
 The tokenizer splits at white space before anything else and never joins across it, so the ids of
 a text are the ids of its space-separated parts, one after another.  Parts recur; each worker
-encodes a part once and keeps its ids as little-endian 32-bit bytes.  A part of Latin letters that
-ends in punctuation is two pieces to the tokenizer, and case is ignored, so such parts share the
-entry of their letters; new ones are encoded together, and the marks of word ends tell them apart.
-The cache is emptied when it is full, so its memory is bounded.
+encodes a part once and keeps its ids as little-endian 32-bit bytes.  Case is ignored, and letters
+and the punctuation after them are pieces of their own, so Latin texts are lower-cased and their
+commas and full stops set apart first, and other parts share the entry of their letters.  New words
+are encoded together, and the marks of word ends tell them apart.  The cache is emptied when it is
+full, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 _LONGEST_KEY = 64
+_JOINED = re.compile(r"[^a-z0-9ß-öø-ÿ \n][.,](?=[ \n]|$)")  # a stop that is one piece with what stands before it
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
@@ -30,12 +32,13 @@ def default_path() -> str:
 class WordTokenizer:
     """Encodes texts with a lower-casing tokenizer whose pieces never span a space or a line feed."""
 
-    def __init__(self, path: str, literal_specials: bool = False, entries: int = 800_000):
+    def __init__(self, path: str, literal_specials: bool = False, entries: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = literal_specials
+        self._specials = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._entries = entries
         self._cache: dict[str, bytes] = {}
         mark = json.loads(self._tokenizer.to_str())["model"].get("end_of_word_suffix")
@@ -45,7 +48,7 @@ class WordTokenizer:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers; null and empty have none."""
-        parts = (text or "").replace("\n", " ").split(" ")
+        parts = self._apart(text or "").replace("\n", " ").split(" ")
         try:
             return b"".join(map(self._cache.__getitem__, parts))
         except KeyError:
@@ -55,6 +58,21 @@ class WordTokenizer:
             known = self._cache
             return b"".join([known[p] if p in known else extra[p] for p in parts])
 
+    def _apart(self, text: str) -> str:
+        """A Latin text in lower case with spaces before the stops at word ends; other texts as they are."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        if any(x in low for x in self._specials):  # these are told by case
+            return text
+        if _JOINED.search(low):
+            return low
+        for stop in ".,":
+            low = low.replace(f"{stop} ", f" {stop} ").replace(f"{stop}\n", f" {stop}\n")
+        return f"{low[:-1]} {low[-1]}" if low.endswith((".", ",")) else low
+
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Puts new parts into the cache; those too long for it are returned."""
         cache, extra, plain, odd, needed = self._cache, {}, [], [], {}
@@ -69,7 +87,7 @@ class WordTokenizer:
                     needed[piece] = None
         words = [w for w in needed if w[0].isalpha()]
         if words and self._ends.any():
-            ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self._ends[ids]) + 1
             if len(cuts) == len(words):
                 data, at = ids.tobytes(), 0
@@ -77,7 +95,7 @@ class WordTokenizer:
                     cache[word] = data[at:end]
                     at = end
         odd += [w for w in needed if w not in cache]
-        for part, got in zip(odd, self._tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+        for part, got in zip(odd, self._tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             (cache if len(part) <= _LONGEST_KEY else extra)[part] = np.array(got.ids, dtype="<u4").tobytes()
         for part, word, rest in plain:
             cache[part] = cache[word] + (cache[rest] if rest else b"")
