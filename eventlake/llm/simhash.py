@@ -54,15 +54,21 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * set_bits > count, bitorder="little").view("<u8")[0])
 
 
+def _mark(text_col: str):
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id_, fp_) for each row; fp_ is the fingerprint as a signed long."""
+    """(id_, mark_, fp_) for each row; fp_ is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t, words, seed) for t in batch["text_"]), np.uint64, len(batch))
-            yield pd.DataFrame({"id_": batch["id_"], "fp_": prints.view(np.int64)})
+            yield pd.DataFrame({"id_": batch["id_"], "mark_": batch["mark_"], "fp_": prints.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")).mapInPandas(run, "id_ long, fp_ long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id_"), _mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    return rows.mapInPandas(run, "id_ long, mark_ long, fp_ long")
 
 
 def _masks(blocks: int, bits: int) -> list[int]:
@@ -137,8 +143,8 @@ def links(prints: DataFrame, bits: int = 3, blocks: int = 5, crowd: int = 512, f
     return _verified(listed.join(crowded, ["c_", "key_"], "left_anti"), bits).unionByName(_verified(fine, bits))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, bits: int = 3, **options) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int = 3, seed: int = 42, bits: int = 3, **options) -> DataFrame:
+    """(id_, mark_, fp_, root_, component_id) for each row."""
     rows = scratch.keep(fingerprints(docs, id_col, text_col, words, seed), "simhash-rows")
     distinct = scratch.keep(rows.groupBy("fp_").agg(F.min("id_").alias("least_")), "simhash-distinct")
     found = components(links(distinct.select("fp_"), bits, **options))
@@ -147,27 +153,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     rooted = scratch.keep(rooted, "simhash-rooted")
     heads = rooted.groupBy("root_").agg(F.min("least_").alias("component_id"))
-    of_print = rooted.join(heads, "root_").select("fp_", "component_id")
-    return rows.join(of_print, "fp_").select(
+    return rows.join(rooted.join(heads, "root_").select("fp_", "root_", "component_id"), "fp_")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
+    return _grouped(docs, id_col, text_col, **options).select(
         F.col("id_").alias(id_col), F.lower(F.lpad(F.hex("fp_"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component that with the smallest id.
+    """The rows of ``docs`` that stay: of each component one with the smallest id (null is the largest).
 
-    Rows that repeat this id stay only once; a component whose ids are all null keeps one row.
+    Rows that repeat it stay only once; of several texts under that id one stays.
     """
     names = docs.columns
-    groups = near_groups(docs, id_col, text_col, **options)
-    kept = scratch.keep(
-        groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-            F.col(id_col).alias("keep_id_"), F.conv("fingerprint", 16, -10).cast("long").alias("keep_fp_")
-        ).distinct(),
-        "simhash-kept",
-    )
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col(id_col).cast("long").alias("row_id_"))
-    rows = packed.join(kept.select("keep_id_").distinct(), F.col("row_id_").eqNullSafe(F.col("keep_id_")), "left_semi")
-    if rows.select("row_id_").count() > kept.count():
-        rows = rows.dropDuplicates(["row_id_"])
+    first = F.min(F.struct(F.col("id_").isNull().alias("n"), "id_", "mark_")).alias("f_")
+    heads = _grouped(docs, id_col, text_col, **options).groupBy("root_").agg(first)
+    kept = scratch.keep(heads.select(F.col("f_.id_").alias("keep_id_"), F.col("f_.mark_").alias("keep_mark_")), "simhash-kept")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col(id_col).cast("long").alias("row_id_"), _mark(text_col).alias("row_mark_")
+    )
+    rows = packed.join(kept, F.col("row_id_").eqNullSafe(F.col("keep_id_")) & (F.col("row_mark_") == F.col("keep_mark_")), "left_semi")
+    if rows.select("row_id_").count() > kept.count():  # rows that are repeated
+        rows = rows.dropDuplicates(["row_id_", "row_mark_"])
     return rows.select("row_.*")

@@ -116,9 +116,12 @@ def test_links_keep_every_close_pair_connected(spark, crowd):
 
 def test_near_keep_one(spark):
     rows = [(4, "a b c d e f", 0), (2, "a b c d e f", 1), (9, "other words here now", 2), (2, "a b c d e f", 3), (None, "more of it all", 4)]
+    rows += [(2, "the same id with quite another text", 5), (4, "only under this id and repeated", 6), (4, "only under this id and repeated", 6)]
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component_id long"))
     assert out.columns == ["doc_id", "text", "component_id"]
-    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("2", rows[0][1]), ("9", rows[2][1]), ("None", rows[4][1])])
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted(
+        [("2", rows[0][1]), ("9", rows[2][1]), ("None", rows[4][1]), ("2", rows[5][1]), ("4", rows[6][1])]
+    )
     assert simhash.near_groups(spark.createDataFrame([], DOCS)).count() == 0
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
 
