@@ -36,6 +36,18 @@ class Repository:
         """States, current or at a version; ids without events have no row."""
         return project(self.events(ids, version), self._spec)
 
+    def replay(self, fields: Mapping[str, snapshots.Continued], types: Mapping[str, str], version: int | None = None) -> DataFrame:
+        """States (originator_id, version, fields) from the last snapshots at or before a version and the events after them.
+
+        ``types`` are those of the fields in the snapshots' JSON.
+        """
+        if self._application.snapshots is None:
+            raise ProgrammingError("snapshotting is not enabled")
+        taken = self._application.decode(self._application.snapshots.notifications()).where(F.col("topic") == self._spec.name)
+        state = F.from_json("state", ", ".join(f"`{n}` {t}" for n, t in types.items()))
+        seeds = taken.select("originator_id", "originator_version", state.alias("s_")).select("originator_id", "originator_version", "s_.*")
+        return snapshots.replay(self.events(), seeds, fields, version)
+
     def get_one(self, originator_id: str, version: int | None = None):
         found = self.get([originator_id], version).collect()
         if not found:

@@ -132,6 +132,11 @@ def test_application(spark, tmp_path):
     app.take_automatic_snapshots(repository, spec(), saved)
     assert [r.originator_version for r in app.snapshots.notifications().collect()] == [2]
     assert app.notification_log("1,10")["id"] == "1,3"
+    fields = {"balance": continued()["balance"], "last": continued()["last"]}
+    types = {"balance": "decimal(38,2)", "last": "decimal(12,2)"}
+    for version in (None, 2, 1):
+        want = repository.get(version=version).select("originator_id", "version", "balance", "last")
+        assert repository.replay(fields, types, version).collect() == want.collect()
     with pytest.raises(ProgrammingError):
         plain = Application(spark, str(tmp_path / "p"))
         plain.take_snapshots(plain.repository(spec(), decode), spec())
@@ -239,3 +244,15 @@ def test_event_sourced_log(spark, tmp_path):
     get = lambda frame: [bytes(r.state).decode() for r in frame.collect()]
     assert get(log.get()) == ["id1", "id2", "id3"] and get(log.get(gt=1)) == ["id2", "id3"] and get(log.get(lte=1)) == ["id1"]
     assert get(log.get(limit=1)) == ["id1"] and get(log.get(desc=True)) == ["id3", "id2", "id1"] and get(log.get_first()) == ["id1"] and get(log.get_last()) == ["id3"]
+
+
+def test_windows_over_event_time(spark, tmp_path):
+    from eventlake.streaming.folds import windowed
+
+    rows = [(T0 + timedelta(minutes=m), "t") for m in (0, 1, 6, 30)]
+    spark.createDataFrame(rows, "timestamp timestamp, topic string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("timestamp timestamp, topic string").parquet(str(tmp_path / "in"))
+    query = windowed(stream, "timestamp", "1 minute", "5 minutes", F.count(F.lit(1)).alias("n")).writeStream.format("memory").queryName("w_").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.n for r in spark.sql("select n from w_").collect()) == [1, 1, 2]
