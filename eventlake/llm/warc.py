@@ -116,7 +116,8 @@ def write(
     told = revisits.select("id_", "key_", F.lit(0).alias("kind_"), F.lit(None).cast("string").alias("url_"), F.lit(None).cast("binary").alias("payload_"), "first_")
     full = keyed.select("id_", "key_", F.lit(1).alias("kind_"), "url_", "payload_", F.lit(None).cast("long").alias("first_"))
     rows = told.unionByName(full).withColumn("bucket_", _bucket(lo, width)).join(F.broadcast(table), "bucket_")
-    dealt = rows.repartition(count, "shard_").sortWithinPartitions(
+    # A shard is a partition: by its number, not by a hash of it, so that no task gets several.
+    dealt = rows.repartitionById(count, F.col("shard_").cast("int")).sortWithinPartitions(
         "shard_", F.col("id_").asc_nulls_last(), "key_", "kind_", F.col("url_").asc_nulls_first()
     )
 
