@@ -34,6 +34,9 @@ _ROWS = "part_ int, row_ long, id_ long, tokens_ long, crcs_ array<long>, tail_
 _PLAN = "length_ int, lo_ long, hi_ long, a_ int, b_ int, seq_ long, at_ int, each_ int, t0_ long"
 
 
+MOST_BROADCAST = 1 << 18
+
+
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The multiset of lengths, with the largest that is left, whose sum comes closest to capacity."""
     first = max(counts)
@@ -172,7 +175,9 @@ def pack(
     histogram = {r["tail_"]: r["n_"] for r in by_part.groupBy("tail_").agg(F.sum("n_").alias("n_")).collect()}  # at most `window` rows
     histogram.pop(0, None)
     planned, sequences = plan(histogram, window)
-    plan_rows = F.broadcast(spark.createDataFrame(pd.DataFrame(planned, columns=[c.split()[0] for c in _PLAN.split(", ")]), _PLAN) if planned else spark.createDataFrame([], _PLAN))
+    plan_rows = spark.createDataFrame(pd.DataFrame(planned, columns=[c.split()[0] for c in _PLAN.split(", ")]), _PLAN) if planned else spark.createDataFrame([], _PLAN)
+    if len(planned) <= MOST_BROADCAST:  # follows from the window; beyond it the join is left to the planner
+        plan_rows = F.broadcast(plan_rows)
 
     before = Window.partitionBy("tail_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     tail_from = by_part.select("part_", "tail_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("rank_from_"))
