@@ -23,5 +23,8 @@ def ship(spark: SparkSession) -> SparkSession:
         staged = os.path.join(folder, "package")
         shutil.copytree(package, os.path.join(staged, package.name), ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
         spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "eventlake-package"), "zip", staged))
+        # Stream sources are planned by a Python process beside the driver, which gets no shipped files.
+        paths = [str(package.parent), *filter(None, [spark.sparkContext.environment.get("PYTHONPATH")])]
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(paths)
         _SHIPPED.add(app)
     return spark

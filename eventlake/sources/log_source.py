@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from eventlake.plans import scratch
+from eventlake.plans.session import ship
 from eventlake.schema import NOTIFICATION
 from eventlake.sources import commits
 
@@ -126,5 +127,5 @@ class LogSource(DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
-    spark.dataSource.register(LogSource)
+    ship(spark).dataSource.register(LogSource)
     return spark
