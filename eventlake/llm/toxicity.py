@@ -75,7 +75,7 @@ class Model:
             for word in distinct_words(text):
                 got = known.get(word)
                 if got is None:
-                    if len(known) > 400_000:
+                    if len(known) > 200_000:
                         known.clear()
                     got = known[word] = tuple(f for f in word_features(word) if f in weights)
                 if got:
