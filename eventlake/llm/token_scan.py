@@ -76,6 +76,19 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(found, "file string, bytes long")
 
 
+def sized(files: DataFrame, folder: str) -> DataFrame:
+    """(file, bytes) of named files, asked for by the executors: the driver lists nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = scratch.filesystem(folder)
+        for batch in batches:
+            names = batch["file"].tolist()
+            found = store.get_file_info([f"{base}/{name}" for name in names]) if names else []
+            yield pd.DataFrame({"file": names, "bytes": [x.size for x in found]}, columns=["file", "bytes"])
+
+    return files.select("file").mapInPandas(run, "file string, bytes long")
+
+
 def scan(files: DataFrame, folder: str, end_id: int = 49_407, width: int = 2, block_tokens: int = 1 << 21) -> DataFrame:
     """One row per document of ``files`` (file, bytes): file, ordinal, start, n_tokens, terminated.
 
@@ -137,5 +150,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     folder = scratch.place(spark, "tokens")
     written = write_token_files(docs, folder, id_col, text_col, tokenizer_path, end_id, width)
-    files = listing(spark, folder).join(written.select("file").distinct(), "file", "left_semi")
+    files = sized(written.select("file").distinct(), folder)
     return scan(files, folder, end_id, width).join(written, ["file", "ordinal"]).select(id_col, "file", "ordinal", "start", "n_tokens")
