@@ -20,7 +20,6 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
