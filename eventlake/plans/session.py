@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -28,3 +28,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(paths)
         _SHIPPED.add(app)
     return spark
+
+
+def small_batches(frame: DataFrame, rows: int = 2000) -> DataFrame:
+    """``frame``; rows with long texts go to Python in batches of at most ``rows`` from now on.
+
+    A worker holds a batch several times over (Arrow, objects, results), so this bounds its memory.
+    """
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return frame
