@@ -23,6 +23,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.plans.session import small_batches
+
 # Element names of the HTML standard, by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -398,5 +400,5 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
     schema = T.StructType([*[T.StructField(n, f.dataType, True) for n, f in zip(inner, own, strict=True)], T.StructField("text_", T.StringType())])
     rows = pages.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(inner, own, strict=True)], F.col(f"`{html_col}`").alias("html_"))
-    out = rows.mapInArrow(run, schema)
+    out = small_batches(rows).mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(f.name) for n, f in zip(inner, own, strict=True)], F.col("text_").alias(out_col))

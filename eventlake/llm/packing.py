@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.tokens import default_path, tokenizer
 from eventlake.plans import scratch
+from eventlake.plans.session import small_batches
 
 _ROWS = "part_ int, row_ long, id_ long, tokens_ long, crcs_ array<long>, tail_ int, rank_ long, full_ long, ids_ binary"
 _PLAN = "length_ int, lo_ long, hi_ long, a_ int, b_ int, seq_ long, at_ int, each_ int, t0_ long"
@@ -141,7 +142,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, path: s
             yield frame.astype({"id_": "Int64"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    return rows.mapInPandas(run, _ROWS)
+    return small_batches(rows).mapInPandas(run, _ROWS)
 
 
 def _cut_checksums(rows: DataFrame) -> DataFrame:

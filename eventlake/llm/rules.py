@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.sample import bounded
 from eventlake.plans import scratch
+from eventlake.plans.session import small_batches
 
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -72,7 +73,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield out.assign(id_=batch["id_"].array)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    return rows.mapInPandas(run, ", ".join(f"{s} long" for s in STATISTICS) + ", id_ long")
+    return small_batches(rows).mapInPandas(run, ", ".join(f"{s} long" for s in STATISTICS) + ", id_ long")
 
 
 #: What thresholds are put on, each from the statistics.

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.components import components
 from eventlake.plans import scratch
+from eventlake.plans.session import small_batches
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 14
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"id_": batch["id_"], "mark_": batch["mark_"], "fp_": prints.view(np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), _mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    return rows.mapInPandas(run, "id_ long, mark_ long, fp_ long")
+    return small_batches(rows).mapInPandas(run, "id_ long, mark_ long, fp_ long")
 
 
 def _masks(blocks: int, bits: int) -> list[int]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.tokens import default_path, tokenizer
 from eventlake.plans import scratch
+from eventlake.plans.session import small_batches
 
 
 def write_token_files(
@@ -63,7 +64,7 @@ def write_token_files(
     store, base = scratch.filesystem(folder)
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    written = scratch.keep(rows.mapInPandas(run, "file string, ordinal long, id_ long"), "token-files")
+    written = scratch.keep(small_batches(rows).mapInPandas(run, "file string, ordinal long, id_ long"), "token-files")
     return written.withColumnRenamed("id_", id_col)
 
 

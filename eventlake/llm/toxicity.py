@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm.sample import bounded
+from eventlake.plans.session import small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
@@ -148,7 +149,7 @@ def train(
     folds: int = 5, most_toxic: int = 2500, most_unlabelled: int = 5000, most_clean: int = 2000, most_features: int = 1024,
 ) -> Model:
     """Learn from labels outside the held-out fold and from unlabelled texts outside it."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     fold = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds))
     known = fold.groupBy(F.col(id_col).cast("long").alias("id_")).agg((F.max(label_col) > 0).alias("toxic_"))
     counts = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic_").cast("long")), F.lit(0))).first()

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.plans import scratch
+from eventlake.plans.session import small_batches
 
 _BUCKETS = 16_384
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:eventlake:warc")
@@ -182,7 +183,7 @@ def write(
 
     store, base_path = scratch.filesystem(folder)
     store.create_dir(base_path, recursive=True)
-    dealt.mapInPandas(run, _MANIFEST).write.parquet(f"{folder}/manifest")
+    small_batches(dealt).mapInPandas(run, _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
