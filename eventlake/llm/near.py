@@ -1,0 +1,210 @@
+"""Near duplicates by similarity: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+
+Each distinct text has a MinHash signature of 128 values, and is listed under ``BANDS`` keys of
+``ROWS`` values each, so two texts at exactly 0.8 miss each other under all keys once in 4,600 cases,
+and closer ones less often.  What meets is compared by signature first (a pair at 0.8 falls under
+``SIEVE`` once in some 20,000 cases) and then exactly, by the shingles of both whole texts.
+
+First each block's texts are held against the block's smallest one.  Then, in blocks whose texts are
+still in several components, all pairs of different components are.  Such blocks with more than
+``crowd`` texts are listed again under ``FINE`` keys of ``FINE_ROWS`` values, and where those are
+crowded too they are dealt to parts, differently under each key: no row is left out, memory is
+bounded, and close texts still meet in several of them.
+
+Defined results: null and empty texts have the empty shingle, so they are copies of each other.  A
+text with fewer words than a shingle is one shingle.  Words are as in ``simhash``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eventlake.llm.components import components
+from eventlake.llm.simhash import _LOWER, keep_heads, mark
+from eventlake.plans import scratch
+from eventlake.plans.session import small_batches
+
+SIZE, BANDS, ROWS, SIEVE, FINE, FINE_ROWS = 128, 16, 4, 0.65, 40, 8
+_RNG = np.random.default_rng(42)
+_A = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 1 << 63, SIZE, dtype=np.uint64)
+_PLACES = np.array([_RNG.choice(SIZE, FINE_ROWS, replace=False) for _ in range(FINE)])
+_CHUNK = 1 << 12
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    hash_ = xxhash.xxh64_intdigest
+    found = {hash_(b" ".join(tokens[i : i + words]), 42) for i in range(max(len(tokens) - words + 1, 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each of ``SIZE`` hash functions."""
+    least = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        np.minimum(least, (hashes[at : at + _CHUNK, None] * _A + _B).min(0), out=least)
+    return (least >> np.uint64(32)).astype("<u4")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _keys(parts: np.ndarray) -> list[int]:
+    return [_signed(xxhash.xxh64_intdigest(p.tobytes(), 42)) for p in parts]
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id_, mark_, sig_, keys_) for each row; sig_ has one byte of each value."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [signature(shingles(t, words)) for t in batch["text_"]]
+            keys = [_keys(s[: BANDS * ROWS].reshape(BANDS, ROWS)) for s in found]
+            yield pd.DataFrame({"id_": batch["id_"], "mark_": batch["mark_"], "sig_": [s.astype(np.uint8).tobytes() for s in found], "keys_": keys})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id_"), mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    return small_batches(rows).mapInPandas(run, "id_ long, mark_ long, sig_ binary, keys_ array<long>")
+
+
+def _bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SIZE)
+
+
+def _sieved(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) whose signatures are alike."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series((_bytes(a) == _bytes(b)).mean(1) >= SIEVE if len(a) else np.array([], bool))
+
+    of = lambda name: sigs.select(F.col("mark_").alias(name), F.col("sig_").alias(f"sig_{name}"))
+    return pairs.join(of("v"), "v").join(of("u"), "u").where(alike("sig_u", "sig_v")).select("u", "v")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose whole texts have a similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = of_last = None
+        for batch in batches:
+            good = []
+            for u, a, b in zip(batch["u"], batch["text_u"], batch["text_v"], strict=True):
+                if u != last:
+                    last, of_last = u, shingles(a, words)
+                good.append(similarity(of_last, shingles(b, words)) >= least)
+            yield batch.loc[np.array(good, bool), ["u", "v"]]
+
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("mark_")).distinct()
+    texts = docs.select(mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    texts = scratch.keep(texts.join(nodes, "mark_", "left_semi").dropDuplicates(["mark_"]), "near-texts")
+    of = lambda name: texts.select(F.col("mark_").alias(name), F.col("text_").alias(f"text_{name}"))
+    both = pairs.join(of("v"), "v").join(of("u"), "u")
+    return scratch.keep(small_batches(both).select("u", "v", "text_u", "text_v").mapInPandas(run, "u long, v long"), "near-edges")
+
+
+def _crossing(members: DataFrame) -> DataFrame:
+    """Pairs (u < v) of one block (c_, key_, part_) that are in different components and alike."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
+            names = rest[["c_", "key_", "part_"]].to_numpy()
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            if not len(cuts):
+                continue
+            done, rest = rest.iloc[: cuts[-1]], rest.iloc[cuts[-1] :].reset_index(drop=True)
+            yield from pairs_of(done, cuts[:-1])
+        if rest is not None:
+            yield from pairs_of(rest, np.array([], np.int64))
+
+    def pairs_of(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, root, sigs = rows["mark_"].to_numpy(), rows["root_"].to_numpy(), _bytes(rows["sig_"])
+        for a, b in zip(np.concatenate(([0], cuts)), np.append(cuts, len(rows)), strict=True):
+            us, vs = [], []
+            for i in range(a, b - 1):
+                others = np.flatnonzero(root[i + 1 : b] != root[i]) + i + 1
+                others = others[(sigs[others] == sigs[i]).mean(1) >= SIEVE]
+                us += [node[i]] * len(others)
+                vs += node[others].tolist()
+            if us:
+                yield pd.DataFrame({"u": us, "v": vs}, dtype="int64")
+
+    spread = members.select("c_", "key_", "part_", "mark_", "root_", "sig_").repartition("c_", "key_", "part_")
+    found = spread.sortWithinPartitions("c_", "key_", "part_", "mark_").mapInPandas(run, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _mixed(listed: DataFrame) -> DataFrame:
+    """(c_, key_, n_, head_, head_root_) of blocks with texts of several components."""
+    found = listed.groupBy("c_", "key_").agg(F.count(F.lit(1)).alias("n_"), F.min("mark_").alias("head_"), F.min("root_").alias("a_"), F.max("root_").alias("z_"))
+    return found.where("a_ <> z_").drop("a_", "z_")
+
+
+def _second_pairs(rooted: DataFrame, crowd: int) -> DataFrame:
+    """Pairs (u, v) of texts in different components that share a block."""
+    listed = rooted.select("mark_", "root_", F.posexplode("keys_").alias("c_", "key_"))
+    mixed = scratch.keep(_mixed(listed), "near-mixed")
+    sigs = rooted.select("mark_", "sig_")
+    few = listed.join(mixed.where(F.col("n_") <= crowd).select("c_", "key_"), ["c_", "key_"], "left_semi").join(sigs, "mark_")
+    pairs = _crossing(few.withColumn("part_", F.lit(0)))
+    many = mixed.where(F.col("n_") > crowd)
+    if not many.limit(1).count():
+        return pairs
+
+    @F.pandas_udf("array<long>")
+    def finer(column: pd.Series) -> pd.Series:
+        return pd.Series([_keys(np.frombuffer(s, np.uint8)[_PLACES]) for s in column])
+
+    dense = listed.join(many.select("c_", "key_"), ["c_", "key_"], "left_semi").select("mark_").distinct()
+    fine = scratch.keep(rooted.join(dense, "mark_", "left_semi").select("mark_", "root_", "sig_", finer("sig_").alias("keys_")), "near-fine")
+    fine = fine.select("mark_", "root_", "sig_", F.posexplode("keys_").alias("c_", "key_"))
+    parts = F.ceil(F.col("n_") / crowd).cast("int")
+    dealt = fine.join(_mixed(fine), ["c_", "key_"]).withColumn("part_", F.pmod(F.xxhash64("mark_", "c_"), parts).cast("int"))
+    stars = _sieved(dealt.where("mark_ <> head_").select(F.col("head_").alias("u"), F.col("mark_").alias("v")).distinct(), sigs)
+    return pairs.unionByName(_crossing(dealt)).unionByName(stars)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, crowd: int = 256) -> DataFrame:
+    """(id_, mark_, root_) for each row."""
+    rows = scratch.keep(_signatures(docs, id_col, text_col, words), "near-rows")
+    texts = scratch.keep(rows.select("mark_", "sig_", "keys_").dropDuplicates(["mark_"]), "near-distinct")
+    listed = texts.select("mark_", F.posexplode("keys_").alias("c_", "key_"))
+    heads = listed.groupBy("c_", "key_").agg(F.min("mark_").alias("u"), F.max("mark_").alias("z_")).where("u <> z_")
+    stars = listed.join(heads, ["c_", "key_"]).where("mark_ <> u").select("u", F.col("mark_").alias("v")).distinct()
+    first = scratch.keep(_sieved(stars, texts), "near-first")
+    edges = _verified(first, docs, text_col, words, least)
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        found = components(edges).withColumnRenamed("node", "mark_")
+        return scratch.keep(texts.join(found, "mark_", "left").withColumn("root_", F.coalesce("root", "mark_")).drop("root"), "near-rooted")
+
+    now = rooted(edges)
+    second = scratch.keep(_second_pairs(now, crowd).distinct().join(first, ["u", "v"], "left_anti"), "near-second")
+    if second.limit(1).count():
+        more = _verified(second, docs, text_col, words, least)
+        if more.limit(1).count():
+            now = rooted(edges.unionByName(more))
+    return rows.select("id_", "mark_").join(now.select("mark_", "root_"), "mark_")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group one with the smallest id (null is the largest).
+
+    Rows that repeat it stay only once; of several texts under that id one stays.
+    """
+    return keep_heads(docs, _grouped(docs, id_col, text_col, **options), id_col, text_col)

@@ -55,7 +55,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * set_bits > count, bitorder="little").view("<u8")[0])
 
 
-def _mark(text_col: str):
+def mark(text_col: str):
     """Tells rows of one id apart by their texts."""
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.fromiter((fingerprint(t, words, seed) for t in batch["text_"]), np.uint64, len(batch))
             yield pd.DataFrame({"id_": batch["id_"], "mark_": batch["mark_"], "fp_": prints.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id_"), _mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id_"), mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
     return small_batches(rows).mapInPandas(run, "id_ long, mark_ long, fp_ long")
 
 
@@ -169,12 +169,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows that repeat it stay only once; of several texts under that id one stays.
     """
+    return keep_heads(docs, _grouped(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_heads(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each root_ of ``grouped`` (id_, mark_, root_)."""
     names = docs.columns
     first = F.min(F.struct(F.col("id_").isNull().alias("n"), "id_", "mark_")).alias("f_")
-    heads = _grouped(docs, id_col, text_col, **options).groupBy("root_").agg(first)
+    heads = grouped.groupBy("root_").agg(first)
     kept = scratch.keep(heads.select(F.col("f_.id_").alias("keep_id_"), F.col("f_.mark_").alias("keep_mark_")), "simhash-kept")
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col(id_col).cast("long").alias("row_id_"), _mark(text_col).alias("row_mark_")
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), F.col(id_col).cast("long").alias("row_id_"), mark(text_col).alias("row_mark_")
     )
     rows = packed.join(kept, F.col("row_id_").eqNullSafe(F.col("keep_id_")) & (F.col("row_mark_") == F.col("keep_mark_")), "left_semi")
     if rows.select("row_id_").count() > kept.count():  # rows that are repeated
