@@ -270,6 +270,17 @@ def version_asof_join(spark, sf):
     return history.version_asof(orders.unionByName(users).distinct(), _stored(spark, sf))
 
 
+@query(
+    ", asked AS (SELECT CAST(o_custkey AS VARCHAR) AS originator_id, o_orderdate AS as_of FROM orders UNION "
+    f"SELECT originator_id, TIMESTAMP '{AS_OF}' FROM se) "
+    "SELECT a.originator_id, a.as_of, coalesce(max(se.originator_version), 0) AS version FROM asked a LEFT JOIN se ON se.originator_id = a.originator_id AND se.ts <= a.as_of GROUP BY 1, 2"
+)
+def version_asof_join_all(spark, sf):
+    orders = adapters.orders_as_notifications(spark, sf).select("originator_id", F.col("timestamp").alias("as_of"))
+    users = _log(spark, sf).select("originator_id", F.lit(AS_OF).cast("timestamp_ntz").alias("as_of"))
+    return history.version_asof(orders.unionByName(users).distinct(), _stored(spark, sf))
+
+
 @query(
     "SELECT originator_id, originator_version, CAST(sum(amount) OVER (PARTITION BY originator_id ORDER BY originator_version) AS DECIMAL(38,2)) AS balance FROM se"
 )
