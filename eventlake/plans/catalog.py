@@ -225,6 +225,15 @@ def log_join_state(spark, sf):
     return reads.entries_with_state(_log(spark, sf).select("notification_id", "originator_id"), states, gt=10, lte=500).select("notification_id", "originator_id", "balance")
 
 
+@query(
+    ", st AS (SELECT originator_id, sum(amount) AS balance FROM se GROUP BY 1) "
+    "SELECT notification_id, se.originator_id, CAST(balance AS DECIMAL(38,2)) AS balance FROM se JOIN st USING (originator_id)"
+)
+def log_join_state_all(spark, sf):
+    states = _log(spark, sf).groupBy("originator_id").agg(_balance().alias("balance"))
+    return reads.entries_with_state(_log(spark, sf).select("notification_id", "originator_id"), states).select("notification_id", "originator_id", "balance")
+
+
 @query(
     ", l AS (SELECT 'events' AS leader_name, max(notification_id) AS m FROM se UNION ALL SELECT 'orders', max(o_orderkey + 1) FROM orders), "
     "t AS (SELECT application_name, max(notification_id) AS t FROM tracking GROUP BY 1) "
