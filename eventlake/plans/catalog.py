@@ -428,6 +428,25 @@ def conflict_vs_table(spark, sf):
     return versions.conflicts_with_table(_batch(spark, sf), _stored(spark, sf).where("topic = 'view'"))
 
 
+_BATCH_ALL = "SELECT originator_id, originator_version FROM se UNION ALL SELECT originator_id, originator_version FROM se WHERE topic = 'purchase'"
+
+
+def _batch_all(spark, sf):
+    """All events, purchases twice."""
+    rows = _stored(spark, sf).select("originator_id", "originator_version", "topic")
+    return rows.unionByName(rows.where("topic = 'purchase'")).drop("topic")
+
+
+@query(f", b AS ({_BATCH_ALL}) SELECT originator_id, originator_version, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1")
+def conflict_in_batch_all(spark, sf):
+    return versions.conflicts_in_batch(_batch_all(spark, sf))
+
+
+@query(f", b AS ({_BATCH_ALL}) SELECT originator_id, originator_version FROM b WHERE EXISTS (SELECT 1 FROM se s WHERE s.originator_id = b.originator_id AND s.originator_version = b.originator_version)")
+def conflict_vs_table_all(spark, sf):
+    return versions.conflicts_with_table(_batch_all(spark, sf), _stored(spark, sf))
+
+
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS originator_version FROM orders")
 def assign_versions(spark, sf):
     rows = adapters.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
