@@ -6,9 +6,12 @@ weight), until the table is full.  A key's slot is its hash modulo the table siz
 what stands there: constant time, near-even shares, and few moves when shards come or go.
 
 The table depends on shard names, weights and size only.  It has ``size`` rows (65,537 by default,
-under 1 MB) however large the data are; that bounds the broadcast.
+under 1 MB; at most ``MAX_TABLE``) however large the data are; that bounds the broadcast, and the
+driver's memory while the table is filled.
 
-Defined results: a null key is placed like the empty string.  Equal keys share a shard.
+Defined results: a null key is placed like the empty string.  Equal keys share a shard, so repeated
+rows do.  An empty table gives an empty result.  All columns stay, whatever their names, but for
+shard_slot and shard, which are replaced.
 """
 
 from __future__ import annotations
@@ -41,17 +44,17 @@ def lookup_table(shards: list[str], size: int = 65_537, weights: list[int] | Non
     if len(weights) != len(shards) or min(weights) < 0 or not any(weights):
         raise ValueError("weights must be counts, one for each shard, not all zero")
     # Slot j of shard i's permutation is (offset_i + j * skip_i) mod size; size is prime, so all slots occur.
-    offset = np.array([_hash(s, "offset") % size for s in shards])
-    skip = np.array([_hash(s, "skip") % (size - 1) + 1 for s in shards])
-    preference = [((o + k * np.arange(size, dtype=np.int64)) % size).tolist() for o, k in zip(offset, skip, strict=True)]
-    table, at, free = [-1] * size, [0] * len(shards), size
+    # Only the next slot of each is held, so memory is that of the table however many shards there are.
+    at = [_hash(s, "offset") % size for s in shards]
+    skip = [_hash(s, "skip") % (size - 1) + 1 for s in shards]
+    table, free = [-1] * size, size
     while True:
         for i, turns in enumerate(weights):
             for _ in range(turns):
-                mine = preference[i]
-                while table[mine[at[i]]] >= 0:
-                    at[i] += 1
-                table[mine[at[i]]] = i
+                slot, step = at[i], skip[i]
+                while table[slot] >= 0:
+                    slot = (slot + step) % size
+                table[slot], at[i] = i, slot
                 free -= 1
                 if not free:
                     return np.array(table, np.int32)

@@ -7,7 +7,10 @@ its separator, so the blocks' last separators and counts are stitched by a prefi
 blocks of a file: its carried end gives the first document's start, its running count the ordinals.
 
 Defined results: two adjacent separators enclose a document of 0 ids.  Ids after the last
-separator are a document with ``terminated`` false.  An empty file has no documents.
+separator are a document with ``terminated`` false.  An empty file has no documents.  Of a table,
+null and empty texts have 0 ids, a null id stays null, repeated rows are counted each for itself,
+and an empty table gives an empty result.  Other columns than id and text are not read; an id
+column that is named as one of the results is kept, and that result is called token_<name>.
 """
 
 from __future__ import annotations
@@ -19,19 +22,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventlake.llm.spread import spread
 from eventlake.llm.tokens import default_path, tokenizer
 from eventlake.plans import scratch
-from eventlake.plans.session import small_batches
 
 
 def write_token_files(
     docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
     tokenizer_path: str | None = None, end_id: int = 49_407, width: int = 2, file_tokens: int = 1 << 27,
 ) -> DataFrame:
-    """Write whole texts as token files below ``folder``; (file, ordinal, id) says what was written where.
+    """Write whole texts as token files below ``folder``; (file_, ordinal_, id_) says what was written where.
 
     Null and empty texts are a separator alone.  Each attempt of a task writes names of its own,
-    and only those of committed attempts are in the returned (written) table.
+    and only those of committed attempts are in the returned (written) table.  A text that yields
+    ``end_id`` or an id over ``width`` bytes could not be told apart again and raises ValueError;
+    the default tokenizer and width have neither.
     """
     path = tokenizer_path or default_path()
 
@@ -57,15 +62,15 @@ def write_token_files(
                 if written >= file_tokens:
                     sink.close()
                     sink, files = None, files + 1
-            yield pd.DataFrame(out, columns=["file", "ordinal", "id_"]).astype({"id_": "Int64"})
+            yield pd.DataFrame(out, columns=["file_", "ordinal_", "id_"]).astype({"id_": "Int64"})
         if sink is not None:
             sink.close()
 
     store, base = scratch.filesystem(folder)
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    written = scratch.keep(small_batches(rows).mapInPandas(run, "file string, ordinal long, id_ long"), "token-files")
-    return written.withColumnRenamed("id_", id_col)
+    written = scratch.keep(rows.mapInPandas(run, "file_ string, ordinal_ long, id_ long"), "token-files", batch_rows=2000)
+    return written
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +92,7 @@ def sized(files: DataFrame, folder: str) -> DataFrame:
             found = store.get_file_info([f"{base}/{name}" for name in names]) if names else []
             yield pd.DataFrame({"file": names, "bytes": [x.size for x in found]}, columns=["file", "bytes"])
 
-    return files.select("file").mapInPandas(run, "file string, bytes long")
+    return spread(files.select("file")).mapInPandas(run, "file string, bytes long")
 
 
 def scan(files: DataFrame, folder: str, end_id: int = 49_407, width: int = 2, block_tokens: int = 1 << 21) -> DataFrame:
@@ -96,9 +101,8 @@ def scan(files: DataFrame, folder: str, end_id: int = 49_407, width: int = 2, bl
     start and n_tokens count ids; the separator is not counted.
     """
     size = block_tokens * width
-    blocks = files.where(F.col("bytes") > 0).select(
-        "file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {size}"))).alias("block")
-    )
+    known = scratch.keep(files.where(F.col("bytes") > 0).select("file", "bytes"), "token-sizes")
+    blocks = known.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {size}"))).alias("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = scratch.filesystem(folder)
@@ -112,10 +116,7 @@ def scan(files: DataFrame, folder: str, end_id: int = 49_407, width: int = 2, bl
                 yield pd.DataFrame({"file": [file], "tokens_": [total // width], "block": [block], "ends": [ends]})
 
     # The scan reads each block once; what is left of it is positions.
-    found = scratch.keep(
-        blocks.repartition(F.col("file"), F.col("block")).mapInPandas(run, "file string, tokens_ long, block long, ends array<long>"),
-        "token-ends",
-    )
+    found = scratch.keep(spread(blocks).mapInPandas(run, "file string, tokens_ long, block long, ends array<long>"), "token-ends")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     marks = found.select("file", "tokens_", "block", F.size("ends").alias("n_"), F.expr("if(size(ends) > 0, ends[size(ends) - 1], null)").alias("last_"))
     stitched = marks.select(
@@ -151,5 +152,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     folder = scratch.place(spark, "tokens")
     written = write_token_files(docs, folder, id_col, text_col, tokenizer_path, end_id, width)
-    files = sized(written.select("file").distinct(), folder)
-    return scan(files, folder, end_id, width).join(written, ["file", "ordinal"]).select(id_col, "file", "ordinal", "start", "n_tokens")
+    files = scratch.keep(written.select(F.col("file_").alias("file")).distinct(), "token-names")
+    found = scan(sized(files, folder), folder, end_id, width)
+    on = (found["file"] == written["file_"]) & (found["ordinal"] == written["ordinal_"])
+    return found.join(written, on).select(F.col("id_").alias(id_col), *[F.col(c).alias(f"token_{c}" if c == id_col else c) for c in ("file", "ordinal", "start", "n_tokens")])

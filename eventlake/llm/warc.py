@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Writing.  Records are dealt to shards by ranges of page id that hold about ``shard_bytes`` of
-payload each, from a histogram of exact sums, so the same table gives the same shards on any
-cluster.  Each shard is sorted and written by one task, a gzip member per record; a file is closed
+Writing.  Records are dealt to shards by ranges of page id and payload digest that hold about
+``shard_bytes`` each, cut at exact prefix sums, so the same table gives the same shards on any
+cluster.  There are at most ``MOST_SHARDS`` of them (and one); beyond, shards get larger, which bounds
+the table of cuts.  Each shard is sorted and written by one task, a gzip member per record; a file is closed
 when it has ``roll_bytes`` compressed bytes.  Headers, record ids, lengths and digests are made
 anew from the content.  A file is written under a temporary name, moved to its final name, and
 counts only once the manifest (a table committed after all files) names it, with its own digest.
@@ -14,26 +15,31 @@ SHA-256 and length.  What decides travels as a small row beside the page into th
 pages are shuffled once.
 
 Defined results: a null payload is empty.  A null page id comes last and refers to the smallest
-id, if there is one.  Rows that repeat the smallest id are responses too.  Line ends and other
-control characters in a URL are percent-encoded; a null URL becomes urn:page:<id>.
+id, if there is one.  Rows that repeat the smallest id are responses too, and rows that repeat id
+and payload share a shard, whatever its size; it is streamed and its files are rolled all the same.
+Line ends and other control characters in a URL are percent-encoded; a null URL becomes
+urn:page:<id>.  An empty table makes an empty manifest.  Other columns than id, URL and HTML are
+not read.  Ids may be any long.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.spread import spread
 from eventlake.plans import scratch
-from eventlake.plans.session import small_batches
 
-_BUCKETS = 16_384
+MOST_SHARDS = 1 << 17
+_HEADERS = 512  # what a record has beside its payload, about
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:eventlake:warc")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "file string, shard long, records long, bytes long, sha256 string"
@@ -79,23 +85,52 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _shards(light: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """(bucket_, shard_) of at most _BUCKETS rows, the lowest id, the width of a bucket, the number of shards."""
-    lo, hi = light.agg(F.min("id_"), F.max("id_")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // _BUCKETS + 1
-    sums = light.groupBy(_bucket(lo, width).alias("b_")).agg(F.sum(F.col("bytes_") + 1).alias("s_")).collect()  # a row per bucket
-    shard, held, rows = 0, 0, []
-    for bucket, size in sorted((r["b_"], r["s_"]) for r in sums):
-        if held and held + size > shard_bytes:
-            shard, held = shard + 1, 0
-        held += size
-        rows.append((bucket, shard))
-    return light.sparkSession.createDataFrame(rows, "bucket_ long, shard_ long"), lo, width, shard + 1
+def _cuts(light: DataFrame, shard_bytes: int) -> list[tuple[int, int, str]]:
+    """The place (1 for a null id, id, digest in hexadecimal) of the first record of each shard but the first.
 
+    Records are set in order, each begins where the sizes before it end, and those that begin in the
+    same ``shard_bytes`` are a shard.  So a shard exceeds that by less than its last record, whatever
+    the ids are.  The sizes are summed within tasks, then over the tasks.
+    """
+    sizes = light.groupBy("id_", "key_").agg(F.sum(F.col("bytes_") + _HEADERS).cast("long").alias("size_"))  # repeats are merged first
+    sizes = scratch.keep(sizes.select(*_place(), "size_"), "warc-sizes")
+    each = max(shard_bytes, -(-(sizes.agg(F.sum("size_")).first()[0] or 0) // MOST_SHARDS))
 
-def _bucket(lo: int, width: int):
-    return F.coalesce(F.expr(f"(id_ - {lo}L) div {width}L"), F.lit(_BUCKETS).cast("long"))  # null ids come last
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = batch["size_"].cumsum() + at
+            at = int(ends.iloc[-1]) if len(ends) else at
+            yield batch.assign(part_=part, start_=ends - batch["size_"], end_=ends).drop(columns="size_")
+
+    ordered = sizes.repartitionByRange("n_", "i_", "k_").sortWithinPartitions("n_", "i_", "k_")
+    begun = scratch.keep(ordered.mapInPandas(run, "n_ int, i_ long, k_ string, part_ int, start_ long, end_ long"), "warc-order")
+    shifts, at = [], 0
+    for part, end in sorted((r["part_"], r["e_"]) for r in begun.groupBy("part_").agg(F.max("end_").alias("e_")).collect()):  # a row per task
+        shifts.append((part, at))
+        at += end
+    table = light.sparkSession.createDataFrame(shifts, "part_ int, shift_ long")
+    numbered = begun.join(F.broadcast(table), "part_").withColumn("shard_", F.expr(f"(start_ + shift_) div {each}"))
+    firsts = numbered.groupBy("shard_").agg(F.min(F.struct("n_", "i_", "k_")).alias("f_")).collect()  # at most MOST_SHARDS rows and one
+    return sorted(tuple(r["f_"]) for r in firsts)[1:]
+
+
+def _place() -> list[Column]:
+    return [F.col("id_").isNull().cast("int").alias("n_"), F.coalesce("id_", F.lit(0).cast("long")).alias("i_"), F.hex("key_").alias("k_")]
+
+
+def _shard(cuts: list[tuple[int, int, str]]) -> Column:
+    """How many of the ``cuts`` are at or before the row's place, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps([{"n_": n, "i_": i, "k_": k} for n, i, k in cuts])), "array<struct<n_:int,i_:bigint,k_:string>>")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+    most, here = F.lit(len(cuts)), F.struct(*_place())
+    # The table is a constant, so the optimizer parses it once.
+    after = lambda at, step: (at + step <= most) & (F.element_at(table, F.least(at + step, most)) <= here)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(after(at, step), at + step).otherwise(at))
 
 
 def write(
@@ -113,14 +148,15 @@ def write(
     copied = firsts.where((F.col("n_") > 1) & F.col("first_").isNotNull()).select("key_", "bytes_", "first_")
     revisits = light.join(copied, ["key_", "bytes_"]).where(~F.col("id_").eqNullSafe(F.col("first_"))).select("id_", "key_", "first_").distinct()
 
-    table, lo, width, count = _shards(light, shard_bytes)
+    cuts = _cuts(light, shard_bytes)
     told = revisits.select("id_", "key_", F.lit(0).alias("kind_"), F.lit(None).cast("string").alias("url_"), F.lit(None).cast("binary").alias("payload_"), "first_")
     full = keyed.select("id_", "key_", F.lit(1).alias("kind_"), "url_", "payload_", F.lit(None).cast("long").alias("first_"))
-    rows = told.unionByName(full).withColumn("bucket_", _bucket(lo, width)).join(F.broadcast(table), "bucket_")
+    rows = told.unionByName(full).withColumn("shard_", _shard(cuts))
     # A shard is a partition: by its number, not by a hash of it, so that no task gets several.
-    dealt = rows.repartitionById(count, F.col("shard_").cast("int")).sortWithinPartitions(
+    dealt = rows.repartitionById(len(cuts) + 1, F.col("shard_")).sortWithinPartitions(
         "shard_", F.col("id_").asc_nulls_last(), "key_", "kind_", F.col("url_").asc_nulls_first()
     )
+    dealt = dealt.withColumns({c: F.col(c).cast("string") for c in ("id_", "first_")})  # pandas has no long that may be null
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -156,11 +192,10 @@ def write(
             sink, part = None, part + 1
 
         for batch in batches:
-            ids = batch["id_"].astype("Int64")
             for id_, key, kind, url, payload_, first, of in zip(
-                ids, batch["key_"], batch["kind_"], batch["url_"], batch["payload_"], batch["first_"].astype("Int64"), batch["shard_"], strict=True
+                batch["id_"], batch["key_"], batch["kind_"], batch["url_"], batch["payload_"], batch["first_"], batch["shard_"], strict=True
             ):
-                id_ = None if id_ is pd.NA else int(id_)
+                id_ = None if id_ is None else int(id_)
                 if of != shard:
                     if sink is not None:
                         close()
@@ -183,7 +218,8 @@ def write(
 
     store, base_path = scratch.filesystem(folder)
     store.create_dir(base_path, recursive=True)
-    small_batches(dealt).mapInPandas(run, _MANIFEST).write.parquet(f"{folder}/manifest")
+    with scratch.batches_of(spark, 2000):
+        dealt.mapInPandas(run, _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -235,7 +271,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             if payload_digest(payload) != digest or len(payload) != size:
                                 raise ValueError(f"{file}: a payload does not match its headers")
                         page, refers = headers["X-Page-ID"], headers.get("X-Refers-To-Page-ID")
-                        out.append((int(page) if page else None, size, digest, kind, int(refers) if refers else None, headers["WARC-Target-URI"], payload))
+                        out.append((page or None, size, digest, kind, refers, headers["WARC-Target-URI"], payload))
                         held += size
                         if held > 1 << 24:
                             yield frame(out)
@@ -244,8 +280,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     def frame(out: list[tuple]) -> pd.DataFrame:
         columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
-        return pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        return pd.DataFrame(out, columns=columns)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    files = manifest.select("file")
-    return files.repartition(F.col("file")).mapInPandas(run, schema)
+    found = spread(manifest.select("file")).mapInPandas(run, schema.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})

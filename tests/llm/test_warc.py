@@ -51,6 +51,38 @@ def test_round_trip_and_same_bytes_however_dealt(spark, tmp_path):
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and b"\r\nX: y" not in data
 
 
+def test_shards_are_bounded_whatever_the_ids(spark):
+    from pyspark.sql import functions as F
+
+    low, high = -(1 << 63), (1 << 63) - 1
+    crowd = spark.range(20_000).select(F.col("id").alias("id_"), F.lit(2000).cast("long").alias("bytes_"))
+    few = spark.createDataFrame([(low, 10), (high, 10), (1 << 61, 10), (None, 10)], "id_ long, bytes_ long")
+    one = spark.range(20_000).select(F.lit(5).cast("long").alias("id_"), F.lit(2000).cast("long").alias("bytes_"))
+    none = spark.range(20_000).select(F.lit(None).cast("long").alias("id_"), F.lit(2000).cast("long").alias("bytes_"))
+    for rows in (crowd.unionByName(few), one.unionByName(few), none.unionByName(few)):
+        light = rows.withColumn("key_", F.unhex(F.md5(F.monotonically_increasing_id().cast("string")))).select("id_", "key_", "bytes_")
+        light = spark.createDataFrame(light.collect(), light.schema)
+        cuts = warc._cuts(light, 1 << 20)
+        sizes = [r.s for r in light.groupBy(warc._shard(cuts).alias("shard")).agg(F.sum(F.col("bytes_") + warc._HEADERS).alias("s")).collect()]
+        assert max(sizes) <= 2 << 20 and len(sizes) == len(cuts) + 1 > 40
+        mine = sorted((r.n_, r.i_, r.k_, r.shard) for r in light.select(*warc._place(), warc._shard(cuts).alias("shard")).collect())
+        assert [r[3] for r in mine] == [sum(c <= r[:3] for c in cuts) for r in mine]
+
+
+def test_ids_at_both_ends_and_other_columns(spark, tmp_path):
+    rows = [(-(1 << 63), "a", "x"), ((1 << 63) - 1, "b", "x"), (None, "c", "y"), ((1 << 53) + 1, "d", "x" * 50_000_000)]
+    more = spark.createDataFrame(rows, PAGES).selectExpr("*", "'k' as key_", "1 as kind_", "2 as bucket_", "3 as shard_", "'p' as payload")
+    manifest = warc.write(more, f"file://{tmp_path}/w", shard_bytes=1000)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(manifest, f"file://{tmp_path}/w").drop("payload").collect()}
+    assert got == {rows[0][0]: (1, "response", None), rows[1][0]: (1, "revisit", rows[0][0]), None: (1, "response", None), rows[3][0]: (50_000_000, "response", None)}
+
+
+def test_files_are_read_by_several_tasks(spark, tmp_path):
+    manifest = warc.write(spark.createDataFrame([(i, "u", f"page {i}" * 200) for i in range(200)], PAGES), f"file://{tmp_path}/w", shard_bytes=20_000)
+    found = warc.read(manifest, f"file://{tmp_path}/w")
+    assert manifest.count() > 10 and found.rdd.getNumPartitions() > 3
+
+
 def test_only_large_payloads_revisit(spark, tmp_path):
     rows = [(1, "a", "xx"), (2, "b", "xx"), (3, "c", "long enough"), (4, "d", "long enough")]
     got = _run(spark, rows, f"file://{tmp_path}/w", 2, revisit_from=5)[1]
