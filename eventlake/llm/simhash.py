@@ -1,19 +1,32 @@
 """Near duplicates by SimHash fingerprints and pigeonhole blocks.
 
-A 64-bit fingerprint is cut into ``blocks`` blocks.  Fingerprints that differ in at most ``bits``
-bits agree in at least ``blocks - bits`` whole blocks, so each is listed once under every choice of
-that many blocks, and close pairs meet under at least one of them.  What meets is verified by
-Hamming distance; each block yields the edges of a spanning forest of its links, which keeps every
-link's two ends connected without listing all pairs.
-
-Distinct fingerprints, not documents, are listed, so copies cost nothing.  Blocks with more than
-``crowd`` fingerprints are not dealt to one task: their members are listed again under the finer
-choice of ``fine_blocks`` blocks of four bits, where a group cannot exceed 2**(4 * bits) = 4096
-fingerprints.  So memory is bounded and no link is lost.
+By bits (``near_groups``, ``keep_one``).  A 64-bit fingerprint is cut into ``blocks`` blocks.  Those
+that differ in at most ``bits`` bits agree in at least ``blocks - bits`` whole blocks, so each is
+listed once under every choice of that many blocks, and close pairs meet under at least one of them.
+What meets is verified by Hamming distance; each group yields the edges of a spanning forest of its
+links, which keeps every link's two ends connected without listing all pairs.  Distinct
+fingerprints, not documents, are listed, so copies cost nothing.  A group of more than ``crowd``
+fingerprints is not dealt to one task: the bits that its members do not share by their place in it
+are cut into blocks again, and only they are listed under the choices of those, until groups are
+small or have no more than 2**``_FEW_BITS`` fingerprints by their nature.  No link is lost.
+
+By similarity (``keep_similar``).  Sets of shingles with a Jaccard similarity of 0.8 differ in about
+10 of 64 bits of their fingerprints, and in every block.  So a text's fingerprint is ``VIEWS`` blocks
+and a whole: a block is the SimHash of a slice, the ``SLICE`` shingles that come first in an order of
+its own, the whole the 128-bit SimHash of all shingles.  Differences between texts leave slices
+untouched: texts at exactly 0.8 share no block once in 38,000 cases, closer ones less often.  What
+shares a block is verified by the Hamming distance of the wholes (a pair at 0.8 exceeds ``_WHOLE_BITS``
+less than once in 10,000 cases) and then exactly, by the shingles of both whole texts.  First the
+texts of a block are held against its smallest one.  In blocks that then still hold several
+components, all pairs of different components are, if it has at most ``crowd`` texts; those of
+larger ones are listed again under the pairs, then triples of blocks they share, and what is still
+crowded is compared a tile of ``crowd`` by ``crowd`` texts at a time.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which links like any
-other.  A text with fewer words than a shingle is one shingle.  A component whose ids are all null
-has a null component_id.  Other columns are not read.
+other; by similarity they are copies of each other.  A text with fewer words than a shingle is one
+shingle.  Repeated rows link to each other.  A component whose ids are all null has a null
+component_id.  An empty table gives an empty result.  Other columns are not read, whatever their
+names; the functions that keep rows keep all columns.  Ids may be any long.
 """
 
 from __future__ import annotations
@@ -24,35 +37,88 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm.components import components
 from eventlake.plans import scratch
-from eventlake.plans.session import small_batches
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_CHUNK = 1 << 14
+_CHUNK = 1 << 14  # counts within it fit 16 bits
+_FEW_BITS = 15
+VIEWS, SLICE, _WHOLE_BITS = 20, 4, 40
+_RNG = np.random.default_rng(42)
+_ORDERS = _RNG.integers(0, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BACK = np.array([pow(int(x), -1, 1 << 64) for x in _ORDERS], np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint of one text."""
+def _hashes(text: str | None, words: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in arrays of bounded size; none if it has no words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes split at \x20 and \x09-\x0D only
     n = len(tokens)
     if not n:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     count = max(n - words + 1, 1)
     last = ends[words - 1 :] if n >= words else ends[-1:]
     hash_ = xxhash.xxh64_intdigest
-    set_bits = np.zeros(64, np.int64)
-    for at in range(0, count, _CHUNK):  # a very long text takes a bounded array at a time
+    for at in range(0, count, _CHUNK):
         pairs = zip(starts[at : min(at + _CHUNK, count)].tolist(), last[at : at + _CHUNK].tolist(), strict=True)
-        hashes = np.array([hash_(joined[a:b], seed) for a, b in pairs], dtype="<u8")
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > count, bitorder="little").view("<u8")[0])
+        yield np.array([hash_(joined[a:b], seed) for a, b in pairs], dtype="<u8")
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits; the last axis but one is summed."""
+    return np.unpackbits(hashes[..., None].view(np.uint8), axis=-1, bitorder="little").sum(-2, dtype=np.uint16).astype(np.int64)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The unsigned fingerprint of one text."""
+    ones, count = np.zeros(64, np.int64), 0
+    for hashes in _hashes(text, words, seed):
+        ones += _ones(hashes)
+        count += len(hashes)
+    return int(_packed(2 * ones > count))
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text without words has the empty shingle."""
+    found = list(_hashes(text, words, seed)) or [np.array([xxhash.xxh64_intdigest(b"", seed)], "<u8")]
+    return np.unique(np.concatenate(found))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets of shingles."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _again(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits of each hash."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the whole: two numbers of 64 bits, the blocks: ``VIEWS`` of them) of a set of shingles."""
+    ones = np.zeros((2, 64), np.int64)
+    places = np.empty((VIEWS, 0), np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        some = hashes[at : at + _CHUNK]
+        ones += np.stack((_ones(some), _ones(_again(some))))
+        places = np.concatenate((places, some * _ORDERS[:, None]), axis=1)
+        if places.shape[1] > SLICE:
+            places = np.partition(places, SLICE - 1, axis=1)[:, :SLICE]
+    chosen = np.ascontiguousarray(places * _BACK[:, None])  # the factors are odd, so places tell their hashes
+    blocks = _packed(2 * _ones(chosen) > chosen.shape[1])
+    return _packed(2 * ones > len(hashes)), blocks
 
 
 def mark(text_col: str):
@@ -68,14 +134,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.fromiter((fingerprint(t, words, seed) for t in batch["text_"]), np.uint64, len(batch))
             yield pd.DataFrame({"id_": batch["id_"], "mark_": batch["mark_"], "fp_": prints.view(np.int64)})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id_"), mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    return small_batches(rows).mapInPandas(run, "id_ long, mark_ long, fp_ long")
+    return _rows(docs, id_col, text_col).mapInPandas(run, "id_ string, mark_ long, fp_ long").withColumn("id_", F.col("id_").cast("long"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_, mark_, text_) for Python; the id as text, as pandas has no long that may be null."""
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("id_"), mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
 
 
-def _masks(blocks: int, bits: int) -> list[int]:
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(chosen) for chosen in combinations(parts, blocks - bits)]
+def _masks(blocks: int, bits: int, known: int = 0) -> list[int]:
+    """Masks of every choice of ``blocks - bits`` of the blocks that the bits outside ``known`` are cut into, with ``known``."""
+    rest = [1 << i for i in range(64) if not known >> i & 1]
+    edges = [round(i * len(rest) / blocks) for i in range(blocks + 1)]
+    parts = [sum(rest[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return sorted({known | sum(chosen) for chosen in combinations(parts, blocks - bits)})
 
 
 def _signed(mask: int) -> int:
@@ -83,10 +155,9 @@ def _signed(mask: int) -> int:
 
 
 def _listed(prints: DataFrame, masks: list[int]) -> DataFrame:
-    """(c_, key_, fp_): each fingerprint under every choice of blocks."""
-    table = F.array(*[F.lit(_signed(m)) for m in masks])
-    listed = prints.select("fp_", F.posexplode(table).alias("c_", "mask_"))
-    return listed.select("c_", F.col("fp_").bitwiseAND(F.col("mask_")).alias("key_"), "fp_")
+    """(mask_, key_, fp_): each fingerprint under every choice of blocks."""
+    listed = prints.select("fp_", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask_"))
+    return listed.select("mask_", F.col("fp_").bitwiseAND(F.col("mask_")).alias("key_"), "fp_")
 
 
 def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -111,8 +182,8 @@ def _verified(listed: DataFrame, bits: int) -> DataFrame:
         rest = None
         for batch in batches:
             rest = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
-            c, key = rest["c_"].to_numpy(), rest["key_"].to_numpy()
-            cuts = np.flatnonzero((c[1:] != c[:-1]) | (key[1:] != key[:-1])) + 1
+            mask, key = rest["mask_"].to_numpy(), rest["key_"].to_numpy()
+            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             if not len(cuts):
                 continue
             done, rest = rest.iloc[: cuts[-1]], rest.iloc[cuts[-1] :].reset_index(drop=True)
@@ -128,25 +199,33 @@ def _verified(listed: DataFrame, bits: int) -> DataFrame:
             edges += _forest(prints[starts[k] : ends[k]], bits)
         return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
-    spread = listed.repartition("c_", "key_").sortWithinPartitions("c_", "key_", "fp_")
+    spread = listed.repartition("mask_", "key_").sortWithinPartitions("mask_", "key_", "fp_")
     return spread.mapInPandas(run, "u long, v long")
 
 
-def links(prints: DataFrame, bits: int = 3, blocks: int = 5, crowd: int = 512, fine_blocks: int = 16) -> DataFrame:
+def links(prints: DataFrame, bits: int = 3, blocks: int = 5, crowd: int = 512) -> DataFrame:
     """Edges (u, v) over distinct fingerprints that connect exactly what links of ``bits`` bits connect."""
-    listed = _listed(prints, _masks(blocks, bits))
-    crowded = listed.groupBy("c_", "key_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > crowd).select("c_", "key_")
-    crowded = scratch.keep(crowded, "simhash-crowded")
-    if not crowded.limit(1).count():
-        return _verified(listed, bits)
-    dense = listed.join(crowded, ["c_", "key_"], "left_semi").select("fp_").distinct()
-    fine = _listed(scratch.keep(dense, "simhash-dense"), _masks(fine_blocks, bits))
-    return _verified(listed.join(crowded, ["c_", "key_"], "left_anti"), bits).unionByName(_verified(fine, bits))
+    masks = _masks(blocks, bits)
+    listed, found = _listed(prints, masks), None
+    while True:
+        last = max(64 - m.bit_count() for m in masks) <= _FEW_BITS
+        crowded = listed.groupBy("mask_", "key_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > crowd).select("mask_", "key_")
+        crowded = None if last else scratch.keep(crowded, "simhash-crowded")
+        last = last or not crowded.limit(1).count()
+        edges = _verified(listed if last else listed.join(crowded, ["mask_", "key_"], "left_anti"), bits)
+        found = edges if found is None else found.unionByName(edges)
+        if last:
+            return found
+        finer = {m: _masks(blocks, bits, m) for m in masks}  # at most 1,000 masks and 10 times as many
+        table = listed.sparkSession.createDataFrame([(_signed(m), _signed(x)) for m, some in finer.items() for x in some], "mask_ long, finer_ long")
+        dense = scratch.keep(listed.join(crowded, ["mask_", "key_"], "left_semi").select("mask_", "fp_"), "simhash-dense")
+        listed = dense.join(F.broadcast(table), "mask_").select(F.col("finer_").alias("mask_"), F.col("fp_").bitwiseAND(F.col("finer_")).alias("key_"), "fp_")
+        masks = sorted({x for some in finer.values() for x in some})
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int = 3, seed: int = 42, bits: int = 3, **options) -> DataFrame:
     """(id_, mark_, fp_, root_, component_id) for each row."""
-    rows = scratch.keep(fingerprints(docs, id_col, text_col, words, seed), "simhash-rows")
+    rows = scratch.keep(fingerprints(docs, id_col, text_col, words, seed), "simhash-rows", batch_rows=2000)
     distinct = scratch.keep(rows.groupBy("fp_").agg(F.min("id_").alias("least_")), "simhash-distinct")
     found = components(links(distinct.select("fp_"), bits, **options))
     rooted = distinct.join(found, distinct["fp_"] == found["node"], "left").select(
@@ -172,6 +251,153 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return keep_heads(docs, _grouped(docs, id_col, text_col, **options), id_col, text_col)
 
 
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id_, mark_, a_, b_, keys_) for each row: the whole and the blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [sketch(shingles(t, words)) for t in batch["text_"]]
+            wholes = np.array([w for w, _ in found], np.uint64).reshape(-1, 2).view(np.int64)
+            keys = [k.view(np.int64) for _, k in found]
+            yield pd.DataFrame({"id_": batch["id_"], "mark_": batch["mark_"], "a_": wholes[:, 0], "b_": wholes[:, 1], "keys_": keys})
+
+    found = _rows(docs, id_col, text_col).mapInPandas(run, "id_ string, mark_ long, a_ long, b_ long, keys_ array<long>")
+    return found.withColumn("id_", F.col("id_").cast("long"))
+
+
+def _close(a: str, b: str) -> Column:
+    """True where the wholes of two structs differ in few bits."""
+    differ = F.bit_count(F.col(f"{a}.a_").bitwiseXOR(F.col(f"{b}.a_"))) + F.bit_count(F.col(f"{a}.b_").bitwiseXOR(F.col(f"{b}.b_")))
+    return differ <= _WHOLE_BITS
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
+    """The ``pairs`` (u, v) of marks whose whole texts have a similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = of_last = None
+        for batch in batches:
+            good = []
+            for u, a, b in zip(batch["u"], batch["text_u"], batch["text_v"], strict=True):
+                if u != last:
+                    last, of_last = u, shingles(a, words)
+                good.append(similarity(of_last, shingles(b, words)) >= least)
+            yield batch.loc[np.array(good, bool), ["u", "v"]]
+
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("mark_")).distinct()
+    texts = docs.select(mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    texts = scratch.keep(texts.join(nodes, "mark_", "left_semi").dropDuplicates(["mark_"]), "similar-texts")
+    of = lambda name: texts.select(F.col("mark_").alias(name), F.col("text_").alias(f"text_{name}"))
+    both = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "text_u", "text_v")
+    return scratch.keep(both.mapInPandas(run, "u long, v long"), "similar-edges", batch_rows=1000)
+
+
+def _crossing(members: DataFrame) -> DataFrame:
+    """Pairs (u < v) of a tile (g_, p_, q_) that are in different components and close: of parts p_ and q_, or within p_ = q_."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
+            names = rest[["g_", "p_", "q_"]].to_numpy()
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            if len(cuts):
+                yield from pairs_of(rest.iloc[: cuts[-1]], cuts[:-1])
+                rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
+        if rest is not None:
+            yield from pairs_of(rest, np.array([], np.int64))
+
+    def pairs_of(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, root, side = (rows[c].to_numpy() for c in ("mark_", "root_", "part_"))
+        within = (rows["p_"] == rows["q_"]).to_numpy()
+        a, b = (rows[c].to_numpy().view(np.uint64) for c in ("a_", "b_"))
+        for i, j in zip(np.concatenate(([0], cuts)), np.append(cuts, len(rows)), strict=True):
+            us, vs = [], []
+            for k in range(i, j - 1):
+                on = slice(k + 1, j)
+                near = np.bitwise_count(a[on] ^ a[k]).astype(np.int64) + np.bitwise_count(b[on] ^ b[k]) <= _WHOLE_BITS
+                near &= (root[on] != root[k]) & (within[k] | (side[on] != side[k]))
+                others = np.flatnonzero(near) + k + 1
+                us.append(np.minimum(node[others], node[k]))
+                vs.append(np.maximum(node[others], node[k]))
+            if us:
+                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    columns = ["g_", "p_", "q_", "part_", "mark_", "root_", "a_", "b_"]
+    spread = members.select(*columns).repartition("g_", "p_", "q_").sortWithinPartitions("g_", "p_", "q_")
+    return spread.mapInPandas(run, "u long, v long")
+
+
+def _tiles(members: DataFrame, crowd: int) -> DataFrame:
+    """``members`` of crowded groups (with their size n_), dealt to parts; each pair of parts of a group is a tile."""
+    parts = F.ceil(F.col("n_") / crowd).cast("int")
+    dealt = members.withColumn("part_", F.pmod(F.xxhash64("mark_"), parts).cast("int"))
+    tiled = dealt.withColumn("o_", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return tiled.withColumns({"p_": F.least("part_", "o_"), "q_": F.greatest("part_", "o_")})
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, crowd: int = 256, levels: int = 3) -> DataFrame:
+    """(id_, mark_, root_) for each row."""
+    rows = scratch.keep(_sketches(docs, id_col, text_col, words), "similar-rows", batch_rows=2000)
+    texts = scratch.keep(rows.drop("id_").dropDuplicates(["mark_"]), "similar-distinct")
+    one = F.struct("mark_", "a_", "b_")
+    view = texts.select(one.alias("x_"), F.posexplode("keys_").alias("i_", "key_"))
+    listed = view.select(F.xxhash64("i_", "key_").alias("g_"), F.expr("shiftleft(1L, i_)").alias("used_"), "x_")
+    roots = texts.select(F.col("mark_").alias("node"), F.col("mark_").alias("root"))
+    edges = seen = crossing = None
+
+    def more(pairs: DataFrame) -> DataFrame:
+        """Roots after the ``pairs`` that are alike are linked as well."""
+        nonlocal edges, seen
+        pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["u", "v"], "left_anti")
+        pairs = scratch.keep(pairs, "similar-pairs")
+        if not pairs.limit(1).count():
+            return roots
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        found = _alike(pairs, docs, text_col, words, least)
+        edges = found if edges is None else edges.unionByName(found)
+        linked = components(edges)
+        every = texts.select("mark_").join(linked, F.col("mark_") == F.col("node"), "left")
+        return scratch.keep(every.select(F.col("mark_").alias("node"), F.coalesce("root", "mark_").alias("root")), "similar-roots")
+
+    for level in range(levels):
+        heads = listed.groupBy("g_").agg(F.min("x_").alias("h_"), F.max("x_.mark_").alias("z_")).where("h_.mark_ <> z_").drop("z_")
+        stars = listed.join(heads, "g_").where((F.col("x_.mark_") != F.col("h_.mark_")) & _close("x_", "h_"))
+        roots = more(stars.select(F.col("h_.mark_").alias("u"), F.col("x_.mark_").alias("v")))
+        shared = listed.join(heads.select("g_"), "g_", "left_semi")
+        rooted = shared.join(roots.withColumnsRenamed({"root": "root_"}), F.col("x_.mark_") == F.col("node")).drop("node")
+        counted = rooted.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"), F.min("root_").alias("least_"), F.max("root_").alias("most_"))
+        mixed = scratch.keep(counted.where("least_ <> most_").select("g_", "n_"), "similar-mixed")
+        if not mixed.limit(1).count():
+            break
+        members = scratch.keep(rooted.join(mixed, "g_").select("g_", "used_", "n_", "root_", "x_.*"), "similar-members")
+        few, many = members.where(F.col("n_") <= crowd), members.where(F.col("n_") > crowd)
+        tiles = [few.withColumns({c: F.lit(0) for c in ("part_", "p_", "q_")})]
+        crowded = many.limit(1).count()
+        if crowded and level + 1 == levels:
+            tiles.append(_tiles(many, crowd).drop("o_"))
+        for tile in tiles:
+            pairs = _crossing(tile)
+            crossing = pairs if crossing is None else crossing.unionByName(pairs)
+        if not crowded:
+            break
+        keys = texts.select("mark_", F.posexplode("keys_").alias("i_", "key_"))
+        finer = many.join(keys, "mark_").where("used_ & shiftleft(1L, i_) = 0")
+        finer = finer.select(F.xxhash64("g_", "i_", "key_").alias("g_"), F.expr("used_ | shiftleft(1L, i_)").alias("used_"), one.alias("x_"))
+        listed = scratch.keep(finer, "similar-finer")
+    if crossing is not None:
+        roots = more(crossing)
+    return rows.select("id_", "mark_").join(roots.select(F.col("node").alias("mark_"), F.col("root").alias("root_")), "mark_")
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay when texts link by ``words``-word shingles at a similarity of ``least`` or more.
+
+    As in ``keep_one`` it is one of each component with the smallest id.
+    """
+    return keep_heads(docs, _similar(docs, id_col, text_col, **options), id_col, text_col)
+
+
 def keep_heads(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stay, one for each root_ of ``grouped`` (id_, mark_, root_)."""
     names = docs.columns

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from eventlake.llm import near
+from eventlake.llm import simhash
 
 DOCS = "doc_id long, text string"
 
@@ -56,7 +56,7 @@ def _rows(seed=5, texts=60):
 @pytest.mark.parametrize("crowd", [256, 2])
 def test_near_copies_against_all_pairs(spark, crowd):
     rows = _rows()
-    got = near.keep_one(spark.createDataFrame(rows, DOCS), crowd=crowd).collect()
+    got = simhash.keep_similar(spark.createDataFrame(rows, DOCS), crowd=crowd).collect()
     assert sorted(r.doc_id for r in got) == _kept(rows)
 
 
@@ -73,4 +73,4 @@ def test_one_large_group(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(_edited(rng, base, 1))) for i in range(700)]
-    assert [r.doc_id for r in near.keep_one(spark.createDataFrame(rows, DOCS).repartition(5), crowd=32).collect()] == [0]
+    assert [r.doc_id for r in simhash.keep_similar(spark.createDataFrame(rows, DOCS).repartition(5), crowd=32).collect()] == [0]
