@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.llm import exact_dedup, mixing, near, packing, toxicity
+from eventlake.llm import exact_dedup, mixing, packing, simhash, toxicity
 from eventlake.plans import scratch
 
 #: What the mix should be made of: nearly all documents of good quality, few of low quality.
@@ -31,7 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, a similarity of 0.8 or more."""
-    return near.keep_one(docs)
+    return simhash.keep_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
-    ("near-dedup", drop_near_copies),
+    ("simhash near-dedup", drop_near_copies),
     ("mixing to target weights", mix),
     ("packing", pack),
 ]
