@@ -4,27 +4,36 @@ A labelled table says to which domain some documents belong.  A naive Bayes clas
 statistics and on marker words of each domain turns every document's text into posterior
 probabilities of the domains.  A document of w tokens with posteriors p, used at rate r, is then
 expected to give r * w * p[d] tokens to domain d, and the rates are fitted so that these totals
-match the targets: least squares over nonnegative rates by projected gradient steps
-
-    r <- clip(r - p . M^-1 (totals(r) - targets), lower, upper),      r = 1 at the start,
-
-where M, the matrix of expected joint totals, makes a step of 1 right at any scale.  A document's
-rate after k steps follows from its posteriors and k vectors of as many numbers as there are
-domains, so each step is one aggregation over the table of documents and only these vectors come
+match the targets: least squares over nonnegative rates by projected gradient steps.  Every step
+starts from the rate 1 and projects once,
+
+    r = clip(1 - p . s, lower, upper),        s: the sum of the gradient steps so far,
+
+so a document's rate follows from its posteriors and as many numbers as there are domains.  What is
+minimised is the sum of the squared gaps between the domains' shares of tokens and their targets
+(plain and unweighted), plus (r - 1)**2 over the tokens times a small number, which makes the rates
+unique and is lowered through ``EASES`` until the gaps are nothing or fall no more.  A step is one
+aggregation over the table of documents for several choices at once: along the gradient, at a length
+that is sure to gain, and along the gradient scaled by the second derivative (the joint totals of
+the documents whose rates are free), more or less damped; the best is taken.  Only these sums come
 to the driver.  All of it is DataFrame expressions.
 
 Tokens and marker words are runs of [^\\x20\\x09-\\x0D].  Bounds: ``most_labelled`` rows, chosen by a hash of the id, are
 read for marker words; ``markers`` words a domain and 64 bins a statistic bound the model.
 
-Defined results: null and empty texts have 0 tokens and rate 1 within the bounds of their domain.
-Labels of unknown documents and null labels are ignored, a document with several labels counts in
-each.  With no labels at all every posterior is even.  Targets are scaled to shares; what no
-rates can reach is met in the least-squares sense.
+Defined results: null and empty texts have 0 tokens and the rate that follows from their
+posteriors.  Labels of unknown documents and null labels are ignored, a document with several
+labels counts in each.  With no labels at all every posterior is even.  Repeated rows count and get
+a rate each; a null id has one too.  An empty table gives an empty result.  Other columns are not
+read, whatever their names; ``thin`` keeps all of them.  Targets are scaled to shares; what no rates
+can reach is met in the least-squares sense, and ``shares`` reports what came out.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -130,14 +139,17 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str,
     return Membership(domains, words, priors, tables)
 
 
-def _rate(steps: list[list[float]], low: Column, high: float) -> Column:
-    """The rate after these steps: a fold over their vectors."""
-    start = F.least(F.greatest(F.lit(1.0), low), F.lit(high))
-    if not steps:
-        return start
-    vectors = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    dot = lambda s: reduce(lambda a, b: a + b, [F.element_at("p_", i + 1) * F.element_at(s, i + 1) for i in range(len(steps[0]))])
-    return F.aggregate(vectors, start, lambda r, s: F.least(F.greatest(r - dot(s), low), F.lit(high)))
+EASES = tuple(10.0**-k for k in range(2, 9))
+_DAMPING = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2)
+
+
+def _rate(sums: list[float], feature: Column, low: Column, high: float) -> Column:
+    """The rate after steps that sum to ``sums``; ``feature`` is the array they are for."""
+    return F.least(F.greatest(F.lit(1.0) - _dot(feature, F.array(*[F.lit(float(x)) for x in sums]), len(sums)), low), F.lit(high))
+
+
+def _dot(a: Column, b: Column, n: int) -> Column:
+    return reduce(lambda t, x: t + x, [F.element_at(a, i + 1) * F.element_at(b, i + 1) for i in range(n)])
 
 
 def _solve(m: list[list[float]], y: list[float]) -> list[float]:
@@ -154,29 +166,92 @@ def _solve(m: list[list[float]], y: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def fit_rates(members: DataFrame, targets: list[float], low: Column, high: float, rounds: int = 40, tolerance: float = 1e-6) -> list[list[float]]:
-    """The steps whose rates bring the domains' shares to ``targets``; ``members`` has tokens_ and p_."""
+@dataclass
+class Fit:
+    """sums: of the steps; gaps: share minus target for each domain; settled: False if ``rounds`` ended it."""
+
+    sums: list[float]
+    gaps: list[float]
+    settled: bool
+    rounds: int
+
+
+def _steps(members: DataFrame, total: float, points: list[list[float]], goal: list[float], ease: float) -> list[tuple[float, list[float], list[list[float]]]]:
+    """(gain, gradient, curvature) of the dual at each of the points; ``members`` has w_, q_ and low_ and high_."""
+    n = len(goal)
+    # A constant array, not numbers in the plan's code, so that it is compiled once.
+    at = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in points])
+    rows = members.select("w_", "q_", "low_", "high_", F.posexplode(at).alias("at_", "s_"))
+    rows = rows.select("w_", "q_", "low_", "high_", "at_", _dot(F.col("q_"), F.col("s_"), n).alias("dot_"))
+    rows = rows.withColumn("r_", F.least(F.greatest(1 - F.col("dot_"), F.col("low_")), F.col("high_")))
+    free = F.when((F.col("r_") > F.col("low_")) & (F.col("r_") < F.col("high_")), F.col("w_")).otherwise(0.0)
+    q = [F.element_at("q_", i + 1) for i in range(n)]
+    r, w = F.col("r_"), F.col("w_")
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = rows.groupBy("at_").agg(
+        F.sum(w * ((r - 1) * (r - 1) / 2 + F.col("dot_") * r)), *[F.sum(w * r * x) for x in q], *[F.sum(free * q[i] * q[j]) for i, j in pairs]
+    )
+    found = {row[0]: [x / total for x in row[1:]] for row in sums.collect()}  # a row per point
+    out = []
+    for k, point in enumerate(points):
+        got = found[k]
+        gain = got[0] - sum(s * g for s, g in zip(point, goal, strict=True)) - ease / 2 * sum(s * s for s in point)
+        gradient = [t - g - ease * s for t, g, s in zip(got[1 : n + 1], goal, point, strict=True)]
+        curve = [[0.0] * n for _ in range(n)]
+        for (i, j), x in zip(pairs, got[n + 1 :], strict=True):
+            curve[i][j] = curve[j][i] = x
+        out.append((gain, gradient, [[x + ease * (i == j) for j, x in enumerate(row)] for i, row in enumerate(curve)]))
+    return out
+
+
+def fit_rates(members: DataFrame, targets: list[float], low: Column, high: float, rounds: int = 300, tolerance: float = 1e-7) -> Fit:
+    """The steps whose rates bring the domains' shares to ``targets``; ``members`` has tokens_ and p_.
+
+    Where rates only thin (``high`` is at most 1), shares are those of the tokens that stay, else
+    those of all tokens.  It ends when no gap exceeds ``tolerance`` or what is left of the squares
+    falls by less than a thousandth; if ``rounds`` end it, it warns.
+    """
     n = len(targets)
-    want = [t / sum(targets) for t in targets]
-    p = [F.element_at("p_", i + 1) for i in range(n)]
-    w = F.col("tokens_").cast("double")
-    sums = members.agg(F.sum(w), *[F.sum(w * p[i] * p[j]) for i in range(n) for j in range(n)]).first()
-    total = sums[0] or 0.0
+    total = members.agg(F.sum(F.col("tokens_").cast("double"))).first()[0]
     if not total:
-        return []
-    m = [[sums[1 + i * n + j] / total + (1e-9 if i == j else 0.0) for j in range(n)] for i in range(n)]
-    steps: list[list[float]] = []
-    last = math.inf
-    for _ in range(rounds):
-        got = members.select("p_", w.alias("w_"), _rate(steps, low, high).alias("r_")).agg(*[F.sum(F.col("w_") * F.col("r_") * x) for x in p]).first()
-        scale = sum(got) / total if high <= 1.0 else 1.0  # rates that only thin keep what total is left
-        gap = [g / total - scale * x for g, x in zip(got, want, strict=True)]
-        worst = max(map(abs, gap))
-        if worst < tolerance or worst > last * (1 - 1e-4):
+        return Fit([0.0] * n, [0.0] * n, True, 0)
+    goal = [0.0] * n if high <= 1 else [t / sum(targets) for t in targets]  # of what stays, the sum of r w (p - want) is to be 0
+    rows = members.select(F.col("tokens_").cast("double").alias("w_"), _feature(targets, high).alias("q_"), low.cast("double").alias("low_"), F.lit(float(high)).alias("high_"))
+    sums, gaps, done, last = [0.0] * n, [math.inf] * n, 0, math.inf
+    largest = lambda xs: max(map(abs, xs))
+    for k, ease in enumerate(EASES):
+        # What was free stays where it was; what is out of reach is pushed in proportion.
+        points = [sums, [10 * s for s in sums]] if k else [sums]
+        tried, done = _steps(rows, total, points, goal, ease), done + 1
+        best = max(range(len(points)), key=lambda i: tried[i][0])
+        sums, (gain, gradient, curve) = points[best], tried[best]
+        while largest(gradient) > max(1e-9, 1e-3 * ease) and done < rounds:
+            points = [[s + g / 2 for s, g in zip(sums, gradient, strict=True)]]  # no second derivative exceeds 2
+            for damping in _DAMPING:
+                scaled = _solve([[x + damping * (i == j) for j, x in enumerate(row)] for i, row in enumerate(curve)], gradient)
+                points.append([s + d for s, d in zip(sums, scaled, strict=True)])
+            tried, done = _steps(rows, total, points, goal, ease), done + 1
+            best = max(range(len(points)), key=lambda i: tried[i][0])
+            if tried[best][0] <= gain + 1e-15 * abs(gain):  # as good as numbers tell, but the gradient may still fall
+                best = min(range(len(points)), key=lambda i: largest(tried[i][1]))
+                if largest(tried[best][1]) >= largest(gradient) * (1 - 1e-3):
+                    break
+            sums, (gain, gradient, curve) = points[best], tried[best]
+        gaps = [g + ease * s for g, s in zip(gradient, sums, strict=True)]
+        now = sum(g * g for g in gaps)
+        if largest(gaps) < tolerance or last - now < 1e-3 * now or done >= rounds:
             break
-        last = worst
-        steps.append(_solve(m, gap))
-    return steps
+        last = now
+    if done >= rounds:
+        warnings.warn(f"rates did not settle in {rounds} rounds; gaps {gaps}", stacklevel=2)
+    return Fit(sums, gaps, done < rounds, done)
+
+
+def _feature(targets: list[float], high: float) -> Column:
+    """The array that ``Fit.sums`` belong to."""
+    if high > 1:
+        return F.col("p_")
+    return F.array(*[F.element_at("p_", i + 1) - F.lit(t / sum(targets)) for i, t in enumerate(targets)])
 
 
 def weigh(
@@ -188,14 +263,22 @@ def weigh(
     model = learn(docs, labelled, domains, id_col, text_col, markers, most_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"))
     members = scratch.keep(model.posteriors(_measured(rows, model.markers), ["id_"]), "mix-members")
-    low = F.lit(0.0)
-    steps = fit_rates(members, [targets[d] for d in domains], low, high)
+    low, want = F.lit(0.0), [targets[d] for d in domains]
+    fit = fit_rates(members, want, low, high)
     return members.select(
         F.col("id_").alias(id_col), F.col("tokens_").alias("n_tokens"),
-        *[F.element_at("p_", i + 1).alias(f"p_{d}") for i, d in enumerate(domains)], _rate(steps, low, high).alias("rate"),
+        *[F.element_at("p_", i + 1).alias(f"p_{d}") for i, d in enumerate(domains)], _rate(fit.sums, _feature(want, high), low, high).alias("rate"),
     )
 
 
+def shares(weighed: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """domain, target, share (expected tokens at the rates over all tokens) and gap, of what ``weigh`` returns."""
+    total = sum(targets.values())
+    sums = weighed.agg(F.sum("n_tokens").alias("t_"), *[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(f"s_{d}") for d in targets])
+    rows = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(x / total).alias("target"), (F.col(f"s_{d}") / F.col("t_")).alias("share")) for d, x in targets.items()])
+    return sums.select(F.explode(rows).alias("x_")).select("x_.*").withColumn("gap", F.col("share") - F.col("target"))
+
+
 def thin(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], protected: str, id_col: str = "doc_id", text_col: str = "text",
     protect_from: float = 0.1, markers: int = 48, most_labelled: int = 5_000,
@@ -212,12 +295,13 @@ def thin(
     )
     members = model.posteriors(_measured(rows.select("id_", "text_"), model.markers), [])
     low = F.when(F.element_at("p_", domains.index(protected) + 1) >= protect_from, 1.0).otherwise(0.0)
-    steps = fit_rates(scratch.keep(members, "mix-members"), [targets[d] for d in domains], low, 1.0)
+    want = [targets[d] for d in domains]
+    fit = fit_rates(scratch.keep(members, "mix-members"), want, low, 1.0)
     draw = (F.pmod(F.xxhash64("id_", "text_"), F.lit(1_000_003)) + 0.5) / 1_000_003
     chosen = model.posteriors(_measured(rows.withColumn("draw_", draw), model.markers), ["row_", "draw_"])
     # A filter that could move below the posteriors would repeat them for each use; the row number holds it above.
     held = chosen.withColumn("at_", F.monotonically_increasing_id())
-    return held.where((F.col("at_") >= 0) & (F.col("draw_") < _rate(steps, low, 1.0))).select("row_.*")
+    return held.where((F.col("at_") >= 0) & (F.col("draw_") < _rate(fit.sums, _feature(want, 1.0), low, 1.0))).select("row_.*")
 
 
 def label_domains(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

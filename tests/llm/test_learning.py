@@ -126,27 +126,58 @@ def test_mixing(spark, corpus):
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, brute.statistics(t)[0]) for i, t in [d[:2] for d in docs] + EXTRA)
     total = sum(r.n_tokens for r in got)
     for d, share in targets.items():
-        assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in got) / total == pytest.approx(share, abs=1e-4)
+        assert sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in got) / total == pytest.approx(share, abs=1e-5)
+    report = mixing.shares(mixing.weigh(frame, mixing.label_domains(labels), targets), targets).collect()
+    assert {r.domain: r.target for r in report} == targets and max(abs(r.gap) for r in report) < 1e-5
     truth = {d[0]: "toxic" if d[5] else "low" if d[6] else "high" for d in docs if d[0]}
     guess = {r.doc_id: max(targets, key=lambda d, r=r: r[f"p_{d}"]) for r in got if r.doc_id in truth}
     assert sum(guess[i] == t for i, t in truth.items()) > 0.9 * len(truth)
 
 
-def test_mixing_matches_projected_gradient_in_numpy(spark):
-    rng = np.random.default_rng(3)
+def _least_squares(p, w, want, low, high, rounds=60_000):
+    """Rates by an accelerated projected gradient on the rates themselves, nothing else in common with the operator."""
+    a = p * (w / w.sum())[:, None]
+    step, r, t = 1 / np.linalg.norm(a, 2) ** 2, np.ones(len(w)), 1.0
+    y = r
+    for _ in range(rounds):
+        new = np.clip(y - step * (a @ (a.T @ y - want)), low, high)
+        later = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        y, r, t = new + (t - 1) / later * (new - r), new, later
+    return a.T @ r - want
+
+
+def test_mixing_is_least_squares(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.3, 0.3], 300)
     w = rng.integers(1, 500, 300)
-    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(w, p, strict=True)], "tokens_ long, p_ array<double>")
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(w, p, strict=True)], "tokens_ long, p_ array<double>").coalesce(1)
+    for want, high in (([0.45, 0.35, 0.2], 2.0), ([0.9, 0.05, 0.05], 8.0), ([0.1, 0.1, 0.8], 8.0), ([0.01, 0.01, 0.98], 8.0), ([0.1, 0.1, 0.8], 2.0)):
+        fit = mixing.fit_rates(members, want, F.lit(0.0), high)
+        gaps = _least_squares(p, w, np.array(want), 0, high)
+        assert fit.settled and fit.rounds < 60
+        if np.abs(gaps).max() < 1e-6:  # within reach
+            assert np.abs(fit.gaps).max() < 1e-5
+        assert (np.square(fit.gaps).sum()) <= np.square(gaps).sum() * 1.001 + 1e-10
+        got = members.select("tokens_", "p_", mixing._rate(fit.sums, F.col("p_"), F.lit(0.0), high).alias("r")).collect()
+        share = sum(np.array(r.p_) * r.tokens_ * r.r for r in got) / w.sum()
+        assert share - np.array(want) == pytest.approx(np.array(fit.gaps), abs=1e-9)
+
+
+def test_mixing_of_six_domains_and_of_thinning(spark):
     from pyspark.sql import functions as F
 
-    want = np.array([0.45, 0.35, 0.2])
-    steps = mixing.fit_rates(members, list(want), F.lit(0.0), 2.0)
-    got = np.array([r[0] for r in members.select(mixing._rate(steps, F.lit(0.0), 2.0)).collect()])
-    r, m = np.ones(300), (p * w[:, None]).T @ p / w.sum()
-    for _ in range(len(steps)):
-        r = np.clip(r - p @ np.linalg.solve(m + 1e-9 * np.eye(3), p.T @ (w * r) / w.sum() - want), 0, 2)
-    assert got == pytest.approx(r, abs=1e-6)
-    assert np.abs(p.T @ (w * got) / w.sum() - want).max() < 0.02
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.2] * 6, 400)
+    w = rng.integers(0, 500, 400)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(w, p, strict=True)], "tokens_ long, p_ array<double>").coalesce(1)
+    want = [0.3, 0.25, 0.2, 0.15, 0.07, 0.03]
+    assert np.abs(mixing.fit_rates(members, want, F.lit(0.0), 8.0).gaps).max() < 1e-5
+    fit = mixing.fit_rates(members, want, F.lit(0.0), 1.0)  # shares of what stays
+    rates = [r[0] for r in members.select(mixing._rate(fit.sums, mixing._feature(want, 1.0), F.lit(0.0), 1.0)).collect()]
+    kept = (p * (w * rates)[:, None]).sum(0)
+    assert max(rates) <= 1 and kept / kept.sum() == pytest.approx(np.array(want), abs=1e-4) and kept.sum() > 0.2 * w.sum()
 
 
 def test_mixing_edges(spark, corpus):
