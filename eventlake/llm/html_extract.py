@@ -2,16 +2,21 @@
 
 The page is read into a tree as browsers do (end tags may be missing, elements may be left open).
 Every paragraph gives points, for being one, for its length and for its commas: all of them to its
-parent, half to its grandparent, less to the ancestors above.  A container's points are discounted
-by the share of its text that stands in links.  The container with the most points is the article;
-siblings that look like more of it are kept with it.  Menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments, scripts and styles are taken out of the tree first, by element and
-by the words of class, id and role.
+parent, half to its grandparent, less to the ``LEVELS`` - 2 ancestors above.  Elements that usually hold
+articles begin with a bonus.  A container's points are discounted by the share of its text that
+stands in links.  The container with the most points is the article; siblings that look like more of
+it are kept with it.  If it is in an article or main element, so are the other parts of that one, up
+to it: titles, paragraphs, lists and tables, and boxes that have a fair share of the points or, in an
+article element, few links; further article elements beside it are kept by their points.  Menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are taken
+out of the tree first, by element and by the words of class, id and role.
 
 Defined results: null, empty and text-free pages give "".  A page whose paragraphs are too short to
 score gives its article or main element, else its body.  White space within a block is one space,
-blocks are joined by one line feed, and nothing is capped.  Cost is linear in the page; deep
-nesting uses no recursion.
+blocks are joined by one line feed, and nothing is capped.  Equal pages, and so repeated rows, have
+equal texts; of containers with equal points the first in page order is taken.  An empty table gives
+an empty result.  All other columns are kept, whatever their names, but for one named as the result.
+Cost is linear in the page, however deep it is nested; there is no recursion.
 """
 
 from __future__ import annotations
@@ -23,8 +28,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.plans.session import small_batches
-
 # Element names of the HTML standard, by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -61,13 +64,27 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARAGRAPHS = frozenset("p pre blockquote td dd li".split())
 
 
+#: How many ancestors a paragraph gives points to.
+LEVELS = 6
+BONUS = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0, "blockquote": 3.0}
+_FLOW = _HEADINGS | frozenset("p blockquote pre ul ol dl table figure hr".split())
+_CELLS = frozenset("td th table".split())
+_IN_TABLES = frozenset("table tr tbody thead tfoot td th".split())
+
+
 class Node:
-    __slots__ = ("attrs", "children", "dropped", "linked", "parent", "points", "tag", "text")
+    """``article`` and ``main``: the nearest such element around it; ``given``: its points without a bonus."""
+
+    __slots__ = ("article", "attrs", "children", "dropped", "given", "linked", "links", "main", "parent", "points", "tag", "text")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.children: list = []
-        self.dropped, self.points, self.text, self.linked = False, 0.0, 0, 0
+        self.article = self.main = None
+        if parent is not None:
+            self.article = parent if parent.tag == "article" else parent.article
+            self.main = parent if parent.tag == "main" else parent.main
+        self.dropped, self.points, self.given, self.text, self.linked, self.links = False, 0.0, 0.0, 0, 0, 0
 
     def named(self) -> dict[str, str]:
         found = {}
@@ -76,17 +93,63 @@ class Node:
         return found
 
 
+class _Open:
+    """The elements that are open, with the places of each kind, so that none is looked for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.blocks = [root], {}, []
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of these; 0 if none is open."""
+        return max((found[-1] for found in map(self.places.get, tags) if found), default=0)
+
+    def implied(self, tag: str, stop: int) -> None:
+        """A start tag closes the open ``tag``, unless what stops that is further in."""
+        place = self.last(tag)
+        if place > stop:
+            self.cut(place)
+
+    def close(self, tag: str) -> None:
+        """An end tag; those of inline elements reach no further than their block, others no further than their cell."""
+        place = self.last(tag)
+        stop = 0 if tag in BLOCK or not self.blocks else self.blocks[-1]
+        if tag not in _IN_TABLES:
+            stop = max(stop, self.last(*_CELLS - {tag}))
+        if place > stop:
+            self.cut(place)
+
+
+_P_STOPS = ("table", "td", "th", "button", "caption", "object", "template")
+
+
 def parse(page: str) -> list[Node]:
     """The nodes of a page in page order; the first is the root."""
     root = Node("#root", None)
-    nodes, stack, at, end = [root], [root], 0, len(page)
+    nodes, open_, at, end = [root], _Open(root), 0, len(page)
     unclosed = {'"': end + 1, "'": end + 1}  # from here on this quote does not close
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
             lt = end
         if lt > at:
-            stack[-1].children.append(page[at:lt])
+            open_.top.children.append(page[at:lt])
         if lt == end:
             break
         nxt = page[lt + 1 : lt + 2]
@@ -105,7 +168,7 @@ def parse(page: str) -> list[Node]:
                 close = page.find(">", lt)
                 at = end if close < 0 else close + 1
             else:
-                stack[-1].children.append("<")
+                open_.top.children.append("<")
                 at = lt + 1
             continue
         tag, body = name[0].lower(), name.end()
@@ -125,37 +188,38 @@ def parse(page: str) -> list[Node]:
             at = close + 1
         attrs, at = page[body:gt], gt + 1
         if closing:
-            _close(stack, tag)
+            if tag not in ("html", "body"):
+                open_.close(tag)
             continue
         if tag in ("html", "body"):
-            if any(n.tag == tag for n in stack[1:3]):
+            if any(n.tag == tag for n in open_.stack[1:3]):
                 continue
         elif tag in CLOSES_P:
-            _close_implied(stack, "p")
+            open_.implied("p", open_.last(*_P_STOPS))
         if tag == "li":
-            _close_implied(stack, "li", "ul", "ol", "menu")
+            open_.implied("li", open_.last("ul", "ol", "menu"))
         elif tag in ("dt", "dd"):
-            _close_implied(stack, "dt", "dl")
-            _close_implied(stack, "dd", "dl")
+            open_.implied("dt", open_.last("dl"))
+            open_.implied("dd", open_.last("dl"))
         elif tag in ("td", "th"):
-            _close_implied(stack, "td", "tr", "table")
-            _close_implied(stack, "th", "tr", "table")
+            open_.implied("td", open_.last("tr", "table"))
+            open_.implied("th", open_.last("tr", "table"))
         elif tag == "tr":
-            _close_implied(stack, "tr", "table")
+            open_.implied("tr", open_.last("table"))
         elif tag in ("tbody", "thead", "tfoot"):
             for section in ("tbody", "thead", "tfoot"):
-                _close_implied(stack, section, "table")
+                open_.implied(section, open_.last("table"))
         elif tag == "option":
-            _close_implied(stack, "option", "select")
-        elif tag in _HEADINGS and stack[-1].tag in _HEADINGS:
-            stack.pop()
+            open_.implied("option", open_.last("select"))
+        elif tag in _HEADINGS and open_.top.tag in _HEADINGS:
+            open_.cut(len(open_.stack) - 1)
         elif tag == "body":
-            _close_implied(stack, "head")
+            open_.implied("head", open_.last(*_P_STOPS))
         elif tag == "a":
-            _close_implied(stack, "a", *BLOCK)
-        node = Node(tag, stack[-1], attrs)
+            open_.implied("a", open_.blocks[-1] if open_.blocks else 0)
+        node = Node(tag, open_.top, attrs)
         nodes.append(node)
-        stack[-1].children.append(node)
+        open_.top.children.append(node)
         if tag in VOID or (attrs.endswith("/") and tag in ("svg", "path")):
             continue
         if tag in RAW:
@@ -163,32 +227,10 @@ def parse(page: str) -> list[Node]:
             gt = page.find(">", close.end()) if close else -1
             at = end if gt < 0 else gt + 1
             continue
-        stack.append(node)
+        open_.push(node)
     return nodes
 
 
-def _close_implied(stack: list[Node], tag: str, *stops: str) -> None:
-    stop = stops or ("table", "td", "th", "button", "caption", "object", "template")
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in stop:
-            return
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    if tag in ("html", "body"):
-        return
-    inline = tag not in BLOCK
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if inline and stack[k].tag in BLOCK or stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-            return
-
-
 def _marked(node: Node) -> bool:
     """True if class, id or role of the element name something that is not the article."""
     if not node.attrs:
@@ -210,15 +252,6 @@ def _marked(node: Node) -> bool:
     return False
 
 
-def _inside(node: Node, tags: tuple[str, ...]) -> Node | None:
-    node = node.parent
-    while node is not None:
-        if node.tag in tags:
-            return node
-        node = node.parent
-    return None
-
-
 def _inner(nodes: list[Node], found) -> dict[int, int]:
     """How many of the nodes that ``found`` picks are in each node's subtree, itself included."""
     counts = {id(n): int(found(n)) for n in nodes}
@@ -244,17 +277,20 @@ def _drop(nodes: list[Node]) -> None:
         if node.parent.dropped or node.tag in DROPPED:
             node.dropped = True
         elif node.tag == "header":  # an article's own header stays with its title
-            node.dropped = not (titles[id(node)] and _inside(node, ("article", "main")))
+            node.dropped = not (titles[id(node)] and (node.article or node.main))
         elif node.tag == "form":
             node.dropped = not wraps
         elif id(node) in marked:
-            own = titles[id(node)] and node.tag != "article" and _inside(node, ("article", "main")) and "header" in node.attrs
+            own = titles[id(node)] and node.tag != "article" and (node.article or node.main) and "header" in node.attrs
             node.dropped = not (wraps or own) or "hidden" in node.named()
 
 
 def _measure(nodes: list[Node]) -> None:
-    """text: characters of text without extra white space; linked: those in links."""
+    """text: characters of text without extra white space; linked: those in links; links: the links, dropped ones too."""
     for node in reversed(nodes):
+        node.links += node.tag == "a"
+        if node.parent is not None:
+            node.parent.links += node.links
         if node.dropped:
             continue
         for child in node.children:
@@ -280,7 +316,6 @@ def _own_text(node: Node) -> str:
 
 
 def _score(nodes: list[Node]) -> None:
-    bonus = {"article": 25.0, "main": 15.0, "div": 5.0, "section": 3.0, "td": 3.0, "blockquote": 3.0}
     for node in nodes:
         if node.dropped or node.tag not in BLOCK or node.tag in _HEADINGS or not any(not isinstance(c, str) or not c.isspace() for c in node.children):
             continue
@@ -288,15 +323,16 @@ def _score(nodes: list[Node]) -> None:
         if len(text) < 25 or node.text and node.linked > 0.8 * node.text:
             continue
         points = 1.0 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3.0)
-        up, level = (node.parent if node.tag in _PARAGRAPHS else node), 0
-        while up is not None and up.tag != "#root":
-            if up.points == 0.0:
-                up.points = bonus.get(up.tag, 0.0)
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+        up = node.parent if node.tag in _PARAGRAPHS else node
+        for level in range(LEVELS):
+            if up is None or up.tag == "#root":
+                break
+            up.given += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            up = up.parent
     for node in nodes:
-        if node.points and node.text:
-            node.points *= 1 - node.linked / node.text
+        if node.given and node.text:
+            node.given *= 1 - node.linked / node.text
+            node.points = node.given + BONUS.get(node.tag, 0.0) * (1 - node.linked / node.text)
 
 
 def _render(tops: list[Node]) -> str:
@@ -335,14 +371,7 @@ def _render(tops: list[Node]) -> str:
 
 def _link_list(node: Node) -> bool:
     """A list or box that is links only, three or more: a menu, not part of the article."""
-    if node.tag not in ("ul", "ol", "div", "section", "table") or not node.text or node.linked < 0.9 * node.text:
-        return False
-    todo, links = [node], 0
-    while todo and links < 3:
-        x = todo.pop()
-        links += x.tag == "a"
-        todo.extend(c for c in x.children if not isinstance(c, str))
-    return links >= 3
+    return node.tag in ("ul", "ol", "div", "section", "table") and node.text > 0 and node.linked >= 0.9 * node.text and node.links >= 3
 
 
 def _more(best: Node) -> list[Node]:
@@ -364,6 +393,43 @@ def _more(best: Node) -> list[Node]:
     return kept
 
 
+def _part(node: Node, most: float, generous: bool) -> bool:
+    """True if a child of an article or main element is part of it; ``most``: the most points that it or a child has."""
+    density = node.linked / node.text if node.text else 0.0
+    if node.tag in _FLOW or node.tag not in BLOCK or node.tag == "header":
+        return density < 0.5 or not node.text
+    return node.given >= 0.25 * most and density < 0.5 or generous and density < 0.25
+
+
+def _prune(best: Node, holder: Node) -> None:
+    """Drops what is in ``holder`` but not part of the article, on the way from it to ``best``."""
+    node, generous = best, holder.tag == "article"
+    if best is holder:
+        boxes = [c for c in holder.children if not isinstance(c, str) and not c.dropped]
+        most = max([holder.given, *(c.given for c in boxes)])
+        for child in boxes:
+            child.dropped = not _part(child, most, generous)
+        return
+    while node is not holder:
+        for child in node.parent.children:
+            if not isinstance(child, str) and child is not node and not child.dropped:
+                child.dropped = not _part(child, node.given, generous)
+        node = node.parent
+
+
+def _beside(article: Node) -> list[Node]:
+    """The article element and those beside it that have a fair share of its points; in main with its title."""
+    if article.parent is None:
+        return [article]
+    least, kept = max(10.0, 0.2 * article.points), []
+    for node in article.parent.children:
+        if node is article or not isinstance(node, str) and not node.dropped and (
+            node.tag == "article" and node.points >= least or node.tag == "h1" and article.parent.tag == "main"
+        ):
+            kept.append(node)
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -375,8 +441,11 @@ def main_text(page: str | None) -> str:
     scored = [n for n in nodes if n.points and not n.dropped]
     if scored:
         best = max(scored, key=lambda n: n.points)
-        holder = best if best.tag in ("article", "main") else _inside(best, ("article",)) or _inside(best, ("main",))
-        return _render([holder] if holder is not None and not holder.dropped else _more(best))
+        holder = best if best.tag in ("article", "main") else best.article or best.main
+        if holder is None or holder.dropped:
+            return _render(_more(best))
+        _prune(best, holder)
+        return _render(_beside(holder) if holder.tag == "article" else [holder])
     for tags in (("article",), ("main",), ("body",), ("#root",)):
         text = "\n".join(filter(None, (_render([n]) for n in nodes if n.tag in tags and not n.dropped)))
         if text:
@@ -400,5 +469,5 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
     schema = T.StructType([*[T.StructField(n, f.dataType, True) for n, f in zip(inner, own, strict=True)], T.StructField("text_", T.StringType())])
     rows = pages.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(inner, own, strict=True)], F.col(f"`{html_col}`").alias("html_"))
-    out = small_batches(rows).mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(f.name) for n, f in zip(inner, own, strict=True)], F.col("text_").alias(out_col))

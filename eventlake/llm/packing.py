@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 from eventlake.llm.tokens import default_path, tokenizer
 from eventlake.plans import scratch
-from eventlake.plans.session import small_batches
 
-_ROWS = "part_ int, row_ long, id_ long, tokens_ long, crcs_ array<long>, tail_ int, rank_ long, full_ long, ids_ binary"
+_ROWS = "part_ int, row_ long, id_ string, tokens_ long, crcs_ array<long>, tail_ int, rank_ long, full_ long, ids_ binary"
 _PLAN = "length_ int, lo_ long, hi_ long, a_ int, b_ int, seq_ long, at_ int, each_ int, t0_ long"
 
 
@@ -139,10 +138,11 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, path: s
                 of_length[tail] += 1
                 full, row = full + n // window, row + 1
             frame = pd.DataFrame(out, columns=["part_", "row_", "id_", "tokens_", "crcs_", "tail_", "rank_", "full_", "ids_"])
-            yield frame.astype({"id_": "Int64"})
+            yield frame
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    return small_batches(rows).mapInPandas(run, _ROWS)
+    # The id goes as text, as pandas has no long that may be null.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    return rows.mapInPandas(run, _ROWS).withColumn("id_", F.col("id_").cast("long"))
 
 
 def _cut_checksums(rows: DataFrame) -> DataFrame:
@@ -154,10 +154,10 @@ def _cut_checksums(rows: DataFrame) -> DataFrame:
             for ids, tail, a, b in zip(batch["ids_"], batch["tail_"], batch["a_"], batch["b_"], strict=True):
                 wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * tail else "<u4")[a:b].astype("<u4")
                 crcs.append(zlib.crc32(wide.tobytes()))
-            out = batch.drop(columns=["ids_"]).assign(crc_=np.array(crcs, np.int64))
-            yield out.astype({"id_": "Int64"})
+            yield batch.drop(columns=["ids_"]).assign(crc_=np.array(crcs, np.int64))
 
-    return rows.mapInPandas(run, "id_ long, tokens_ long, tail_ int, a_ int, b_ int, sequence_id long, offset long, crc_ long")
+    found = rows.withColumn("id_", F.col("id_").cast("string")).mapInPandas(run, "id_ string, tokens_ long, tail_ int, a_ int, b_ int, sequence_id long, offset long, crc_ long")
+    return found.withColumn("id_", F.col("id_").cast("long"))
 
 
 def pack(
@@ -170,7 +170,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = scratch.keep(_tokenised(docs, id_col, text_col, window, tokenizer_path or default_path(), end_id), "pack-rows")
+    rows = scratch.keep(_tokenised(docs, id_col, text_col, window, tokenizer_path or default_path(), end_id), "pack-rows", batch_rows=2000)
 
     by_part = scratch.keep(rows.groupBy("part_", "tail_").agg(F.count(F.lit(1)).alias("n_"), F.sum(F.expr(f"tokens_ div {window}")).alias("f_")), "pack-counts")
     histogram = {r["tail_"]: r["n_"] for r in by_part.groupBy("tail_").agg(F.sum("n_").alias("n_")).collect()}  # at most `window` rows

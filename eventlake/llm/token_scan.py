@@ -62,15 +62,16 @@ def write_token_files(
                 if written >= file_tokens:
                     sink.close()
                     sink, files = None, files + 1
-            yield pd.DataFrame(out, columns=["file_", "ordinal_", "id_"]).astype({"id_": "Int64"})
+            yield pd.DataFrame(out, columns=["file_", "ordinal_", "id_"])
         if sink is not None:
             sink.close()
 
     store, base = scratch.filesystem(folder)
     store.create_dir(base, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    written = scratch.keep(rows.mapInPandas(run, "file_ string, ordinal_ long, id_ long"), "token-files", batch_rows=2000)
-    return written
+    # The id goes as text, as pandas has no long that may be null.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    found = rows.mapInPandas(run, "file_ string, ordinal_ long, id_ string").withColumn("id_", F.col("id_").cast("long"))
+    return scratch.keep(found, "token-files", batch_rows=2000)
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:

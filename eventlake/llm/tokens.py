@@ -1,7 +1,8 @@
 """Token ids of whole texts with a cache of words.
 
-The tokenizer splits at white space before anything else and never joins across it, so the ids of
-a text are the ids of its space-separated parts, one after another.  Parts recur; each worker
+This holds for tokenizers that normalise and split as ``_NORMALIZER`` and ``_SPLIT`` say, which is
+looked up in the file; texts are given whole to any other one.  Such a tokenizer splits at white
+space before anything else and never joins across it, so the ids of a text are the ids of its space-separated parts, one after another.  Parts recur; each worker
 encodes a part once and keeps its ids as little-endian 32-bit bytes.  Case is ignored, and letters
 and the punctuation after them are pieces of their own, so Latin texts are lower-cased and their
 commas and full stops set apart first, and other parts share the entry of their letters.  New words
@@ -19,6 +20,11 @@ from functools import lru_cache
 import numpy as np
 
 _LONGEST_KEY = 64
+# What a tokenizer file says if it lower-cases, drops white space and sets letters, digits and signs apart.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {
+    "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True,
+}
 _JOINED = re.compile(r"[^a-z0-9ß-öø-ÿ \n][.,](?=[ \n]|$)")  # a stop that is one piece with what stands before it
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -30,7 +36,7 @@ def default_path() -> str:
 
 
 class WordTokenizer:
-    """Encodes texts with a lower-casing tokenizer whose pieces never span a space or a line feed."""
+    """Encodes texts, by their words where the tokenizer lets pieces never span white space."""
 
     def __init__(self, path: str, literal_specials: bool = False, entries: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,13 +47,18 @@ class WordTokenizer:
         self._specials = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._entries = entries
         self._cache: dict[str, bytes] = {}
-        mark = json.loads(self._tokenizer.to_str())["model"].get("end_of_word_suffix")
+        told = json.loads(self._tokenizer.to_str())
+        splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        self.by_words = (told.get("normalizer") or {}).get("normalizers") == _NORMALIZER and splits[0] == _SPLIT
+        mark = told["model"].get("end_of_word_suffix")
         self._ends = np.zeros(self.vocabulary, bool)
         for piece, id_ in self._tokenizer.get_vocab(with_added_tokens=False).items() if mark else ():
             self._ends[id_] = piece.endswith(mark)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers; null and empty have none."""
+        if not self.by_words:
+            return np.array(self._tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
         parts = self._apart(text or "").replace("\n", " ").split(" ")
         try:
             return b"".join(map(self._cache.__getitem__, parts))

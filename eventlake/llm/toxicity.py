@@ -4,21 +4,29 @@ A linear classifier on the words of a text is trained in numpy from texts confir
 texts of which nothing is known.  With the class prior p, the risk of calling unlabelled texts
 clean is corrected for the toxic ones among them,
 
-    p * R(toxic called clean -> wrong) + max(0, R(unlabelled called clean) - p * R(toxic called clean)),
+    p * R(toxic called toxic) + max(0, R(unlabelled called clean) - p * R(toxic called clean)),
 
 and where the corrected part turns negative, the step is taken against it, so that the model does
-not fit the unlabelled texts one by one.  p is the toxic share of the labels learned from.
-
-Features are words and their beginnings of 4 to 6 letters (texts inflect and join words); those
-enriched in toxic texts and the most frequent others are chosen by counts.  The score is a logistic
-function of the classifier, shifted and scaled on labelled rows of the learning fold.
-
-Bounds: at most ``most_toxic``, ``most_unlabelled`` and ``most_clean`` rows, chosen by a hash of the
-id, are used to fit; ``most_features`` bounds the model.  Every text is scored, and whole.
-
-Defined results: null and empty texts have no words and get the score of the bias.  Without labels
-of both kinds every score is the prior (0 without labels).  Several labels of one id count once,
-as toxic if one is.
+not fit the unlabelled texts one by one.  Unlabelled texts are any texts outside the held-out fold;
+whether one has a label is not looked at, so they are distributed as all texts are, which is what
+the correction supposes.  p is a parameter; unless given it is the toxic share of the labels learned
+from, or ``PRIOR`` where those are of one kind.
+
+Features are words and their beginnings of 4 to 6 letters (texts inflect and join words).  Those
+enriched in toxic texts, against their counts over all unlabelled texts, and the most frequent of all
+are chosen.  The score is a logistic function of the classifier; where there are clean labels it is
+shifted and scaled on labelled rows of the learning fold, else shifted so that the share p of the
+unlabelled texts gets 0.5 or more.
+
+Bounds: the risk is that of at most ``most_toxic`` toxic and ``most_unlabelled`` unlabelled rows, the scale that of at
+most ``most_clean`` clean ones, all chosen by a hash of the id; ``most_features`` bounds the model.  Counts of
+features are over all texts.  Every text is scored, and whole.
+
+Defined results: null and empty texts have no words and get the score of the bias.  Without a toxic
+label every score is ``prior``, or 0 if that is not given.  Several labels of one id count once, as
+toxic if one is; labels of unknown and null ids are ignored.  Repeated rows get equal scores, and
+equal texts do.  An empty table gives an empty result.  Other columns are not read, whatever their
+names; ``keep_clean`` keeps all of them.
 """
 
 from __future__ import annotations
@@ -34,10 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm.sample import bounded
-from eventlake.plans.session import small_batches
+from eventlake.plans import scratch
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
+PRIOR = 0.05
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:
@@ -85,42 +94,83 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, b: float, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """(the part that is always there, the corrected part before it is cut at 0)."""
+    z_p, z_u = positive @ w + b, unlabelled @ w + b
+    return prior * np.logaddexp(0, -z_p).mean(), np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+
+
+def gradient(w: np.ndarray, b: float, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk by w and b; where the corrected part is negative, of that part with its sign turned."""
+    z_p, z_u = positive @ w + b, unlabelled @ w + b
+    s_p, s_u = _logistic(z_p), _logistic(z_u)
+    clean = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    g_p, g_u = -prior * s_p / len(z_p), s_u / len(z_u)  # of the corrected part
+    g_p, g_u = (g_p + prior * (s_p - 1) / len(z_p), g_u) if clean >= 0 else (-g_p, -g_u)
+    kind = positive.dtype  # the matrices are not copied to a wider type
+    return np.append(g_p.astype(kind) @ positive + g_u.astype(kind) @ unlabelled, g_p.sum() + g_u.sum())
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, float]:
     """(weights, bias) of the linear classifier that minimises the non-negative corrected risk."""
     w, b = np.zeros(positive.shape[1], np.float32), -1.0
     m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
-    n_p, n_u = len(positive), len(unlabelled)
     for t in range(1, rounds + 1):
-        z_p, z_u = positive @ w + b, unlabelled @ w + b
-        s_p, s_u = 1 / (1 + np.exp(-np.clip(z_p, -30, 30))), 1 / (1 + np.exp(-np.clip(z_u, -30, 30)))
-        clean = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        g_clean_p, g_clean_u = -prior * s_p / n_p, s_u / n_u
-        if clean >= 0:
-            g_p, g_u = prior * (s_p - 1) / n_p + g_clean_p, g_clean_u
-        else:  # against the corrected part only
-            g_p, g_u = -g_clean_p, -g_clean_u
-        g_p, g_u = g_p.astype(np.float32), g_u.astype(np.float32)  # the matrices are not copied to a wider type
-        grad = np.append(g_p @ positive + g_u @ unlabelled + decay * w, g_p.sum() + g_u.sum()).astype(np.float32)
+        grad = gradient(w, b, positive, unlabelled, prior).astype(np.float32)
+        grad[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), float(b - step[-1])
     return w.astype(np.float64), b
 
 
-def _choose(sets_p: list[np.ndarray], sets_u: list[np.ndarray], most: int) -> np.ndarray:
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """(feature, n): in how many rows of ``texts`` (text_) each feature is; tasks count before they send anything."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, int] = {}
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for text in batch["text_"]:
+                found: set[int] = set()
+                for word in distinct_words(text):
+                    features = known.get(word)
+                    if features is None:
+                        if len(known) > 100_000:
+                            known.clear()
+                        features = known[word] = word_features(word)
+                    found.update(features)
+                for feature in found:
+                    held[feature] = held.get(feature, 0) + 1
+            if len(held) > 300_000:
+                yield frame(held)
+                held = {}
+        yield frame(held)
+
+    def frame(held: dict[int, int]) -> pd.DataFrame:
+        return pd.DataFrame({"feature": np.fromiter(held.keys(), np.int64, len(held)), "n": np.fromiter(held.values(), np.int64, len(held))})
+
+    counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInPandas(run, "feature long, n long")
+    return counted.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _choose(sets_p: list[np.ndarray], counts: DataFrame, texts: int, most: int) -> np.ndarray:
     """Features that are enriched in toxic texts, and the most frequent others for contrast."""
     f_p, n_p = np.unique(np.concatenate(sets_p), return_counts=True)
-    f_u, n_u = np.unique(np.concatenate(sets_u), return_counts=True)
-    at = np.searchsorted(f_u, f_p)
-    at_u = np.where((at < len(f_u)) & (f_u[np.minimum(at, len(f_u) - 1)] == f_p), n_u[np.minimum(at, len(f_u) - 1)], 0)
-    share_p, share_u = n_p / len(sets_p), (at_u + 0.5) / (len(sets_u) + 1)
     least = max(2, int(0.005 * len(sets_p)))
-    good = (n_p >= least) & (share_p > 3 * share_u)
-    # what toxic texts have beyond chance, most certain first
-    gain = np.where(good, n_p * np.log(np.maximum(share_p / share_u, 1e-9)), -1.0)
-    enriched = f_p[np.argsort(-gain, kind="stable")[: min(int(good.sum()), most * 7 // 8)]]
-    frequent = f_u[np.argsort(-n_u, kind="stable")[: most // 8]]
-    return np.unique(np.concatenate((enriched, frequent)))
+    often = n_p >= least
+    mine = pd.DataFrame({"feature": f_p[often].astype(np.int64), "p": n_p[often].astype(np.int64)})  # bounded by most_toxic texts
+    both = counts.sparkSession.createDataFrame(mine, "feature long, p long").join(counts, "feature", "left")
+    share_p, share_u = F.col("p") / F.lit(len(sets_p)), (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(texts + 1)
+    # What toxic texts have beyond chance, most certain first.
+    gain = F.col("p") * F.log(share_p / share_u)
+    enriched = both.where(share_p > 3 * share_u).orderBy(gain.desc(), "feature").limit(most * 7 // 8)
+    frequent = counts.orderBy(F.desc("n"), "feature").limit(most // 8)
+    return np.array(sorted({r[0] for r in enriched.select("feature").collect()} | {r[0] for r in frequent.select("feature").collect()}), np.uint32)
 
 
 def _matrix(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
@@ -145,49 +195,51 @@ def _settle(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    folds: int = 5, most_toxic: int = 2500, most_unlabelled: int = 5000, most_clean: int = 2000, most_features: int = 1024,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5,
+    prior: float | None = None, most_toxic: int = 2500, most_unlabelled: int = 5000, most_clean: int = 2000, most_features: int = 1024,
 ) -> Model:
-    """Learn from labels outside the held-out fold and from unlabelled texts outside it."""
-    spark = small_batches(docs).sparkSession
+    """Learn from toxic labels outside the held-out fold and from the texts outside it."""
+    spark = docs.sparkSession
     fold = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds))
     known = fold.groupBy(F.col(id_col).cast("long").alias("id_")).agg((F.max(label_col) > 0).alias("toxic_"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    rows = rows.where(F.col("id_").isNotNull() & ~held_out(F.col("id_"), folds))
     counts = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic_").cast("long")), F.lit(0))).first()
-    prior = counts[1] / counts[0] if counts[0] else 0.0
-    constant = Model(float(np.log(np.clip(prior, 1e-9, 1 - 1e-9) / (1 - np.clip(prior, 1e-9, 1 - 1e-9)))))
-    if not 0 < prior < 1:
-        return constant
+    if prior is None:
+        prior = counts[1] / counts[0] if 0 < counts[1] < counts[0] else PRIOR if counts[1] else 0.0
+    edge = np.clip(prior, 1e-9, 1 - 1e-9)
+    constant = Model(float(np.log(edge / (1 - edge))))
 
     def some(rows: DataFrame, most: int, role: int) -> DataFrame:
         return bounded(rows, "id_", most).select("id_", F.lit(role).alias("role_"))
 
-    ids = docs.select(F.col(id_col).cast("long").alias("id_")).where(F.col("id_").isNotNull() & ~held_out(F.col("id_"), folds)).distinct()
-    labelled = labels.select(F.col(id_col).cast("long").alias("id_")).distinct()
-    unlabelled = some(ids.join(labelled, "id_", "left_anti"), most_unlabelled, 1)
-    # The bounds make these at most most_toxic + most_unlabelled + most_clean rows.
+    ids = rows.select("id_").distinct()
+    # The bounds make these at most most_toxic + most_unlabelled + most_clean rows; a text may have two roles.
     present = known.join(ids, "id_", "left_semi")
-    chosen = some(present.where("toxic_"), most_toxic, 2).unionByName(unlabelled).unionByName(some(present.where("not toxic_"), most_clean, 0))
-    chosen = spark.createDataFrame(chosen.toPandas(), "id_ long, role_ int")
+    chosen = some(present.where("toxic_"), most_toxic, 2).unionByName(some(ids, most_unlabelled, 1)).unionByName(some(present.where("not toxic_"), most_clean, 0))
+    chosen = chosen.toPandas()
+    if not (chosen["role_"] == 2).any():
+        return constant
+    chosen = spark.createDataFrame(chosen, "id_ long, role_ int")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [text_features(t).tobytes() for t in batch["text_"]]
             yield pd.DataFrame({"id_": batch["id_"], "role_": batch["role_"], "features": sets})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(run, "id_ long, role_ int, features binary").toPandas()
-    sample = sample.drop_duplicates("id_").sort_values("id_", kind="stable")
+    with scratch.batches_of(spark, 2000):
+        sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(run, "id_ long, role_ int, features binary").toPandas()
+    sample = sample.sort_values(["id_", "role_", "features"], kind="stable").drop_duplicates(["id_", "role_"])
     sets = {r: [np.frombuffer(x, np.uint32) for x in sample.loc[sample["role_"] == r, "features"]] for r in (0, 1, 2)}
-    if len(sets[1]) < len(sets[2]):  # too few texts without a label: hide the labels of all
-        sets[1] = [*sets[1], *sets[0], *sets[2][: int(prior * (len(sets[0]) + len(sets[1])) / (1 - prior)) + 1]]
-    if not sets[2] or not sets[0]:
-        return constant
-    features = _choose(sets[2], sets[1], most_features)
-    positive = _matrix(sets[2], features)
-    weights, bias = fit_nnpu(positive, _matrix(sets[1], features), prior)
-    clean = _matrix(sets[0], features)
-    z = np.concatenate((positive @ weights, clean @ weights)) + bias
-    scale, shift = _settle(z, np.arange(len(z)) < len(positive))
+    features = _choose(sets[2], scratch.keep(feature_counts(rows), "toxicity-counts", batch_rows=2000), rows.count(), most_features)
+    positive, unlabelled = _matrix(sets[2], features), _matrix(sets[1], features)
+    weights, bias = fit_nnpu(positive, unlabelled, prior)
+    scale, shift = 1.0, 0.0
+    if sets[0]:
+        z = np.concatenate((positive @ weights, _matrix(sets[0], features) @ weights)) + bias
+        scale, shift = _settle(z, np.arange(len(z)) < len(positive))
+    else:  # as many of the unlabelled texts are toxic as the prior says
+        shift = -float(np.quantile(unlabelled @ weights + bias, 1 - prior, method="midpoint"))
     used = np.abs(weights) > 1e-6
     return Model(scale * bias + shift, {int(f): float(scale * w) for f, w in zip(features[used], weights[used], strict=True)})
 

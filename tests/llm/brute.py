@@ -62,3 +62,56 @@ def statistics(text):
             dups += 1
         earlier.add(line)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(inside)
+
+
+def page_points(root, levels):
+    """{id(node): (points without a bonus, with it)} of a parsed page by the definition, an element and an ancestor at a time."""
+    import html
+
+    bonus = {"article": 25, "main": 15, "div": 5, "section": 3, "td": 3, "blockquote": 3}
+    blocks = set(
+        "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+        "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    )
+    heads = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+    def size(node, links_only=False, inside=False):
+        inside = inside or node.tag == "a"
+        total = 0
+        for c in node.children:
+            if isinstance(c, str):
+                total += sum(map(len, c.split())) * (inside or not links_only)
+            elif not c.dropped:
+                total += size(c, links_only, inside)
+        return total
+
+    def own(node):
+        return "".join(c if isinstance(c, str) else "" if c.dropped or c.tag in blocks else own(c) for c in node.children)
+
+    def every(node):
+        yield node
+        for c in node.children:
+            if not isinstance(c, str):
+                yield from every(c)
+
+    points = {}
+    for node in every(root):
+        if node.dropped or node.tag not in blocks - heads:
+            continue
+        text, whole = " ".join(html.unescape(own(node)).split()), size(node)
+        if len(text) < 25 or whole and size(node, True) > 0.8 * whole:
+            continue
+        worth = 1 + sum(text.count(c) for c in ",，、") + min(len(text) / 100, 3)
+        to = node.parent if node.tag in ("p", "pre", "blockquote", "td", "dd", "li") else node
+        share = [1, 1 / 2] + [1 / (3 * k) for k in range(2, levels)]
+        for part in share:
+            if to is None or to.tag == "#root":
+                break
+            points[id(to)] = points.get(id(to), 0) + worth * part
+            to = to.parent
+    out = {}
+    for node in every(root):
+        if id(node) in points and size(node):
+            left = 1 - size(node, True) / size(node)
+            out[id(node)] = (points[id(node)] * left, (points[id(node)] + bonus.get(node.tag, 0)) * left)
+    return out

@@ -1,6 +1,11 @@
+import random
+import time
+
 import pytest
 
+from eventlake.llm import html_extract
 from eventlake.llm.html_extract import extract, main_text
+from tests.llm import brute
 
 LONG = "It was a fine day, and everyone went out, all of them, to see the boats on the river."
 MORE = "Nobody had expected so many people, so much noise, or such a long wait before the first race."
@@ -63,6 +68,66 @@ def test_usual_pages():
     assert main_text(page(form)) == LONG
 
 
+def test_parts_of_main_and_article():
+    box = "<div class='b2'><p>Unrelated text box</p></div>"
+    post = f"<div class='post'><h1>Boats</h1><p>{LONG}</p><p>{MORE}</p></div>"
+    assert main_text(page(f"<main>{post}{box}</main>")) == f"Boats\n{LONG}\n{MORE}"
+    assert main_text(page(f"<main>{box}<section>{post}</section></main>")) == f"Boats\n{LONG}\n{MORE}"
+    two = f"<article><h2>One</h2><p>{LONG}</p><p>{MORE}</p></article><article><h2>Two</h2><p>{MORE}</p></article>"
+    assert main_text(page(f"<main>{two}</main>")) == f"One\n{LONG}\n{MORE}\nTwo\n{MORE}"
+    assert main_text(page(f"<main><h1>Races</h1>{two}</main>")).startswith("Races\nOne\n")
+    short = f"<article><div class='lead'>In short.</div><div class='text'><p>{LONG}</p><p>{MORE}</p></div><table><tr><td>1<td>2</table><div><a href=x>A long, long link to another story</a></div></article>"
+    assert main_text(page(short)) == f"In short.\n{LONG}\n{MORE}\n1\n2"
+    assert main_text(page(f"<main><p>{LONG}</p><p>{MORE}</p>{box}</main>")) == f"{LONG}\n{MORE}"
+
+
+def _random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["p", "p", "li", "div", "section", "article", "main", "td", "a", "b", "h2", "blockquote", "nav", "text"])
+        if kind == "text" or depth > 6:
+            out.append(rng.choice([LONG, MORE, "short, ", "&amp; so on, and so on, and so on, on, on. "]))
+        else:
+            cls = rng.choice(["", "", "", " class='x'", " class='sidebar'", " hidden"])
+            out.append(f"<{kind}{cls}>{_random_page(rng, depth + 1)}" + (f"</{kind}>" if rng.random() < 0.9 else ""))
+    return "".join(out)
+
+
+def test_points_against_the_definition():
+    rng, scored = random.Random(11), 0
+    for _ in range(300):
+        nodes = html_extract.parse(_random_page(rng))
+        html_extract._drop(nodes)
+        html_extract._measure(nodes)
+        html_extract._score(nodes)
+        want = brute.page_points(nodes[0], html_extract.LEVELS)
+        for n in nodes:
+            assert (n.given, n.points) == pytest.approx(want.get(id(n), (0, 0)))
+        scored += len(want)
+    assert scored > 1000
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div><p>", "<article><p>x", "<div><a href=x>", "<ul><li>", "<b><div>", "<p><b>", "<table><tr><td>", "<div></p></b>", f"<div>{LONG}"])
+def test_cost_is_linear_in_the_page(unit):
+    def took(n):
+        text = unit * n + LONG
+        best = min(_timed(text) for _ in range(3))
+        return best
+
+    small, large = took(2000), took(8000)
+    assert large < 4 * 2.5 * small + 0.05
+
+
+def _timed(text):
+    began = time.process_time()
+    main_text(text)
+    return time.process_time() - began
+
+
+def test_a_page_of_open_elements():
+    assert _timed("<div>" * 200_000 + LONG) < 5
+
+
 def test_broken_markup():
     assert main_text(f"<article><h1>Title</h1><p><b>{LONG}<br><p>{MORE}</article>") == f"Title\n{LONG}\n{MORE}"
     assert main_text(f"<div><p>{LONG}<p>{MORE}") == f"{LONG}\n{MORE}"

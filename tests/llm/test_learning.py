@@ -71,6 +71,39 @@ def test_toxicity_edges(spark, corpus):
     assert kept.columns == ["doc_id", "text", "score", "row_"] and 500 < kept.count() < 560
 
 
+def test_toxicity_from_toxic_labels_alone(spark, corpus):
+    """Positive and unlabelled texts and a prior are enough."""
+    docs, frame, labels = corpus
+    truth = {d[0]: d[5] for d in docs}
+    for prior in (None, 0.125):
+        got = toxicity.classify(frame, labels.where("toxic = 1"), prior=prior).where("held_out").collect()
+        ranked = sorted((r for r in got if r.doc_id in truth), key=lambda r: -r.score)
+        toxic = sum(truth[r.doc_id] for r in ranked)
+        assert sum(truth[r.doc_id] for r in ranked[:toxic]) >= 0.9 * toxic > 5
+        if prior:
+            assert sum(truth[r.doc_id] for r in ranked if r.predicted) >= 0.6 * toxic and sum(not truth[r.doc_id] for r in ranked if r.predicted) <= 4
+
+
+def test_feature_counts_are_over_all_texts(spark):
+    texts = [None, "", "Bad bad words", "words, wordy wordings", "é 12 bad"] * 3
+    got = {r.feature: r.n for r in toxicity.feature_counts(spark.createDataFrame([(t,) for t in texts], "text_ string").repartition(2)).collect()}
+    assert got == Counter(int(f) for t in texts for f in toxicity.text_features(t))
+
+
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 3.0])  # the corrected part is negative for the first
+def test_gradient_is_that_of_the_risk(shift):
+    rng = np.random.default_rng(1)
+    positive, unlabelled, w, prior = rng.random((30, 8)), rng.random((50, 8)), rng.normal(size=8), 0.4
+    if shift < 0:
+        positive = positive + 2 * (w > 0)
+    first, second = toxicity.risk(w, shift, positive, unlabelled, prior)
+    assert (second < 0) == (shift < 0)
+    value = lambda w, b: sum(toxicity.risk(w, b, positive, unlabelled, prior)) if second >= 0 else -toxicity.risk(w, b, positive, unlabelled, prior)[1]
+    e = 1e-6
+    want = [(value(w + e * d, shift) - value(w - e * d, shift)) / (2 * e) for d in np.eye(8)] + [(value(w, shift + e) - value(w, shift - e)) / (2 * e)]
+    assert toxicity.gradient(w, shift, positive, unlabelled, prior) == pytest.approx(np.array(want), abs=1e-7)
+
+
 def test_nonnegative_risk():
     """Few positives, many features: the corrected risk must not let unlabelled texts be learned by heart."""
     rng = np.random.default_rng(0)

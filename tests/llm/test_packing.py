@@ -32,6 +32,15 @@ def test_words_are_encoded_as_whole_texts():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == _ids(text)[:-1]
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = WordTokenizer(path), Tokenizer.from_file(path)
+    assert WordTokenizer(default_path()).by_words and not own.by_words
+    for text in [t for _, t in _docs() if t] + ["A  B\n\nc, D.  e", "I'm we've"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert own.encode(None) == b""
+
+
 @pytest.mark.parametrize("window", [64, 2048])
 def test_every_id_is_in_one_piece(spark, window):
     rows = _docs()
@@ -95,6 +104,24 @@ def test_token_counts(spark):
     assert token_scan.count_tokens(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_scans_are_dealt_over_tasks(spark, tmp_path):
+    """Few small rows stand for much work: they are not merged into one task."""
+    from eventlake.llm.spread import spread
+
+    (tmp_path / "f").write_bytes(np.array([1, 2, 9] * 2000, "<u2").tobytes())
+    files = token_scan.listing(spark, str(tmp_path))
+    rows = token_scan.scan(files, str(tmp_path), 9, 2, 100)
+    assert rows.count() == 2000 and rows.agg({"n_tokens": "sum"}).first()[0] == 4000
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spread(spark.range(60)).rdd.getNumPartitions() >= 8 and spread(spark.range(6400)).rdd.getNumPartitions() == 100
+    assert spread(spark.range(0)).count() == 0
+
+
+def test_token_counts_of_a_clashing_id_column(spark):
+    got = token_scan.count_tokens(spark.createDataFrame([(5, "a b"), ((1 << 63) - 1, "c"), (None, "")], "file long, text string"), id_col="file")
+    assert sorted((str(r.file), r.n_tokens) for r in got.collect()) == [("5", 2), (str((1 << 63) - 1), 1), ("None", 0)]
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
 def test_scan_stitches_blocks(spark, tmp_path, block):
     rng, end, want = random.Random(block), 9, []
