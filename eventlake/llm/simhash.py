@@ -13,14 +13,15 @@ small or have no more than 2**``_FEW_BITS`` fingerprints by their nature.  No li
 By similarity (``keep_similar``).  Sets of shingles with a Jaccard similarity of 0.8 differ in about
 10 of 64 bits of their fingerprints, and in every block.  So a text's fingerprint is ``VIEWS`` blocks
 and a whole: a block is the SimHash of a slice, the ``SLICE`` shingles that come first in an order of
-its own, the whole the 128-bit SimHash of all shingles.  Differences between texts leave slices
+its own, the whole the 256-bit SimHash of all shingles.  Differences between texts leave slices
 untouched: texts at exactly 0.8 share no block once in 38,000 cases, closer ones less often.  What
 shares a block is verified by the Hamming distance of the wholes (a pair at 0.8 exceeds ``_WHOLE_BITS``
-less than once in 10,000 cases) and then exactly, by the shingles of both whole texts.  First the
-texts of a block are held against its smallest one.  In blocks that then still hold several
-components, all pairs of different components are, if it has at most ``crowd`` texts; those of
-larger ones are listed again under the pairs, then triples of blocks they share, and what is still
-crowded is compared a tile of ``crowd`` by ``crowd`` texts at a time.
+about once in 10,000 cases; the second number is for sets of fewer than ``_SMALL`` shingles) and then exactly, by the shingles of both whole texts.  First the texts of
+``_FIRST`` views are held against the smallest of their block, which links most of what is alike.
+After that only blocks that hold several components count.  All pairs of different components are
+compared in those of at most ``crowd`` texts; the texts of larger ones are held against the smallest
+and then listed again under the pairs, then triples of blocks they share, and what is still crowded
+is compared a tile of ``crowd`` by ``crowd`` texts at a time.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which links like any
 other; by similarity they are copies of each other.  A text with fewer words than a shingle is one
@@ -37,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm.components import components
@@ -46,7 +47,9 @@ from eventlake.plans import scratch
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 14  # counts within it fit 16 bits
 _FEW_BITS = 15
-VIEWS, SLICE, _WHOLE_BITS = 20, 4, 40
+VIEWS, SLICE, _FIRST, _WHOLE_BITS = 20, 4, 4, (61, 80)
+_SMALL = 16
+_WHOLE = ["w0_", "w1_", "w2_", "w3_"]
 _RNG = np.random.default_rng(42)
 _ORDERS = _RNG.integers(0, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BACK = np.array([pow(int(x), -1, 1 << 64) for x in _ORDERS], np.uint64)
@@ -99,20 +102,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _again(hashes: np.ndarray) -> np.ndarray:
-    """Other 64 bits of each hash."""
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
-    return hashes ^ (hashes >> np.uint64(32))
+def _others(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """Each hash, then other 64 bits of it, as often as the whole has numbers."""
+    for _ in _WHOLE:
+        yield hashes
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+            hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
+        hashes = hashes ^ (hashes >> np.uint64(32))
 
 
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the whole: two numbers of 64 bits, the blocks: ``VIEWS`` of them) of a set of shingles."""
-    ones = np.zeros((2, 64), np.int64)
+    """(the whole: four numbers of 64 bits, the blocks: ``VIEWS`` of them) of a set of shingles."""
+    ones = np.zeros((len(_WHOLE), 64), np.int64)
     places = np.empty((VIEWS, 0), np.uint64)
     for at in range(0, len(hashes), _CHUNK):
         some = hashes[at : at + _CHUNK]
-        ones += np.stack((_ones(some), _ones(_again(some))))
+        ones += np.stack([_ones(x) for x in _others(some)])
         places = np.concatenate((places, some * _ORDERS[:, None]), axis=1)
         if places.shape[1] > SLICE:
             places = np.partition(places, SLICE - 1, axis=1)[:, :SLICE]
@@ -252,23 +257,29 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id_, mark_, a_, b_, keys_) for each row: the whole and the blocks."""
+    """(id_, mark_, size_, the whole, keys_) for each row; size_ counts shingles, keys_ are the blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [sketch(shingles(t, words)) for t in batch["text_"]]
-            wholes = np.array([w for w, _ in found], np.uint64).reshape(-1, 2).view(np.int64)
-            keys = [k.view(np.int64) for _, k in found]
-            yield pd.DataFrame({"id_": batch["id_"], "mark_": batch["mark_"], "a_": wholes[:, 0], "b_": wholes[:, 1], "keys_": keys})
-
-    found = _rows(docs, id_col, text_col).mapInPandas(run, "id_ string, mark_ long, a_ long, b_ long, keys_ array<long>")
+            sets = [shingles(t, words) for t in batch["text_"]]
+            found = [sketch(x) for x in sets]
+            wholes = np.array([w for w, _ in found], np.uint64).reshape(-1, len(_WHOLE)).view(np.int64)
+            out = {"id_": batch["id_"], "mark_": batch["mark_"], "size_": np.array([len(x) for x in sets], np.int64)}
+            yield pd.DataFrame(out | {w: wholes[:, i] for i, w in enumerate(_WHOLE)} | {"keys_": [k.view(np.int64) for _, k in found]})
+
+    wholes = ", ".join(f"{w} long" for w in _WHOLE)
+    found = _rows(docs, id_col, text_col).mapInPandas(run, f"id_ string, mark_ long, size_ long, {wholes}, keys_ array<long>")
     return found.withColumn("id_", F.col("id_").cast("long"))
 
 
-def _close(a: str, b: str) -> Column:
-    """True where the wholes of two structs differ in few bits."""
-    differ = F.bit_count(F.col(f"{a}.a_").bitwiseXOR(F.col(f"{b}.a_"))) + F.bit_count(F.col(f"{a}.b_").bitwiseXOR(F.col(f"{b}.b_")))
-    return differ <= _WHOLE_BITS
+def _close(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose sizes allow a similarity of ``least`` and whose wholes differ in few bits."""
+    of = lambda name: texts.select(F.col("mark_").alias(name), F.struct("size_", *_WHOLE).alias(f"x{name}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    differ = sum((F.bit_count(F.col(f"xu.{w}").bitwiseXOR(F.col(f"xv.{w}"))) for w in _WHOLE), F.lit(0))
+    sizes = F.least("xu.size_", "xv.size_") >= F.lit(least) * F.greatest("xu.size_", "xv.size_")
+    most = F.when(F.least("xu.size_", "xv.size_") < _SMALL, _WHOLE_BITS[1]).otherwise(_WHOLE_BITS[0])
+    return both.where(sizes & (differ <= most)).select("u", "v")
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
@@ -292,7 +303,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least:
     return scratch.keep(both.mapInPandas(run, "u long, v long"), "similar-edges", batch_rows=1000)
 
 
-def _crossing(members: DataFrame) -> DataFrame:
+def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (u < v) of a tile (g_, p_, q_) that are in different components and close: of parts p_ and q_, or within p_ = q_."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,24 +319,25 @@ def _crossing(members: DataFrame) -> DataFrame:
             yield from pairs_of(rest, np.array([], np.int64))
 
     def pairs_of(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
-        node, root, side = (rows[c].to_numpy() for c in ("mark_", "root_", "part_"))
-        within = (rows["p_"] == rows["q_"]).to_numpy()
-        a, b = (rows[c].to_numpy().view(np.uint64) for c in ("a_", "b_"))
+        node, root, side, size = (rows[c].to_numpy() for c in ("mark_", "root_", "part_", "size_"))
+        within, whole = (rows["p_"] == rows["q_"]).to_numpy(), rows[_WHOLE].to_numpy().view(np.uint64)
         for i, j in zip(np.concatenate(([0], cuts)), np.append(cuts, len(rows)), strict=True):
             us, vs = [], []
             for k in range(i, j - 1):
                 on = slice(k + 1, j)
-                near = np.bitwise_count(a[on] ^ a[k]).astype(np.int64) + np.bitwise_count(b[on] ^ b[k]) <= _WHOLE_BITS
-                near &= (root[on] != root[k]) & (within[k] | (side[on] != side[k]))
-                others = np.flatnonzero(near) + k + 1
+                may = (root[on] != root[k]) & (within[k] | (side[on] != side[k]))
+                may &= np.minimum(size[on], size[k]) >= least * np.maximum(size[on], size[k])
+                others = np.flatnonzero(may) + k + 1
+                most = np.where(np.minimum(size[others], size[k]) < _SMALL, _WHOLE_BITS[1], _WHOLE_BITS[0])
+                others = others[np.bitwise_count(whole[others] ^ whole[k]).sum(1, dtype=np.int64) <= most]
                 us.append(np.minimum(node[others], node[k]))
                 vs.append(np.maximum(node[others], node[k]))
             if us:
                 yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
-    columns = ["g_", "p_", "q_", "part_", "mark_", "root_", "a_", "b_"]
-    spread = members.select(*columns).repartition("g_", "p_", "q_").sortWithinPartitions("g_", "p_", "q_")
-    return spread.mapInPandas(run, "u long, v long")
+    rows = members.join(texts.select("mark_", "size_", *_WHOLE), "mark_")
+    rows = rows.select("g_", "p_", "q_", "part_", "mark_", "root_", "size_", *_WHOLE)
+    return rows.repartition("g_", "p_", "q_").sortWithinPartitions("g_", "p_", "q_").mapInPandas(run, "u long, v long")
 
 
 def _tiles(members: DataFrame, crowd: int) -> DataFrame:
@@ -336,58 +348,54 @@ def _tiles(members: DataFrame, crowd: int) -> DataFrame:
     return tiled.withColumns({"p_": F.least("part_", "o_"), "q_": F.greatest("part_", "o_")})
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, crowd: int = 256, levels: int = 3) -> DataFrame:
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least: float = 0.8, crowd: int = 2048, levels: int = 3) -> DataFrame:
     """(id_, mark_, root_) for each row."""
     rows = scratch.keep(_sketches(docs, id_col, text_col, words), "similar-rows", batch_rows=2000)
     texts = scratch.keep(rows.drop("id_").dropDuplicates(["mark_"]), "similar-distinct")
-    one = F.struct("mark_", "a_", "b_")
-    view = texts.select(one.alias("x_"), F.posexplode("keys_").alias("i_", "key_"))
-    listed = view.select(F.xxhash64("i_", "key_").alias("g_"), F.expr("shiftleft(1L, i_)").alias("used_"), "x_")
-    roots = texts.select(F.col("mark_").alias("node"), F.col("mark_").alias("root"))
-    edges = seen = crossing = None
+    keys = texts.select("mark_", F.posexplode("keys_").alias("i_", "key_"))
+    listed = keys.select(F.xxhash64("i_", "key_").alias("g_"), F.expr("shiftleft(1L, i_)").alias("used_"), "mark_")
+    roots = texts.select(F.col("mark_").alias("mark_"), F.col("mark_").alias("root_"))
+    edges = seen = None
 
     def more(pairs: DataFrame) -> DataFrame:
         """Roots after the ``pairs`` that are alike are linked as well."""
         nonlocal edges, seen
-        pairs = pairs.distinct() if seen is None else pairs.distinct().join(seen, ["u", "v"], "left_anti")
-        pairs = scratch.keep(pairs, "similar-pairs")
+        pairs = scratch.keep(pairs.distinct() if seen is None else pairs.distinct().join(seen, ["u", "v"], "left_anti"), "similar-pairs")
         if not pairs.limit(1).count():
             return roots
         seen = pairs if seen is None else seen.unionByName(pairs)
         found = _alike(pairs, docs, text_col, words, least)
         edges = found if edges is None else edges.unionByName(found)
-        linked = components(edges)
-        every = texts.select("mark_").join(linked, F.col("mark_") == F.col("node"), "left")
-        return scratch.keep(every.select(F.col("mark_").alias("node"), F.coalesce("root", "mark_").alias("root")), "similar-roots")
+        every = texts.select("mark_").join(components(edges).withColumnRenamed("node", "mark_"), "mark_", "left")
+        return scratch.keep(every.select("mark_", F.coalesce("root", "mark_").alias("root_")), "similar-roots")
 
+    def stars(members: DataFrame) -> DataFrame:
+        """Pairs of the smallest of a block with each other one, if they are close."""
+        found = members.where("mark_ <> h_").select(F.col("h_").alias("u"), F.col("mark_").alias("v"))
+        return _close(found.distinct(), texts, least)
+
+    first = listed.where(F.col("used_") < 1 << _FIRST)
+    heads = first.groupBy("g_").agg(F.min("mark_").alias("h_"), F.max("mark_").alias("z_")).where("h_ <> z_").select("g_", "h_")
+    roots = more(stars(first.join(heads, "g_")))
     for level in range(levels):
-        heads = listed.groupBy("g_").agg(F.min("x_").alias("h_"), F.max("x_.mark_").alias("z_")).where("h_.mark_ <> z_").drop("z_")
-        stars = listed.join(heads, "g_").where((F.col("x_.mark_") != F.col("h_.mark_")) & _close("x_", "h_"))
-        roots = more(stars.select(F.col("h_.mark_").alias("u"), F.col("x_.mark_").alias("v")))
-        shared = listed.join(heads.select("g_"), "g_", "left_semi")
-        rooted = shared.join(roots.withColumnsRenamed({"root": "root_"}), F.col("x_.mark_") == F.col("node")).drop("node")
-        counted = rooted.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"), F.min("root_").alias("least_"), F.max("root_").alias("most_"))
-        mixed = scratch.keep(counted.where("least_ <> most_").select("g_", "n_"), "similar-mixed")
-        if not mixed.limit(1).count():
+        rooted = listed.join(roots, "mark_")
+        counted = rooted.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"), F.min("mark_").alias("h_"), F.min("root_").alias("a_"), F.max("root_").alias("z_"))
+        mixed = counted.where("a_ <> z_").select("g_", "n_", "h_")
+        members = scratch.keep(rooted.join(mixed, "g_"), "similar-members")  # what shares a block and is not linked yet
+        if not members.limit(1).count():
             break
-        members = scratch.keep(rooted.join(mixed, "g_").select("g_", "used_", "n_", "root_", "x_.*"), "similar-members")
         few, many = members.where(F.col("n_") <= crowd), members.where(F.col("n_") > crowd)
-        tiles = [few.withColumns({c: F.lit(0) for c in ("part_", "p_", "q_")})]
-        crowded = many.limit(1).count()
-        if crowded and level + 1 == levels:
-            tiles.append(_tiles(many, crowd).drop("o_"))
-        for tile in tiles:
-            pairs = _crossing(tile)
-            crossing = pairs if crossing is None else crossing.unionByName(pairs)
-        if not crowded:
+        pairs = _crossing(few.withColumns({c: F.lit(0) for c in ("part_", "p_", "q_")}), texts, least)
+        if not many.limit(1).count():
+            roots = more(pairs)
+            break
+        if level + 1 == levels:
+            roots = more(pairs.unionByName(_crossing(_tiles(many, crowd), texts, least)))
             break
-        keys = texts.select("mark_", F.posexplode("keys_").alias("i_", "key_"))
-        finer = many.join(keys, "mark_").where("used_ & shiftleft(1L, i_) = 0")
-        finer = finer.select(F.xxhash64("g_", "i_", "key_").alias("g_"), F.expr("used_ | shiftleft(1L, i_)").alias("used_"), one.alias("x_"))
-        listed = scratch.keep(finer, "similar-finer")
-    if crossing is not None:
-        roots = more(crossing)
-    return rows.select("id_", "mark_").join(roots.select(F.col("node").alias("mark_"), F.col("root").alias("root_")), "mark_")
+        roots = more(pairs.unionByName(stars(many)))
+        finer = many.select("g_", "used_", "mark_").join(keys, "mark_").where("used_ & shiftleft(1L, i_) = 0")
+        listed = finer.select(F.xxhash64("g_", "i_", "key_").alias("g_"), F.expr("used_ | shiftleft(1L, i_)").alias("used_"), "mark_")
+    return rows.select("id_", "mark_").join(roots, "mark_")
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
