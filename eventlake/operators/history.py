@@ -16,15 +16,24 @@ def state_at_version(events: DataFrame, spec: AggregateSpec, version: int) -> Da
 def version_asof(asked: DataFrame, events: DataFrame, initial: int = 1) -> DataFrame:
     """``asked`` (originator_id, as_of) with version, the highest at or before that time; initial - 1 if there is none.
 
-    Times of one aggregate are few, so events are joined by id, cut to what is old enough, and
-    merged before they leave the join's tasks.
+    Both sides are laid into one line and the maximum runs along it, so no pairs are made.  Lines are
+    cut into days, and the maxima of earlier days are carried over, so that a busy aggregate does not
+    lie in one task.
     """
-    stamps = events.select("originator_id", "originator_version", F.col("timestamp").alias("ts_"))
-    old = asked.join(stamps, "originator_id").where(F.col("ts_") <= F.col("as_of"))
-    found = old.groupBy("originator_id", "as_of").agg(F.max("originator_version").alias("v_"))
-    return asked.join(found, ["originator_id", "as_of"], "left").select(
-        "originator_id", "as_of", F.coalesce("v_", F.lit(initial - 1).cast("long")).alias("version")
-    )
+    kind = events.schema["timestamp"].dataType
+    known = events.where(F.col("timestamp").isNotNull() & F.col("originator_id").isNotNull())
+    stamps = known.select("originator_id", F.col("timestamp").alias("t_"), F.lit(0).alias("ask_"), F.col("originator_version").alias("v_"))
+    asks = asked.select("originator_id", F.col("as_of").cast(kind).alias("t_"), F.lit(1).alias("ask_"), F.lit(None).cast("long").alias("v_"), "as_of")
+    line = stamps.withColumn("as_of", F.lit(None).cast(asked.schema["as_of"].dataType)).unionByName(asks).withColumn("day_", F.to_date("t_"))
+    # An event comes before what is asked at its time.
+    along = Window.partitionBy("originator_id", "day_").orderBy("t_", "ask_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = line.withColumn("within_", F.max("v_").over(along)).where("ask_ = 1").select("originator_id", "as_of", "day_", "within_")
+    days = line.groupBy("originator_id", "day_").agg(F.max("v_").alias("m_"))
+    earlier = Window.partitionBy("originator_id").orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(F.col("originator_id").alias("id_"), F.col("day_").alias("d_"), F.max("m_").over(earlier).alias("carried_"))
+    joined = within.join(carried, F.col("originator_id").eqNullSafe(F.col("id_")) & F.col("day_").eqNullSafe(F.col("d_")))
+    version = F.coalesce(F.greatest("within_", "carried_"), F.lit(initial - 1).cast("long"))
+    return joined.select("originator_id", "as_of", version.alias("version"))
 
 
 def version_at(events: DataFrame, as_of, initial: int = 1) -> DataFrame:

@@ -48,7 +48,7 @@ _DOUBLES = {
     "amount": """select_events_asc select_events_desc_limit select_events_gt_lte latest_event_per_aggregate last_event_lte_version
         select_notifications select_notifications_stop select_notifications_topics json_state_round_trip remote_log_round_trip
         aes_round_trip zlib_round_trip gzip_aes_round_trip policy_emit""".split(),
-    "balance": """log_join_state state_current state_at_version state_at_timestamp running_balance overdraft_violations
+    "balance": """log_join_state log_join_state_range state_current state_at_version state_at_timestamp running_balance overdraft_violations
         state_after_discarding snapshot_every_n replay_from_snapshot replay_from_snapshot_at_version fast_forward_delta take_snapshot""".split(),
     "total": ["hof_fold_equals_sql", "pandas_fold_equals_sql", "stream_stateful_totals"],
     "last_purchase": ["last_value_fold"],
@@ -220,7 +220,7 @@ def log_first_last(spark, sf):
     ", st AS (SELECT originator_id, sum(amount) AS balance FROM se GROUP BY 1) "
     "SELECT notification_id, se.originator_id, CAST(balance AS DECIMAL(38,2)) AS balance FROM se JOIN st USING (originator_id) WHERE notification_id > 10 AND notification_id <= 500"
 )
-def log_join_state(spark, sf):
+def log_join_state_range(spark, sf):
     states = _log(spark, sf).groupBy("originator_id").agg(_balance().alias("balance"))
     return reads.entries_with_state(_log(spark, sf).select("notification_id", "originator_id"), states, gt=10, lte=500).select("notification_id", "originator_id", "balance")
 
@@ -229,7 +229,7 @@ def log_join_state(spark, sf):
     ", st AS (SELECT originator_id, sum(amount) AS balance FROM se GROUP BY 1) "
     "SELECT notification_id, se.originator_id, CAST(balance AS DECIMAL(38,2)) AS balance FROM se JOIN st USING (originator_id)"
 )
-def log_join_state_all(spark, sf):
+def log_join_state(spark, sf):
     states = _log(spark, sf).groupBy("originator_id").agg(_balance().alias("balance"))
     return reads.entries_with_state(_log(spark, sf).select("notification_id", "originator_id"), states).select("notification_id", "originator_id", "balance")
 
@@ -268,23 +268,12 @@ def version_asof_timestamp(spark, sf):
     return history.version_at(_stored(spark, sf), F.lit(AS_OF).cast("timestamp_ntz"))
 
 
-@query(
-    ", asked AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS originator_id, o_orderdate AS as_of FROM orders WHERE o_orderkey % 20 = 0 UNION "
-    f"SELECT DISTINCT originator_id, TIMESTAMP '{AS_OF}' FROM se) "
-    "SELECT a.originator_id, a.as_of, coalesce(max(se.originator_version), 0) AS version FROM asked a LEFT JOIN se ON se.originator_id = a.originator_id AND se.ts <= a.as_of GROUP BY 1, 2"
-)
-def version_asof_join(spark, sf):
-    orders = adapters.orders_as_notifications(spark, sf).where("(notification_id - 1) % 20 = 0").select("originator_id", F.col("timestamp").alias("as_of"))
-    users = _log(spark, sf).select("originator_id", F.lit(AS_OF).cast("timestamp_ntz").alias("as_of"))
-    return history.version_asof(orders.unionByName(users).distinct(), _stored(spark, sf))
-
-
 @query(
     ", asked AS (SELECT CAST(o_custkey AS VARCHAR) AS originator_id, o_orderdate AS as_of FROM orders UNION "
     f"SELECT originator_id, TIMESTAMP '{AS_OF}' FROM se) "
     "SELECT a.originator_id, a.as_of, coalesce(max(se.originator_version), 0) AS version FROM asked a LEFT JOIN se ON se.originator_id = a.originator_id AND se.ts <= a.as_of GROUP BY 1, 2"
 )
-def version_asof_join_all(spark, sf):
+def version_asof_join(spark, sf):
     orders = adapters.orders_as_notifications(spark, sf).select("originator_id", F.col("timestamp").alias("as_of"))
     users = _log(spark, sf).select("originator_id", F.lit(AS_OF).cast("timestamp_ntz").alias("as_of"))
     return history.version_asof(orders.unionByName(users).distinct(), _stored(spark, sf))
@@ -410,12 +399,13 @@ def contiguity_gaps(spark, sf):
     return versions.gaps(_stored(spark, sf).where(_GAPPY))
 
 
-_BATCH = "SELECT originator_id, originator_version FROM se WHERE notification_id % 5 = 0 UNION ALL SELECT originator_id, originator_version FROM se WHERE notification_id % 7 = 0"
+_BATCH = "SELECT originator_id, originator_version FROM se UNION ALL SELECT originator_id, originator_version FROM se WHERE topic = 'purchase'"
 
 
 def _batch(spark, sf):
-    rows = _stored(spark, sf).select("originator_id", "originator_version", "notification_id")
-    return rows.where("notification_id % 5 = 0").unionByName(rows.where("notification_id % 7 = 0")).drop("notification_id")
+    """All events, purchases twice."""
+    rows = _stored(spark, sf).select("originator_id", "originator_version", "topic")
+    return rows.unionByName(rows.where("topic = 'purchase'")).drop("topic")
 
 
 @query(f", b AS ({_BATCH}) SELECT originator_id, originator_version, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1")
@@ -423,28 +413,9 @@ def conflict_in_batch(spark, sf):
     return versions.conflicts_in_batch(_batch(spark, sf))
 
 
-@query(f", b AS ({_BATCH}) SELECT originator_id, originator_version FROM b WHERE EXISTS (SELECT 1 FROM se s WHERE s.originator_id = b.originator_id AND s.originator_version = b.originator_version AND s.topic = 'view')")
+@query(f", b AS ({_BATCH}) SELECT originator_id, originator_version FROM b WHERE EXISTS (SELECT 1 FROM se s WHERE s.originator_id = b.originator_id AND s.originator_version = b.originator_version)")
 def conflict_vs_table(spark, sf):
-    return versions.conflicts_with_table(_batch(spark, sf), _stored(spark, sf).where("topic = 'view'"))
-
-
-_BATCH_ALL = "SELECT originator_id, originator_version FROM se UNION ALL SELECT originator_id, originator_version FROM se WHERE topic = 'purchase'"
-
-
-def _batch_all(spark, sf):
-    """All events, purchases twice."""
-    rows = _stored(spark, sf).select("originator_id", "originator_version", "topic")
-    return rows.unionByName(rows.where("topic = 'purchase'")).drop("topic")
-
-
-@query(f", b AS ({_BATCH_ALL}) SELECT originator_id, originator_version, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 1")
-def conflict_in_batch_all(spark, sf):
-    return versions.conflicts_in_batch(_batch_all(spark, sf))
-
-
-@query(f", b AS ({_BATCH_ALL}) SELECT originator_id, originator_version FROM b WHERE EXISTS (SELECT 1 FROM se s WHERE s.originator_id = b.originator_id AND s.originator_version = b.originator_version)")
-def conflict_vs_table_all(spark, sf):
-    return versions.conflicts_with_table(_batch_all(spark, sf), _stored(spark, sf))
+    return versions.conflicts_with_table(_batch(spark, sf), _stored(spark, sf))
 
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS originator_version FROM orders")
