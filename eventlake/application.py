@@ -24,17 +24,44 @@ class Repository:
     def __init__(self, application: Application, spec: AggregateSpec, decode: Callable[[DataFrame], DataFrame]):
         self._application, self._spec, self._decode = application, spec, decode
 
-    def events(self, ids: Sequence[str] | DataFrame | None = None, version: int | None = None) -> DataFrame:
+    def _stored(self, ids: Sequence[str] | DataFrame | None = None, version: int | None = None) -> DataFrame:
         rows = self._application.log.notifications()
         if isinstance(ids, DataFrame):
             rows = rows.join(ids.select("originator_id").distinct(), "originator_id", "left_semi")
         elif ids is not None:
             rows = rows.where(F.col("originator_id").isin(*ids))
-        return self._decode(rows if version is None else rows.where(F.col("originator_version") <= version))
+        return rows if version is None else rows.where(F.col("originator_version") <= version)
+
+    def events(self, ids: Sequence[str] | DataFrame | None = None, version: int | None = None) -> DataFrame:
+        return self._decode(self._stored(ids, version))
 
     def get(self, ids: Sequence[str] | DataFrame | None = None, version: int | None = None) -> DataFrame:
-        """States, current or at a version; ids without events have no row."""
-        return project(self.events(ids, version), self._spec)
+        """States, current or at a version; ids without events have no row.
+
+        Where the application takes snapshots and the spec says how its fields go on from one, events
+        at or before the last snapshot are dropped before they are decoded.
+        """
+        spec = self._spec
+        if self._application.snapshots is None or not spec.continued:
+            return project(self.events(ids, version), spec)
+        at = F.col("originator_version")
+        fields = {
+            "created_on": snapshots.Continued(F.min_by("timestamp", at), "first"),
+            "modified_on": snapshots.Continued(F.max_by("timestamp", at), "last"), **spec.continued,
+        }
+        taken = self._application.snapshots.notifications()
+        if isinstance(ids, DataFrame):
+            taken = taken.join(ids.select("originator_id").distinct(), "originator_id", "left_semi")
+        elif ids is not None:
+            taken = taken.where(F.col("originator_id").isin(*ids))
+        time = self._decode(self._stored()).schema["timestamp"].dataType.simpleString()
+        seeds = self._seeds(taken, {"created_on": time, "modified_on": time, **spec.types})
+        return snapshots.replay(self._stored(ids, version), seeds, fields, version, spec.initial_version, self._decode, spec.discarded)
+
+    def _seeds(self, taken: DataFrame, types: Mapping[str, str]) -> DataFrame:
+        known = self._application.decode(taken.where(F.col("topic") == self._spec.name))
+        state = F.from_json("state", ", ".join(f"`{n}` {t}" for n, t in types.items()))
+        return known.select("originator_id", "originator_version", state.alias("s_")).select("originator_id", "originator_version", "s_.*")
 
     def replay(self, fields: Mapping[str, snapshots.Continued], types: Mapping[str, str], version: int | None = None) -> DataFrame:
         """States (originator_id, version, fields) from the last snapshots at or before a version and the events after them.
@@ -43,10 +70,8 @@ class Repository:
         """
         if self._application.snapshots is None:
             raise ProgrammingError("snapshotting is not enabled")
-        taken = self._application.decode(self._application.snapshots.notifications()).where(F.col("topic") == self._spec.name)
-        state = F.from_json("state", ", ".join(f"`{n}` {t}" for n, t in types.items()))
-        seeds = taken.select("originator_id", "originator_version", state.alias("s_")).select("originator_id", "originator_version", "s_.*")
-        return snapshots.replay(self.events(), seeds, fields, version)
+        seeds = self._seeds(self._application.snapshots.notifications(), types)
+        return snapshots.replay(self._stored(), seeds, fields, version, self._spec.initial_version, self._decode)
 
     def get_one(self, originator_id: str, version: int | None = None):
         found = self.get([originator_id], version).collect()
@@ -111,7 +136,9 @@ class Application:
         if not interval or self.snapshots is None:
             return None
         due = new_events.where(F.col("originator_version") % interval == 0).select("originator_id", "originator_version")
-        running = snapshots.every(repository.events(due), spec.fields, interval)
+        at = F.col("originator_version")
+        times = {"created_on": F.min_by("timestamp", at), "modified_on": F.max_by("timestamp", at)}
+        running = snapshots.every(repository.events(due), {**times, **spec.fields}, interval)
         made = running.join(due, ["originator_id", "originator_version"], "left_semi").drop("timestamp")
         return self.snapshots.append(self.encode(snapshots.take(made.withColumnRenamed("originator_version", "version"), spec.name, spec.class_version)))
 

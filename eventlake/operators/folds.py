@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.schema import ProgrammingError
+from eventlake.schema import OriginatorIDError, OriginatorVersionError, ProgrammingError
 
 
 def total(value: Column) -> Column:
@@ -61,7 +61,9 @@ class AggregateSpec:
     """What an aggregate is: its events and, for each field of its state, the aggregate that folds it.
 
     ``created`` lists topics that may start a sequence (any if empty); ``discarded`` those that end
-    it; ``initial_version`` is the version of a first event.
+    it; ``initial_version`` is the version of a first event.  ``continued`` says how fields of a later
+    state follow from an earlier one (see ``snapshots``), and ``types`` their types in snapshots; with
+    both, a repository starts from snapshots.
     """
 
     name: str
@@ -72,6 +74,7 @@ class AggregateSpec:
     initial_version: int = 1
     class_version: int = 1
     types: Mapping[str, str] = field(default_factory=dict)
+    continued: Mapping[str, object] = field(default_factory=dict)
 
     def __post_init__(self):
         topics = [e.topic for e in self.events]
@@ -99,19 +102,66 @@ def discarded(events: DataFrame, topics: tuple[str, ...]) -> DataFrame:
     return last.where(F.col("last_topic").isin(*topics)).select("originator_id")
 
 
-def project(events: DataFrame, spec: AggregateSpec) -> DataFrame:
-    """Current state: originator_id, version, created_on, modified_on and the spec's fields, a row per aggregate."""
+def span() -> list[Column]:
+    """Aggregates of a sequence's versions, for ``unbroken``."""
+    v = F.col("originator_version")
+    wide = v.cast("decimal(18,0)")
+    return [F.min(v).alias("lo_"), F.max(v).alias("hi_"), F.count(v).alias("n_"), F.sum(wide).alias("sum_"), F.sum((wide * wide).cast("decimal(36,0)")).alias("squares_")]
+
+
+def unbroken(first: Column) -> Column:
+    """The last version of a sequence of ``span`` from ``first``; a gap or a repeat raises.
+
+    Count, sum and sum of squares are those of the whole numbers between the ends, which costs no
+    sort; the ordered folds look at every step.
+    """
+    lo, hi = F.col("lo_").cast("decimal(12,0)"), F.col("hi_").cast("decimal(12,0)")
+    below = lambda x: x * (x + 1) * (2 * x + 1)  # noqa: E731  six times the sum of squares up to x
+    good = (F.col("lo_") == first) & (F.col("n_") == F.col("hi_") - F.col("lo_") + 1) & (2 * F.col("sum_") == (lo + hi) * F.col("n_"))
+    good &= 6 * F.col("squares_") == below(hi) - below(lo - 1)
+    said = F.concat(F.lit("OriginatorVersionError: the versions of "), F.col("originator_id"), F.lit(" are not whole from "), first.cast("string"))
+    return F.when(good, F.col("hi_")).otherwise(F.raise_error(said).cast("long"))
+
+
+def project(events: DataFrame, spec: AggregateSpec, checked: bool = True) -> DataFrame:
+    """Current state: originator_id, version, created_on, modified_on and the spec's fields, a row per aggregate.
+
+    A gap or a repeat in the versions, a sequence that does not begin with the initial version (or
+    after a discarding event), and one that begins with another topic than those that create raise,
+    unless ``checked`` is off.
+    """
     version = F.col("originator_version")
-    return (
-        after_discarding(events, spec.discarded)
-        .groupBy("originator_id")
-        .agg(
-            F.max(version).alias("version"),
-            F.min_by("timestamp", version).alias("created_on"),
-            F.max_by("timestamp", version).alias("modified_on"),
-            *[c.alias(name) for name, c in spec.fields.items()],
-        )
-    )
+    rows = events
+    if spec.discarded:
+        ends = events.where(F.col("topic").isin(*spec.discarded)).groupBy("originator_id").agg(F.max(version).alias("end_"))
+        rows = events.join(ends, "originator_id", "left").where("end_ is null or originator_version > end_")
+    names = [F.col(n) for n in spec.fields]
+    folded = rows.groupBy("originator_id").agg(
+        *span(), (F.max("end_") if spec.discarded else F.lit(None).cast("long")).alias("end_"),
+        F.min_by("timestamp", version).alias("created_on"), F.max_by("timestamp", version).alias("modified_on"),
+        F.min_by("topic", version).alias("began_") if spec.created else F.lit(None).alias("began_"),
+        *[c.alias(name) for name, c in spec.fields.items()],
+    )
+    now = F.col("hi_")
+    if checked:
+        now = unbroken(F.coalesce(F.col("end_") + 1, F.lit(spec.initial_version).cast("long")))
+        if spec.created:
+            said = F.concat(F.lit("ProgrammingError: "), F.col("originator_id"), F.lit(" begins with "), F.col("began_"))
+            now = F.when(F.col("began_").isin(*spec.created), now).otherwise(F.raise_error(said).cast("long"))
+    return folded.select("originator_id", now.alias("version"), "created_on", "modified_on", *names)
+
+
+def continues(events: DataFrame, originator_id: str, version: int) -> int:
+    """The version that one aggregate has after ``events``; raises if they are not its next ones."""
+    found = events.agg(*span(), F.max(F.when(~F.col("originator_id").eqNullSafe(originator_id), F.coalesce("originator_id", F.lit("null")))).alias("other_")).first()
+    if found["other_"] is not None:
+        raise OriginatorIDError(f"an event of {found['other_']} for {originator_id}")
+    if not found["n_"]:
+        return version
+    whole = range(version + 1, found["hi_"] + 1)
+    if found["lo_"] != version + 1 or found["n_"] != len(whole) or found["sum_"] != (found["lo_"] + found["hi_"]) * found["n_"] // 2:
+        raise OriginatorVersionError(f"the versions of {originator_id} do not go on from {version}")
+    return found["hi_"]
 
 
 def history(events: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
@@ -149,10 +199,13 @@ def fold(
 
 
 def fold_python(
-    events: DataFrame, initial: Callable[[], object], mutate: Callable[[object, dict], object], finish: Callable[[object], dict], schema: str, columns: list[str]
-) -> DataFrame:
+    events: DataFrame, initial: Callable[[], object], mutate: Callable[[object, dict], object], finish: Callable[[object], dict], schema: str, columns: list[str],
+    initial_version: int = 1,
+) -> DataFrame:
     """Fold with any Python function: ``mutate(state, event) -> state``; None means the aggregate is gone.
 
+    A gap or a repeat in the versions raises OriginatorVersionError.
+
     Sequences are dealt by id and sorted, and the events stream through the worker, so a sequence
     longer than memory folds too.  ``schema`` describes what ``finish(state)`` returns.
     """
@@ -165,7 +218,9 @@ def fold_python(
                 if row["originator_id"] != now:
                     if now is not None and state is not None:
                         out.append({"originator_id": now, "version": version, **finish(state)})
-                    now, state = row["originator_id"], initial()
+                    now, state, version = row["originator_id"], initial(), initial_version - 1
+                if row["originator_version"] != version + 1:
+                    raise OriginatorVersionError(f"{now}: expected {version + 1}, got {row['originator_version']}")
                 state = mutate(initial() if state is None else state, row)
                 version = row["originator_version"]
             yield pd.DataFrame(out, columns=["originator_id", "version", *names])

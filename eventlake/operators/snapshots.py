@@ -7,13 +7,13 @@ and from the events in between.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.operators.folds import project
+from eventlake.operators.folds import project, span, unbroken
 from eventlake.schema import ProgrammingError
 
 
@@ -22,11 +22,13 @@ class Continued:
     """A field's aggregate over new events, and how it joins the earlier value."""
 
     over: Column
-    kind: str  # sum, last, any, append
+    kind: str  # sum, first, last, any, append
 
     def join(self, before: Column, since: Column) -> Column:
         if self.kind == "sum":
             return F.coalesce(before + since, before, since)
+        if self.kind == "first":
+            return F.coalesce(before, since)
         if self.kind == "last":
             return F.coalesce(since, before)
         if self.kind == "any":
@@ -60,11 +62,16 @@ def latest(snapshots: DataFrame, lte: int | None = None) -> DataFrame:
     return found.select("originator_id", "originator_version", "s_.*")
 
 
-def replay(events: DataFrame, snapshots: DataFrame, fields: Mapping[str, Continued], version: int | None = None) -> DataFrame:
+def replay(
+    events: DataFrame, snapshots: DataFrame, fields: Mapping[str, Continued], version: int | None = None, initial: int = 1,
+    decode: Callable[[DataFrame], DataFrame] | None = None, discarded: tuple[str, ...] = (), checked: bool = True,
+) -> DataFrame:
     """State from the last snapshot (at or before ``version``) and the events after it only.
 
     An aggregate whose last event is the snapshotted one has no later events; it keeps its row, as
-    does one that has no snapshot.
+    does one that has no snapshot.  ``decode`` is only given events that are later than the
+    snapshots.  An event of a ``discarded`` topic ends what was before it, the snapshot too.  Events
+    that do not go on from the snapshot, without a gap or a repeat, raise unless ``checked`` is off.
     """
     if version is not None:
         events = events.where(F.col("originator_version") <= version)
@@ -72,13 +79,19 @@ def replay(events: DataFrame, snapshots: DataFrame, fields: Mapping[str, Continu
     tail = events.join(seeds.select("originator_id", "seed_version_"), "originator_id", "left").where(
         "seed_version_ is null or originator_version > seed_version_"
     )
-    since = tail.groupBy("originator_id").agg(
-        F.max("originator_version").alias("version_"), *[c.over.alias(f"{n}_since_") for n, c in fields.items()]
-    )
+    tail = decode(tail) if decode else tail
     seeds = seeds.select("originator_id", "seed_version_", *[F.col(n).alias(f"{n}_before_") for n in fields])
+    ended = F.lit(None).cast("long")
+    if discarded:
+        ends = tail.where(F.col("topic").isin(*discarded)).groupBy("originator_id").agg(F.max("originator_version").alias("end_"))
+        tail = tail.join(ends, "originator_id", "left").where("end_ is null or originator_version > end_")
+        seeds, ended = seeds.join(ends, "originator_id", "left_anti"), F.max("end_")
+    since = tail.groupBy("originator_id").agg(*span(), ended.alias("end_"), *[c.over.alias(f"{n}_since_") for n, c in fields.items()])
     both = seeds.join(since, "originator_id", "full")
+    first = F.coalesce(F.col("end_") + 1, F.col("seed_version_") + 1, F.lit(initial).cast("long"))
+    last = F.when(F.col("n_").isNotNull(), unbroken(first) if checked else F.col("hi_"))
     return both.select(
-        "originator_id", F.coalesce("version_", "seed_version_").alias("version"),
+        "originator_id", F.coalesce(last, "seed_version_").alias("version"),
         *[c.join(F.col(f"{n}_before_"), F.col(f"{n}_since_")).alias(n) for n, c in fields.items()],
     )
 

@@ -49,7 +49,7 @@ _DOUBLES = {
         select_notifications select_notifications_stop select_notifications_topics json_state_round_trip remote_log_round_trip
         aes_round_trip zlib_round_trip gzip_aes_round_trip policy_emit""".split(),
     "balance": """log_join_state log_join_state_range state_current state_at_version state_at_timestamp running_balance overdraft_violations
-        state_after_discarding snapshot_every_n replay_from_snapshot replay_from_snapshot_at_version fast_forward_delta take_snapshot""".split(),
+        state_after_discarding snapshot_every_n replay_from_snapshot replay_from_snapshot_at_version fast_forward_delta take_snapshot repository_get_seeded""".split(),
     "total": ["hof_fold_equals_sql", "pandas_fold_equals_sql", "stream_stateful_totals"],
     "last_purchase": ["last_value_fold"],
 }
@@ -468,6 +468,24 @@ def replay_from_snapshot_at_version(spark, sf):
     return snapshots.replay(events, snapshots.every(events, _fields(), 10), _continued(), version=25)
 
 
+@query(f"SELECT {_CONTINUED}, min(ts) AS created_on, max_by(ts, originator_version) AS modified_on FROM se GROUP BY 1")
+def repository_get_seeded(spark, sf):
+    """Snapshots at version 10, then all events saved: the states that a repository gives."""
+    from eventlake.application import Application
+
+    fields = _continued()
+    spec = folds.AggregateSpec("User", _fields(), continued=fields, types={"balance": "decimal(38,2)", "last_topic": "string", "is_flagged": "boolean"})
+    app = Application(spark, scratch.place(spark, "seeded"), {"IS_SNAPSHOTTING_ENABLED": "y"})
+    payload = F.struct(F.col("timestamp").cast("string").alias("timestamp"), F.col("amount").cast("string").alias("amount"))
+    rows = _stored(spark, sf).select("originator_id", "originator_version", "topic", F.to_json(payload).alias("state"), "notification_id")
+    of = lambda name, kind: F.get_json_object("state", f"$.{name}").cast(kind).alias(name)
+    decode = lambda x: x.select("originator_id", "originator_version", "topic", of("timestamp", "timestamp_ntz"), of("amount", "decimal(12,2)"))
+    users = app.repository(spec, decode)
+    app.save(rows, order="notification_id")
+    app.take_snapshots(users, spec, version=10)
+    return users.get()
+
+
 @query(f"SELECT {_CONTINUED} FROM se GROUP BY 1")
 def fast_forward_delta(spark, sf):
     events = _stored(spark, sf)

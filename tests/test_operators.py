@@ -37,6 +37,76 @@ def spec():
     return folds.AggregateSpec("Account", {"balance": balance(), "last": folds.last_value(F.col("amount"))})
 
 
+def test_folds_check_ids_versions_and_beginnings(spark):
+    from eventlake.schema import OriginatorIDError, OriginatorVersionError
+
+    row = lambda v, topic="b", id_="x": (id_, v, topic, T0, None)
+    make = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    count = {"n": F.count(F.lit(1))}
+    plain = folds.AggregateSpec("A", count)
+    assert folds.project(make(row(1, "a"), row(2), row(3)), plain).first().version == 3
+    for broken in ([1, 3], [2, 3], [1, 2, 2], [1, 1, 4, 4], [1, 2, 2, 4], [0, 1]):
+        rows = make(*[row(v) for v in broken])
+        with pytest.raises(Exception, match="OriginatorVersionError"):
+            folds.project(rows, plain).collect()
+        assert folds.project(rows, plain, checked=False).first().n == len(broken)
+        with pytest.raises(Exception, match="OriginatorVersionError"):
+            folds.fold_python(rows, lambda: 0, lambda s, e: s + 1, lambda s: {"n": s}, "n long", []).collect()
+    later = folds.AggregateSpec("A", count, initial_version=5)
+    assert folds.project(make(row(5), row(6)), later).first().version == 6
+    with pytest.raises(Exception, match="OriginatorVersionError"):
+        folds.project(make(row(1), row(2)), later).collect()
+    begun = folds.AggregateSpec("A", count, created=("a",))
+    assert folds.project(make(row(1, "a"), row(2)), begun).first().version == 2
+    with pytest.raises(Exception, match="begins with b"):
+        folds.project(make(row(1), row(2, "a")), begun).collect()
+    ended = folds.AggregateSpec("A", count, discarded=("z",))
+    assert folds.project(make(row(1), row(2, "z"), row(3), row(4)), ended).first().version == 4
+    assert folds.continues(make(row(4), row(5)), "x", 3) == 5 and folds.continues(make(), "x", 3) == 3
+    with pytest.raises(OriginatorIDError):
+        folds.continues(make(row(4), row(5, id_="y")), "x", 3)
+    for wrong in (make(row(5)), make(row(4), row(6)), make(row(4), row(4))):
+        with pytest.raises(OriginatorVersionError):
+            folds.continues(wrong, "x", 3)
+
+
+def test_repository_starts_from_snapshots(spark, tmp_path):
+    from eventlake.application import Application
+    from eventlake.operators import snapshots
+
+    total = snapshots.Continued(F.sum("amount"), "sum")
+    spec = folds.AggregateSpec("A", {"total": F.sum("amount")}, discarded=("z",), continued={"total": total}, types={"total": "decimal(38,2)"})
+    app = Application(spark, f"file://{tmp_path}", {"IS_SNAPSHOTTING_ENABLED": "y"})
+    seen = spark.sparkContext.accumulator(0)
+
+    def decode(rows):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        rows = rows.mapInArrow(count, rows.schema)
+        amount = F.get_json_object(F.col("state"), "$.amount").cast("decimal(12,2)").alias("amount")
+        return rows.select("originator_id", "originator_version", "topic", F.lit(T0).cast("timestamp_ntz").alias("timestamp"), amount)
+
+    def save(*events):
+        rows = [(i, v, t, '{"amount": "%s"}' % a) for i, v, t, a in events]
+        app.save(spark.createDataFrame(rows, "originator_id string, originator_version long, topic string, state string"), order="originator_version")
+
+    users = app.repository(spec, decode)
+    save(*[("x", v, "b", v) for v in range(1, 11)], ("y", 1, "b", 5), ("w", 1, "b", 1))
+    app.take_snapshots(users, spec)
+    save(("x", 11, "b", 100), ("y", 2, "z", 0), ("y", 3, "b", 7), ("v", 1, "b", 2))
+    seen.value = 0
+    got = {r.originator_id: (r.version, int(r.total)) for r in users.get().collect()}
+    assert got == {"x": (11, 155), "y": (3, 7), "w": (1, 1), "v": (1, 2)} and seen.value <= 3 * 4  # the four later events: for the states, and twice for what ends them
+    assert users.get_one("x", 10).total == 55 and users.get_one("x", 4).total == 10
+    assert users.get(["w"]).first().version == 1
+    save(("x", 13, "b", 1))
+    with pytest.raises(Exception, match="OriginatorVersionError"):
+        users.get().collect()
+
+
 def test_time_travel(spark):
     rows = account(spark, "0.00", "10.00", "25.00", "30.00")
     for version, balance in ((1, "0.00"), (2, "10.00"), (3, "35.00"), (4, "65.00")):
