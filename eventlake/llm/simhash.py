@@ -48,7 +48,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _CHUNK = 1 << 14  # counts within it fit 16 bits
 _FEW_BITS = 15
 VIEWS, SLICE, _FIRST, _WHOLE_BITS = 20, 4, 4, (61, 80)
-_SMALL = 16
+_SMALL, _HELD = 16, 32 << 20
 _WHOLE = ["w0_", "w1_", "w2_", "w3_"]
 _RNG = np.random.default_rng(42)
 _ORDERS = _RNG.integers(0, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,13 +286,24 @@ def _alike(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least:
     """The ``pairs`` (u, v) of marks whose whole texts have a similarity of ``least`` or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = of_last = None
+        known: dict[int, np.ndarray] = {}  # the same texts come again and again
+        held = 0
+
+        def of_text(node: int, text: str) -> np.ndarray:
+            nonlocal held
+            found = known.get(node)
+            if found is None:
+                found = shingles(text, words)
+                if held + found.nbytes > _HELD:
+                    known.clear()
+                    held = 0
+                held += found.nbytes
+                known[node] = found
+            return found
+
         for batch in batches:
-            good = []
-            for u, a, b in zip(batch["u"], batch["text_u"], batch["text_v"], strict=True):
-                if u != last:
-                    last, of_last = u, shingles(a, words)
-                good.append(similarity(of_last, shingles(b, words)) >= least)
+            pairs = zip(batch["u"], batch["v"], batch["text_u"], batch["text_v"], strict=True)
+            good = [similarity(of_text(u, a), of_text(v, b)) >= least for u, v, a, b in pairs]
             yield batch.loc[np.array(good, bool), ["u", "v"]]
 
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("mark_")).distinct()
