@@ -49,8 +49,18 @@ class Settings:
         return default if found is None else strtobool(found)
 
 
-def retry(on: type[Exception] | tuple = Exception, attempts: int = 1, wait: float = 0.0, stall: float = 0.0) -> Callable:
-    """Calls again after an error, up to ``attempts`` times in all, waiting (within 5 percent) before each."""
+def retry(on: type[Exception] | tuple | Callable = Exception, attempts: int = 1, wait: float = 0.0, stall: float = 0.0) -> Callable:
+    """Calls again after an error, up to ``attempts`` times in all, waiting (within 5 percent) before each.
+
+    Used bare (``@retry``) it calls once.
+    """
+    kinds = on if isinstance(on, tuple) else (on,)
+    if not all(isinstance(k, type) and issubclass(k, BaseException) for k in kinds):
+        if callable(on) and not isinstance(on, type):
+            return retry()(on)
+        raise TypeError(f"{on!r} is not an exception class, nor some")
+    if isinstance(attempts, bool) or not isinstance(attempts, int) or not all(isinstance(x, (int, float)) for x in (wait, stall)):
+        raise TypeError("attempts is a whole number; wait and stall are seconds")
     if attempts < 1 or wait < 0 or stall < 0:
         raise ValueError("attempts must be at least 1; wait and stall must not be negative")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +37,13 @@ class TopicRegistry:
             topic = self._aliases.get(topic, topic)
         return topic
 
+    def require(self, topic: str, known: Collection[str]) -> str:
+        """The topic that is meant, which must be one of the ``known`` ones."""
+        found = self.resolve(topic)
+        if found not in known:
+            raise TopicError(f"nothing is known as {topic}" + (f", which is now {found}" if found != topic else ""))
+        return found
+
     def column(self, topic: Column, topics: Sequence[str]) -> Column:
         """``topic`` resolved, for the topics that occur: a map lookup within the scan's stage."""
         moved = {t: r for t in topics if (r := self.resolve(t)) != t}

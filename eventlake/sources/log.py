@@ -9,7 +9,8 @@ for conflicts with what was committed meanwhile and tries the next number.  So
 * notification ids are gapless, and their order is that of commits.
 
 Data files hold ids relative to their commit; the entry holds the base.  A loser therefore never
-rewrites data.  Readers prune commits by id range before any file is opened.
+rewrites data.  Readers prune commits by id range before any file is opened, and an append looks for
+conflicts only in commits that may hold one of its aggregates (see ``marks``).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from eventlake.operators import reads
 from eventlake.operators.versions import conflicts_in_batch, conflicts_with_table
 from eventlake.plans import scratch
 from eventlake.schema import NOTIFICATION, TRACKING, IntegrityError
-from eventlake.sources import commits
+from eventlake.sources import commits, marks
 
 
 class LostRace(Exception):
@@ -75,12 +76,16 @@ class EventLog:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{commits.name(entry['number'])}")
         store = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        try:
-            sink = store.create(where, False)  # fails where the file exists
-        except Exception as taken:
-            raise LostRace(name) from taken
+        # Written aside and renamed where the name is free, so that it appears with its content.
+        aside = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/.{os.getpid()}-{os.urandom(6).hex()}")
+        sink = store.create(aside, False)
         sink.write(bytearray(data))
         sink.close()
+        if not store.rename(aside, where):
+            store.delete(aside, False)
+            if store.exists(where):
+                raise LostRace(name)
+            raise OSError(f"{name} cannot be written")
 
     # -- writes ----------------------------------------------------------------------------------
 
@@ -103,7 +108,7 @@ class EventLog:
             staged, count = self._stage(events, data, order)
         if staged is not None and count and conflicts_in_batch(staged).limit(1).count():
             raise IntegrityError("a key occurs twice in the batch")
-        checked = 0
+        ids, checked = marks.of(staged) if staged is not None and count else None, 0
 
         def attempt() -> dict:
             nonlocal known, checked
@@ -112,14 +117,14 @@ class EventLog:
                 return {}
             if tracking is not None and any(tuple(e["tracking"]) == tuple(tracking) for e in known if e.get("tracking")):
                 raise IntegrityError(f"{tracking} is tracked already")
-            fresh = [e for e in known[checked:] if e["count"]]
+            fresh = [e for e in known[checked:] if e["count"] and marks.intersects(e.get("ids"), ids)]
             if count and fresh and conflicts_with_table(staged, self._rows(fresh)).limit(1).count():
                 raise IntegrityError("a key is stored already")
             checked = len(known)
             base = max((e["base"] + e["count"] for e in known), default=0)
             entry = {
                 "number": len(known), "base": base, "count": count, "data": data if count else None,
-                "tracking": list(tracking) if tracking else None, "batch": list(batch) if batch else None,
+                "tracking": list(tracking) if tracking else None, "batch": list(batch) if batch else None, "ids": ids,
             }
             self._publish(entry)
             return entry

@@ -6,10 +6,13 @@ those are offered as an extension only (``windowed``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import uuid
+from collections.abc import Callable, Collection, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -44,32 +47,64 @@ def running_totals(stream: DataFrame) -> DataFrame:
 
 
 class Projection:
-    """A table of the latest row per key, kept by micro-batches; each batch makes a new version of it.
+    """A table of the latest row per key, kept by micro-batches.
 
-    A version is a folder named by its batch id, and the newest complete one counts, so a batch
-    that runs twice writes the same version again.
+    Rows lie in ``buckets`` by a hash of the key.  A batch writes anew only the buckets it has keys of,
+    and then a version: which folder holds each bucket.  A version is named by its batch id and
+    appears with its content, and the newest one counts, so a batch that runs twice makes the same
+    version again.  Folders that neither the new version nor the one before it names are removed.
     """
 
-    def __init__(self, path: str, schema: str, key: str, order: str):
-        self.path, self.schema, self.key, self.order = path.rstrip("/"), schema, key, order
+    def __init__(self, path: str, schema: str, key: str, order: str, buckets: int = 64):
+        self.path, self.schema, self.key, self.order, self.buckets = path.rstrip("/"), schema, key, order, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _versions(self) -> list[int]:
-        from pyarrow import fs
+        store, base = scratch.filesystem(self.path)
+        found = store.get_file_info(fs.FileSelector(f"{base}/versions", allow_not_found=True))
+        return sorted(int(x.base_name) for x in found if x.base_name.isdigit())
 
+    def _folders(self, before: int | None = None) -> dict[int, str]:
+        """The folder of each bucket in the newest version (before a batch)."""
+        versions = [v for v in self._versions() if before is None or v < before]
+        if not versions:
+            return {}
         store, base = scratch.filesystem(self.path)
-        found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        return sorted(int(x.base_name) for x in found if x.base_name.isdigit() and store.get_file_info(f"{x.path}/_SUCCESS").is_file)
+        with store.open_input_stream(f"{base}/versions/{versions[-1]}") as source:
+            return {int(k): v for k, v in json.loads(source.read()).items()}
+
+    def _read(self, spark, folders: Collection[str]) -> DataFrame:
+        paths = sorted({f"{self.path}/data/{x}" for x in folders})
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
 
     def table(self, spark, before: int | None = None) -> DataFrame:
-        versions = [v for v in self._versions() if before is None or v < before]
-        return spark.read.schema(self.schema).parquet(f"{self.path}/{versions[-1]}") if versions else spark.createDataFrame([], self.schema)
+        return self._read(spark, self._folders(before).values())
 
     def upsert(self, batch: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
-        old = self.table(batch.sparkSession, batch_id)
+        """Bring the table up to date; ``merge`` is given the rows of the buckets that the batch has keys of."""
+        spark, folders, name = batch.sparkSession, self._folders(batch_id), f"{batch_id}-{uuid.uuid4().hex}"
+        touched = sorted(r["b_"] for r in batch.select(self._bucket().alias("b_")).distinct().collect())  # at most ``buckets``
+        old = self._read(spark, [folders[b] for b in touched if b in folders])
         rows = merge(old, batch) if merge else old.unionByName(batch)
         rest = [c for c in rows.columns if c != self.key]
         latest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.col(self.order)).alias("r_")).select(self.key, "r_.*")
-        latest.select(*old.columns).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        latest.select(*old.columns, self._bucket().alias("bucket_")).write.partitionBy("bucket_").parquet(f"{self.path}/data/{name}")
+        store, base = scratch.filesystem(self.path)
+        store.create_dir(f"{base}/data/{name}", recursive=True)
+        written = [x.base_name for x in store.get_file_info(fs.FileSelector(f"{base}/data/{name}")) if x.base_name.startswith("bucket_=")]
+        now = {b: f for b, f in folders.items() if b not in touched} | {int(x.split("=")[1]): f"{name}/{x}" for x in written}
+        store.create_dir(f"{base}/versions", recursive=True)
+        with store.open_output_stream(f"{base}/versions/.{name}") as sink:
+            sink.write(json.dumps(now).encode())
+        store.move(f"{base}/versions/.{name}", f"{base}/versions/{batch_id}")
+        used = set(now.values()) | set(folders.values())
+        for batch_folder in store.get_file_info(fs.FileSelector(f"{base}/data")):
+            there = store.get_file_info(fs.FileSelector(batch_folder.path))
+            gone = [x for x in there if x.base_name.startswith("bucket_=") and f"{batch_folder.base_name}/{x.base_name}" not in used]
+            for x in gone:
+                store.delete_dir(x.path)
 
     def follow(self, stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None):
         """Start a query that brings the projection up to date with what is available."""

@@ -12,6 +12,7 @@ per edge.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -29,13 +30,15 @@ Policy = Callable[[DataFrame, "Node"], DataFrame | None]
 class Node:
     """An application: its log, and for followers the policy that makes events of events.
 
-    ``policy(notifications, node)`` returns events to record (envelope columns), or None.
+    ``policy(notifications, node)`` returns events to record (envelope columns), or None.  Followers
+    take the topics they follow of those their leader notifies about (all, where none are named).
     """
 
     name: str
     log: EventLog
     policy: Policy | None = None
     follow_topics: Sequence[str] = ()
+    notify_topics: Sequence[str] = ()
     pull_section_size: int | None = None
     events_order: str | None = None
 
@@ -53,9 +56,13 @@ class System:
         for name in {n for pipe in self.pipes for n in pipe}:
             if name not in self.nodes:
                 raise ProgrammingError(f"no node is named {name}")
-        for _, follower in self.edges:
-            if self.nodes[follower].policy is None:
-                raise ProgrammingError(f"{follower} follows but has no policy")
+        for name, node in self.nodes.items():
+            if not isinstance(node, Node) or not isinstance(node.log, EventLog):
+                raise ProgrammingError(f"{name} is not a node with a log")
+        for leader, follower in self.edges:
+            role = "processes" if follower in self.leaders else "follows"
+            if not callable(self.nodes[follower].policy):
+                raise ProgrammingError(f"{follower} {role} {leader} but has no policy")
 
     @property
     def leaders(self) -> list[str]:
@@ -69,12 +76,23 @@ class System:
     def processors(self) -> list[str]:
         return [n for n in self.leaders if n in self.followers]
 
+    @property
+    def leaders_only(self) -> list[str]:
+        return [n for n in self.leaders if n not in self.followers]
+
     @property
     def singles(self) -> list[str]:
         linked = {n for edge in self.edges for n in edge}
         return [n for pipe in self.pipes for n in pipe if n not in linked]
 
 
+def topics_of(leader: Node, follower: Node) -> list[str] | None:
+    """The topics that go from one to the other; None if all do."""
+    if leader.notify_topics and follower.follow_topics:
+        return sorted(set(leader.notify_topics) & set(follower.follow_topics))
+    return sorted(leader.notify_topics or follower.follow_topics) or None
+
+
 def process(leader: str, follower: Node, notifications: DataFrame, last: int, batch: tuple[str, int] | None = None) -> bool:
     """Apply the policy to a range of notifications ending at ``last`` and record what it makes, once.
 
@@ -98,7 +116,8 @@ def pull_and_process(leader: Node, follower: Node, start: int | None = None, sto
     done = 0
     while at <= end:
         last = end if not follower.pull_section_size else min(end, at + follower.pull_section_size - 1)
-        process(leader.name, follower, leader.log.notifications(at, last), last)
+        rows, wanted = leader.log.notifications(at, last), topics_of(leader, follower)
+        process(leader.name, follower, rows if wanted is None else rows.where(F.col("topic").isin(wanted)), last)
         at, done = last + 1, done + 1
     return done
 
@@ -129,12 +148,15 @@ class StreamingRunner:
     def _start(self, leader: Node, follower: Node, available_now: bool):
         name = f"{leader.name}-{follower.name}"
 
+        wanted = topics_of(leader, follower)
+
         def record(batch: DataFrame, batch_id: int) -> None:
             last = batch.agg(F.max("notification_id")).first()[0]
             if last is not None and last > follower.log.max_tracking_id(leader.name):
                 process(leader.name, follower, batch, last, (name, batch_id))
 
-        stream = self.spark.readStream.format("eventlake").option("path", leader.log.path).load()
+        source = self.spark.readStream.format("eventlake").option("path", leader.log.path)
+        stream = (source if wanted is None else source.option("topics", ",".join(wanted))).load()
         writer = stream.writeStream.foreachBatch(record).option("checkpointLocation", f"{self.checkpoints}/{name}")
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
@@ -149,17 +171,26 @@ class StreamingRunner:
             if not behind:
                 return rounds
             for a, b in behind:
-                self._start(self.get(a), self.get(b), True).awaitTermination()
+                leader, follower = self.get(a), self.get(b)
+                last = leader.log.max_notification_id()
+                self._start(leader, follower, True).awaitTermination()
+                if last > follower.log.max_tracking_id(a):  # what came after the last followed topic is passed over
+                    process(a, follower, leader.log.notifications(last + 1, last), last)
         raise RuntimeError(f"the system is not quiescent after {most_rounds} rounds")
 
     def get(self, name: str) -> Node:
         return self.system.nodes[name]
 
     def watch_for_errors(self, timeout: float | None = None) -> bool:
-        """Wait for a query to end; raises what ended it."""
-        if timeout is not None:
-            return self.spark.streams.awaitAnyTermination(timeout)
-        return self.spark.streams.awaitAnyTermination()
+        """Wait for one of this runner's queries to end; raises what ended it.  False if none did in time."""
+        until = None if timeout is None else time.monotonic() + timeout
+        while until is None or time.monotonic() < until:
+            for query in self.queries:
+                if not query.isActive:
+                    query.awaitTermination()
+                    return True
+            time.sleep(0.1)
+        return False
 
     def stop(self) -> None:
         for query in self.queries:

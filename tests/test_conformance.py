@@ -152,3 +152,72 @@ def test_data_source(spark, log):
     read = register(spark).read.format("eventlake").option("path", log.path)
     assert {r.notification_id for r in read.load().collect()} == {1, 2, 3}
     assert {r.notification_id for r in read.option("topics", "t1").option("start", 2).load().collect()} == {3}
+
+
+def test_an_append_reads_only_commits_that_may_conflict(spark, tmp_path):
+    from eventlake.sources import marks
+    from eventlake.sources.log import EventLog
+
+    log = EventLog(spark, str(tmp_path / "log")).create()
+    make = lambda *keys: spark.createDataFrame([(i, v, "t", b"") for i, v in keys], "originator_id string, originator_version long, topic string, state binary")
+    for name in "abc":
+        log.append(make((name, 1), (name, 2)), order="originator_version")
+    read, rows = [], log._rows
+    log._rows = lambda entries: (read.append(len(entries)), rows(entries))[1]
+    log.append(make(("d", 1)))
+    assert read == [1]  # what it returns
+    with pytest.raises(IntegrityError):
+        log.append(make(("b", 2), ("e", 1)))
+    assert read == [1, 1]
+    many = spark.range(marks.MOST + 50).selectExpr("cast(id as string) as originator_id")
+    assert marks.of(many) is None and marks.intersects(None, "x")
+    assert not marks.intersects(marks.of(make(("a", 1))), marks.of(make(("b", 1)))) and marks.intersects(marks.of(make(("a", 1))), marks.of(make(("a", 7), ("b", 1))))
+
+
+def test_a_projection_writes_only_touched_buckets(spark, tmp_path):
+    from eventlake.streaming.folds import Projection
+
+    table = Projection(str(tmp_path / "t"), "k string, v long, x string", "k", "v", buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v long, x string")
+    assert table.table(spark).count() == 0
+    table.upsert(rows(*[(f"k{i}", 1, "old") for i in range(50)]), 0)
+    before = table._folders()
+    table.upsert(rows(("k7", 2, "new"), ("k7", 1, "late")), 1)
+    after = table._folders()
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    table.upsert(rows(("k7", 2, "new")), 1)  # the batch runs again
+    got = {r.k: (r.v, r.x) for r in table.table(spark).collect()}
+    assert len(got) == 50 and got["k7"] == (2, "new") and got["k8"] == (1, "old")
+    table.upsert(rows(), 2)
+    table.upsert(rows(("k7", 3, "newer")), 3)
+    table.upsert(rows(("k7", 4, "newest")), 4)
+    assert table.table(spark).where("k = 'k7'").first().x == "newest" and table.table(spark).count() == 50
+    assert len(list((tmp_path / "t" / "data").glob("*/bucket_=*"))) <= 8 + 1
+
+
+def test_retry_bare_and_its_arguments():
+    from eventlake.functions.config import retry
+
+    calls = []
+
+    @retry
+    def once():
+        calls.append(1)
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        once()
+    assert len(calls) == 1
+    for wrong in ({"on": 5}, {"on": (ValueError, "x")}, {"attempts": "2"}, {"attempts": True}, {"wait": "1"}):
+        with pytest.raises(TypeError):
+            retry(**wrong)
+
+
+def test_topics_that_resolve_to_nothing():
+    from eventlake.functions.topics import TopicRegistry
+    from eventlake.schema import TopicError
+
+    registry = TopicRegistry({"old:A": "new:B"})
+    assert registry.require("old:A", {"new:B"}) == "new:B"
+    with pytest.raises(TopicError, match="new:B"):
+        registry.require("old:A", {"new:C"})

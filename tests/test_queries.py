@@ -62,6 +62,46 @@ def test_graph(spark, tmp_path):
         System({"a": nodes["a"], "p": Node("p", nodes["b"].log)}, [["a", "p"]])
 
 
+def test_graph_roles_and_types(spark, tmp_path):
+    nodes = {n: Node(n, EventLog(spark, str(tmp_path / n)), copy) for n in "abc"}
+    assert System(nodes, [["a", "b", "c"]]).leaders_only == ["a"]
+    with pytest.raises(ProgrammingError, match="b processes a"):
+        System({**nodes, "b": Node("b", nodes["b"].log, "no policy")}, [["a", "b", "c"]])
+    with pytest.raises(ProgrammingError):
+        System({**nodes, "c": "not a node"}, [["a", "b"]])
+
+
+def test_topics_are_pushed_into_streams(spark, tmp_path):
+    seen = []
+
+    def policy(rows, node):
+        seen.append(sorted(r.topic for r in rows.collect()))
+        return copy(rows, node)
+
+    lead = Node("lead", _log(spark, tmp_path / "lead"), notify_topics=("even", "other"))
+    follow = Node("follow", EventLog(spark, str(tmp_path / "follow")).create(), policy, ("even",))
+    StreamingRunner(spark, System({"lead": lead, "follow": follow}, [["lead", "follow"]]), str(tmp_path / "offsets")).run()
+    assert seen == [["even", "even"], []]  # the odd last one is passed over
+    assert follow.log.max_tracking_id("lead") == 5 and follow.log.max_notification_id() == 2
+
+
+def test_errors_of_a_policy_come_up(spark, tmp_path):
+    def broken(rows, node):
+        raise ValueError("the policy failed")
+
+    lead, follow = Node("lead", _log(spark, tmp_path / "lead")), Node("follow", EventLog(spark, str(tmp_path / "follow")).create(), broken)
+    runner = StreamingRunner(spark, System({"lead": lead, "follow": follow}, [["lead", "follow"]]), str(tmp_path / "offsets"))
+    runner.start()
+    with pytest.raises(Exception, match="the policy failed"):
+        runner.watch_for_errors(120)
+    with pytest.raises(Exception, match="the policy failed"):
+        runner.stop()
+    with pytest.raises(ValueError, match="the policy failed"):
+        SingleThreadedRunner(runner.system).run()
+    assert follow.log.max_notification_id() == 0 and follow.log.max_tracking_id("lead") == 0
+    spark.streams.resetTerminated()
+
+
 def test_processing_is_exactly_once(spark, tmp_path):
     lead, follow = Node("lead", _log(spark, tmp_path / "lead")), Node("follow", EventLog(spark, str(tmp_path / "follow")).create(), copy, ("even",), 2)
     runner = SingleThreadedRunner(System({"lead": lead, "follow": follow}, [["lead", "follow"]]))
