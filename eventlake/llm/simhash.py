@@ -18,10 +18,11 @@ untouched: texts at exactly 0.8 share no block once in 38,000 cases, closer ones
 shares a block is verified by the Hamming distance of the wholes (a pair at 0.8 exceeds ``_WHOLE_BITS``
 about once in 10,000 cases; the second number is for sets of fewer than ``_SMALL`` shingles) and then exactly, by the shingles of both whole texts.  First the texts of
 ``_FIRST`` views are held against the smallest of their block, which links most of what is alike.
-After that only blocks that hold several components count.  All pairs of different components are
-compared in those of at most ``crowd`` texts; the texts of larger ones are held against the smallest
-and then listed again under the pairs, then triples of blocks they share, and what is still crowded
-is compared a tile of ``crowd`` by ``crowd`` texts at a time.
+After that only blocks that hold several components count.  In those of at most ``crowd`` texts (and
+``_LONG`` shingles) all texts of different components are compared, exactly and in place: no pairs are
+listed, only edges that join components.  The texts of larger blocks are held against the smallest
+and then listed again under the pairs, then triples of blocks they share, and what is still crowded is
+compared so a tile of ``crowd`` by ``crowd`` texts at a time.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which links like any
 other; by similarity they are copies of each other.  A text with fewer words than a shingle is one
@@ -48,7 +49,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _CHUNK = 1 << 14  # counts within it fit 16 bits
 _FEW_BITS = 15
 VIEWS, SLICE, _FIRST, _WHOLE_BITS = 20, 4, 4, (61, 80)
-_SMALL, _HELD = 16, 32 << 20
+_SMALL, _HELD, _LONG = 16, 32 << 20, 1 << 22
 _WHOLE = ["w0_", "w1_", "w2_", "w3_"]
 _RNG = np.random.default_rng(42)
 _ORDERS = _RNG.integers(0, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -314,8 +315,24 @@ def _alike(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least:
     return scratch.keep(both.mapInPandas(run, "u long, v long"), "similar-edges", batch_rows=1000)
 
 
-def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (u < v) of a tile (g_, p_, q_) that are in different components and close: of parts p_ and q_, or within p_ = q_."""
+def _sets(docs: DataFrame, marks: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(mark_, set_): the shingles of the texts with these marks, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"mark_": batch["mark_"], "set_": [shingles(t, words).tobytes() for t in batch["text_"]]})
+
+    texts = docs.select(mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
+    wanted = texts.join(marks.select("mark_").distinct(), "mark_", "left_semi").dropDuplicates(["mark_"])
+    return scratch.keep(wanted.mapInPandas(run, "mark_ long, set_ binary"), "similar-sets", batch_rows=2000)
+
+
+def _crossing(members: DataFrame, least: float) -> DataFrame:
+    """Edges that join the components of a tile (g_, p_, q_) as its links do: between parts p_ and q_, or within p_ = q_.
+
+    Every pair of different components is compared exactly, a text with all others at once: its
+    shingles are flagged among those of the tile, and the flags are summed by text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -324,36 +341,48 @@ def _crossing(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             names = rest[["g_", "p_", "q_"]].to_numpy()
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
             if len(cuts):
-                yield from pairs_of(rest.iloc[: cuts[-1]], cuts[:-1])
+                yield edges_of(rest.iloc[: cuts[-1]], cuts[:-1])
                 rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
         if rest is not None:
-            yield from pairs_of(rest, np.array([], np.int64))
-
-    def pairs_of(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
-        node, root, side, size = (rows[c].to_numpy() for c in ("mark_", "root_", "part_", "size_"))
-        within, whole = (rows["p_"] == rows["q_"]).to_numpy(), rows[_WHOLE].to_numpy().view(np.uint64)
-        for i, j in zip(np.concatenate(([0], cuts)), np.append(cuts, len(rows)), strict=True):
-            us, vs = [], []
-            for k in range(i, j - 1):
-                on = slice(k + 1, j)
-                may = (root[on] != root[k]) & (within[k] | (side[on] != side[k]))
-                may &= np.minimum(size[on], size[k]) >= least * np.maximum(size[on], size[k])
-                others = np.flatnonzero(may) + k + 1
-                most = np.where(np.minimum(size[others], size[k]) < _SMALL, _WHOLE_BITS[1], _WHOLE_BITS[0])
-                others = others[np.bitwise_count(whole[others] ^ whole[k]).sum(1, dtype=np.int64) <= most]
-                us.append(np.minimum(node[others], node[k]))
-                vs.append(np.maximum(node[others], node[k]))
-            if us:
-                yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
-
-    rows = members.join(texts.select("mark_", "size_", *_WHOLE), "mark_")
-    rows = rows.select("g_", "p_", "q_", "part_", "mark_", "root_", "size_", *_WHOLE)
+            yield edges_of(rest, np.array([], np.int64))
+
+    def edges_of(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        edges, ends = [], np.append(cuts, len(rows))
+        for i, j in zip(np.concatenate(([0], cuts)), ends, strict=True):
+            edges += joined(rows.iloc[i:j])
+        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+
+    def joined(tile: pd.DataFrame) -> list[tuple[int, int]]:
+        node, side, roots = tile["mark_"].to_numpy(), tile["part_"].to_numpy(), np.unique(tile["root_"], return_inverse=True)[1]
+        within, edges = tile["p_"].iloc[0] == tile["q_"].iloc[0], []
+        largest = np.bincount(roots).argmax()
+        todo = np.flatnonzero(roots != largest)  # of every pair of components one is not the largest
+        if not len(todo):
+            return edges
+        sets = [np.frombuffer(x, "<u8") for x in tile["set_"]]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        known, places = np.unique(np.concatenate(sets), return_inverse=True)
+        flags = np.zeros(len(known), bool)
+        for k in todo:
+            mine = places[starts[k] : starts[k] + sizes[k]]
+            flags[mine] = True
+            both = np.add.reduceat(flags[places], starts, dtype=np.int64)
+            flags[mine] = False
+            links = (both >= least * (sizes + sizes[k] - both)) & (roots != roots[k])
+            for other in np.flatnonzero(links if within else links & (side != side[k])):
+                if roots[other] != roots[k]:
+                    edges.append((int(node[k]), int(node[other])))
+                    roots[roots == roots[other]] = roots[k]
+        return edges
+
+    rows = members.select("g_", "p_", "q_", "part_", "mark_", "root_", "set_")
     return rows.repartition("g_", "p_", "q_").sortWithinPartitions("g_", "p_", "q_").mapInPandas(run, "u long, v long")
 
 
 def _tiles(members: DataFrame, crowd: int) -> DataFrame:
-    """``members`` of crowded groups (with their size n_), dealt to parts; each pair of parts of a group is a tile."""
-    parts = F.ceil(F.col("n_") / crowd).cast("int")
+    """``members`` of crowded groups (of n_ texts and shingles_), dealt to parts; each pair of parts of a group is a tile."""
+    parts = F.greatest(F.ceil(F.col("n_") / crowd), F.least(F.ceil(F.col("shingles_") / _LONG), F.col("n_"))).cast("int")
     dealt = members.withColumn("part_", F.pmod(F.xxhash64("mark_"), parts).cast("int"))
     tiled = dealt.withColumn("o_", F.explode(F.sequence(F.lit(0), parts - 1)))
     return tiled.withColumns({"p_": F.least("part_", "o_"), "q_": F.greatest("part_", "o_")})
@@ -368,42 +397,49 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int = 5, least:
     roots = texts.select(F.col("mark_").alias("mark_"), F.col("mark_").alias("root_"))
     edges = seen = None
 
-    def more(pairs: DataFrame) -> DataFrame:
-        """Roots after the ``pairs`` that are alike are linked as well."""
-        nonlocal edges, seen
-        pairs = scratch.keep(pairs.distinct() if seen is None else pairs.distinct().join(seen, ["u", "v"], "left_anti"), "similar-pairs")
-        if not pairs.limit(1).count():
+    def linked(found: DataFrame, name: str) -> DataFrame:
+        """Roots after the edges that were ``found`` are counted as well."""
+        nonlocal edges
+        found = scratch.keep(found, name, batch_rows=1000)
+        if not found.limit(1).count():
             return roots
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = _alike(pairs, docs, text_col, words, least)
         edges = found if edges is None else edges.unionByName(found)
         every = texts.select("mark_").join(components(edges).withColumnRenamed("node", "mark_"), "mark_", "left")
         return scratch.keep(every.select("mark_", F.coalesce("root", "mark_").alias("root_")), "similar-roots")
 
     def stars(members: DataFrame) -> DataFrame:
-        """Pairs of the smallest of a block with each other one, if they are close."""
-        found = members.where("mark_ <> h_").select(F.col("h_").alias("u"), F.col("mark_").alias("v"))
-        return _close(found.distinct(), texts, least)
+        """Edges between the smallest of a block and the others that are like it."""
+        nonlocal seen
+        pairs = members.where("mark_ <> h_").select(F.col("h_").alias("u"), F.col("mark_").alias("v")).distinct()
+        pairs = pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti")
+        pairs = scratch.keep(_close(pairs, texts, least), "similar-pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        return _alike(pairs, docs, text_col, words, least)
 
     first = listed.where(F.col("used_") < 1 << _FIRST)
     heads = first.groupBy("g_").agg(F.min("mark_").alias("h_"), F.max("mark_").alias("z_")).where("h_ <> z_").select("g_", "h_")
-    roots = more(stars(first.join(heads, "g_")))
+    roots = linked(stars(first.join(heads, "g_")), "similar-first")
     for level in range(levels):
-        rooted = listed.join(roots, "mark_")
-        counted = rooted.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"), F.min("mark_").alias("h_"), F.min("root_").alias("a_"), F.max("root_").alias("z_"))
-        mixed = counted.where("a_ <> z_").select("g_", "n_", "h_")
+        rooted = listed.join(roots.join(texts.select("mark_", "size_"), "mark_"), "mark_")
+        counted = rooted.groupBy("g_").agg(
+            F.count(F.lit(1)).alias("n_"), F.sum("size_").alias("shingles_"), F.min("mark_").alias("h_"), F.min("root_").alias("a_"), F.max("root_").alias("z_")
+        )
+        mixed = counted.where("a_ <> z_").select("g_", "n_", "shingles_", "h_")
         members = scratch.keep(rooted.join(mixed, "g_"), "similar-members")  # what shares a block and is not linked yet
         if not members.limit(1).count():
             break
-        few, many = members.where(F.col("n_") <= crowd), members.where(F.col("n_") > crowd)
-        pairs = _crossing(few.withColumns({c: F.lit(0) for c in ("part_", "p_", "q_")}), texts, least)
-        if not many.limit(1).count():
-            roots = more(pairs)
-            break
-        if level + 1 == levels:
-            roots = more(pairs.unionByName(_crossing(_tiles(many, crowd), texts, least)))
+        # Groups are small by the number of their texts and by their length.
+        small = (F.col("n_") <= crowd) & ((F.col("shingles_") <= _LONG) | (F.col("n_") <= 2))
+        few, many = members.where(small).withColumns({c: F.lit(0) for c in ("part_", "p_", "q_")}), members.where(~small)
+        crowded, last = bool(many.limit(1).count()), level + 1 == levels
+        wanted = members if crowded and last else few
+        sets = _sets(docs, wanted, text_col, words)
+        found = _crossing(few.join(sets, "mark_"), least)
+        if crowded:
+            found = found.unionByName(_crossing(_tiles(many, crowd).join(sets, "mark_"), least) if last else stars(many))
+        roots = linked(found, "similar-found")
+        if not crowded:
             break
-        roots = more(pairs.unionByName(stars(many)))
         finer = many.select("g_", "used_", "mark_").join(keys, "mark_").where("used_ & shiftleft(1L, i_) = 0")
         listed = finer.select(F.xxhash64("g_", "i_", "key_").alias("g_"), F.expr("used_ | shiftleft(1L, i_)").alias("used_"), "mark_")
     return rows.select("id_", "mark_").join(roots, "mark_")
