@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,6 +47,7 @@ from eventlake.plans import scratch
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
+_OF_WORD, _OF_STEM = zlib.crc32(b"w"), [(k, zlib.crc32(b"%d" % k)) for k in _STEMS]
 PRIOR = 0.05
 
 
@@ -56,17 +58,26 @@ def held_out(id_: Column, folds: int = 5) -> Column:
 
 def word_features(word: str) -> list[int]:
     """Hashes of a word and of its beginnings."""
-    found = [zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass"))]
-    found += [zlib.crc32(b"%d" % k + word[:k].encode("utf-8", "surrogatepass")) for k in _STEMS if len(word) > k]
-    return found
+    found = [zlib.crc32(word.encode("utf-8", "surrogatepass"), _OF_WORD)]
+    return found + [zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), start) for k, start in _OF_STEM if len(word) > k]
 
 
 def distinct_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def feature_set(text: str | None) -> set[int]:
+    """The features of a text's words; each beginning is hashed once."""
+    crc, words = zlib.crc32, distinct_words(text)
+    found = {crc(w.encode("utf-8", "surrogatepass"), _OF_WORD) for w in words}
+    for k, start in _OF_STEM:
+        found.update([crc(x.encode("utf-8", "surrogatepass"), start) for x in {w[:k] for w in words if len(w) > k}])
+    return found
+
+
 def text_features(text: str | None) -> np.ndarray:
-    return np.unique(np.array([f for w in distinct_words(text) for f in word_features(w)], dtype=np.uint32))
+    found = feature_set(text)
+    return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
 @dataclass
@@ -132,26 +143,16 @@ def feature_counts(texts: DataFrame) -> DataFrame:
     """(feature, n): in how many rows of ``texts`` (text_) each feature is; tasks count before they send anything."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, int] = {}
-        known: dict[str, list[int]] = {}
+        held: Counter[int] = Counter()
         for batch in batches:
             for text in batch["text_"]:
-                found: set[int] = set()
-                for word in distinct_words(text):
-                    features = known.get(word)
-                    if features is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        features = known[word] = word_features(word)
-                    found.update(features)
-                for feature in found:
-                    held[feature] = held.get(feature, 0) + 1
+                held.update(feature_set(text))
             if len(held) > 300_000:
                 yield frame(held)
-                held = {}
+                held.clear()
         yield frame(held)
 
-    def frame(held: dict[int, int]) -> pd.DataFrame:
+    def frame(held: Counter[int]) -> pd.DataFrame:
         return pd.DataFrame({"feature": np.fromiter(held.keys(), np.int64, len(held)), "n": np.fromiter(held.values(), np.int64, len(held))})
 
     counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInPandas(run, "feature long, n long")
