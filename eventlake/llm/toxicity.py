@@ -12,9 +12,9 @@ whether one has a label is not looked at, so they are distributed as all texts a
 the correction supposes.  p is a parameter; unless given it is the toxic share of the labels learned
 from, or ``PRIOR`` where those are of one kind.
 
-Features are words and their beginnings of 4 to 6 letters (texts inflect and join words).  Those
-enriched in toxic texts, against their counts over all unlabelled texts, and the most frequent of all
-are chosen.  The score is a logistic function of the classifier; where there are clean labels it is
+Features are words and their beginnings of 4 to 6 letters (texts inflect and join words).  The texts
+fitted to propose them; those enriched in toxic texts and the most frequent others are chosen by their
+counts over all unlabelled texts.  The score is a logistic function of the classifier; where there are clean labels it is
 shifted and scaled on labelled rows of the learning fold, else shifted so that the share p of the
 unlabelled texts gets 0.5 or more.
 
@@ -31,10 +31,10 @@ names; ``keep_clean`` keeps all of them.
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,7 +47,6 @@ from eventlake.plans import scratch
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6)
-_OF_WORD, _OF_STEM = zlib.crc32(b"w"), [(k, zlib.crc32(b"%d" % k)) for k in _STEMS]
 PRIOR = 0.05
 
 
@@ -56,53 +55,38 @@ def held_out(id_: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(id_.cast("string"), F.lit("")), "UTF-8")), F.lit(folds)) == 0
 
 
-def word_features(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings."""
-    found = [zlib.crc32(word.encode("utf-8", "surrogatepass"), _OF_WORD)]
-    return found + [zlib.crc32(word[:k].encode("utf-8", "surrogatepass"), start) for k, start in _OF_STEM if len(word) > k]
-
-
 def distinct_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def feature_set(text: str | None) -> set[int]:
-    """The features of a text's words; each beginning is hashed once."""
-    crc, words = zlib.crc32, distinct_words(text)
-    found = {crc(w.encode("utf-8", "surrogatepass"), _OF_WORD) for w in words}
-    for k, start in _OF_STEM:
-        found.update([crc(x.encode("utf-8", "surrogatepass"), start) for x in {w[:k] for w in words if len(w) > k}])
-    return found
+def parts(words: set[str]) -> Iterator[tuple[str, set[str]]]:
+    """(kind, strings): the words, then the beginnings of each length; a feature is a kind and a string."""
+    yield "0", words
+    for k in _STEMS:
+        yield str(k), {w[:k] for w in words if len(w) > k}
 
 
-def text_features(text: str | None) -> np.ndarray:
-    found = feature_set(text)
-    return np.sort(np.fromiter(found, np.uint32, len(found)))
+def _tables(features: Collection[str]) -> dict[str, set[str]]:
+    """The strings of each kind."""
+    found: dict[str, set[str]] = {kind: set() for kind, _ in parts(set())}
+    for f in features:
+        found[f[0]].add(f[1:])
+    return found
 
 
 @dataclass
 class Model:
-    """weights: by feature hash; a text's logit is bias plus the weights of the features it has."""
+    """weights: by feature; a text's logit is bias plus the weights of the features it has."""
 
     bias: float
-    weights: dict[int, float] = field(default_factory=dict)
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)  # words seen by this worker
+    weights: dict[str, float] = field(default_factory=dict)
 
     def scores(self, texts) -> np.ndarray:
-        out = np.empty(len(texts))
-        weights, known = self.weights, self.known
+        out, weights, tables = np.empty(len(texts)), self.weights, _tables(self.weights)
         for i, text in enumerate(texts):
-            hits: set[int] = set()
-            for word in distinct_words(text):
-                got = known.get(word)
-                if got is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    got = known[word] = tuple(f for f in word_features(word) if f in weights)
-                if got:
-                    hits.update(got)
-            out[i] = self.bias + sum(weights[f] for f in sorted(hits))
-        return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
+            hits = [weights[kind + x] for kind, some in parts(distinct_words(text)) for x in some & tables[kind]]
+            out[i] = self.bias + math.fsum(hits)
+        return _logistic(out)
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -139,45 +123,59 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return w.astype(np.float64), b
 
 
-def feature_counts(texts: DataFrame) -> DataFrame:
-    """(feature, n): in how many rows of ``texts`` (text_) each feature is; tasks count before they send anything."""
+def feature_counts(texts: DataFrame, features: Collection[str]) -> DataFrame:
+    """(feature, n): in how many rows of ``texts`` (text_) each of the features is; tasks count before they send anything."""
+    tables = _tables(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[int] = Counter()
+        held: Counter[str] = Counter()
         for batch in batches:
             for text in batch["text_"]:
-                held.update(feature_set(text))
-            if len(held) > 300_000:
-                yield frame(held)
-                held.clear()
-        yield frame(held)
+                for kind, some in parts(distinct_words(text)):
+                    held.update([kind + x for x in some & tables[kind]])
+        yield pd.DataFrame({"feature": list(held.keys()), "n": np.fromiter(held.values(), np.int64, len(held))}, columns=["feature", "n"])
 
-    def frame(held: Counter[int]) -> pd.DataFrame:
-        return pd.DataFrame({"feature": np.fromiter(held.keys(), np.int64, len(held)), "n": np.fromiter(held.values(), np.int64, len(held))})
-
-    counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInPandas(run, "feature long, n long")
+    counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInPandas(run, "feature string, n long")
     return counted.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def _choose(sets_p: list[np.ndarray], counts: DataFrame, texts: int, most: int) -> np.ndarray:
-    """Features that are enriched in toxic texts, and the most frequent others for contrast."""
-    f_p, n_p = np.unique(np.concatenate(sets_p), return_counts=True)
-    least = max(2, int(0.005 * len(sets_p)))
-    often = n_p >= least
-    mine = pd.DataFrame({"feature": f_p[often].astype(np.int64), "p": n_p[often].astype(np.int64)})  # bounded by most_toxic texts
-    both = counts.sparkSession.createDataFrame(mine, "feature long, p long").join(counts, "feature", "left")
-    share_p, share_u = F.col("p") / F.lit(len(sets_p)), (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(texts + 1)
-    # What toxic texts have beyond chance, most certain first.
-    gain = F.col("p") * F.log(share_p / share_u)
-    enriched = both.where(share_p > 3 * share_u).orderBy(gain.desc(), "feature").limit(most * 7 // 8)
-    frequent = counts.orderBy(F.desc("n"), "feature").limit(most // 8)
-    return np.array(sorted({r[0] for r in enriched.select("feature").collect()} | {r[0] for r in frequent.select("feature").collect()}), np.uint32)
-
-
-def _matrix(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sets), len(features)), np.float32)
-    for i, s in enumerate(sets):
-        out[i, np.searchsorted(features, s[np.isin(s, features)])] = 1.0
+def _numbered(samples: list[list[str]]) -> tuple[list[list[np.ndarray]], list[str]]:
+    """Texts (words with line feeds between) as numbers of features, and the features."""
+    names: dict[str, int] = {}
+
+    def numbers(text: str) -> np.ndarray:
+        words = set(text.split("\n")) - {""}
+        return np.array([names.setdefault(kind + x, len(names)) for kind, some in parts(words) for x in sorted(some)], np.uint32)
+
+    return [[numbers(text) for text in texts] for texts in samples], list(names)
+
+
+def _proposed(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> tuple[dict[int, int], list[int]]:
+    """(texts by feature that several toxic texts have, features that are frequent): what is counted over all texts."""
+    f_p, n_p = np.unique(np.concatenate(positive), return_counts=True)
+    f_u, n_u = np.unique(np.concatenate(unlabelled), return_counts=True)
+    often = n_p >= max(2, int(0.005 * len(positive)))
+    frequent = f_u[np.argsort(-n_u, kind="stable")[: most // 2]]
+    return dict(zip(f_p[often].tolist(), n_p[often].tolist(), strict=True)), frequent.tolist()
+
+
+def _choose(toxic: dict[str, int], n_toxic: int, counts: dict[str, int], n_texts: int, frequent: list[str], most: int) -> list[str]:
+    """Features that are enriched in toxic texts, those most certainly beyond chance first, and the most frequent others."""
+    gains = {}
+    for f, n in toxic.items():
+        share, rest = n / n_toxic, (counts.get(f, 0) + 0.5) / (n_texts + 1)
+        if share > 3 * rest:
+            gains[f] = n * math.log(share / rest)
+    enriched = sorted(gains, key=lambda f: (-gains[f], f))[: most * 7 // 8]
+    return sorted({*enriched, *sorted(frequent, key=lambda f: (-counts.get(f, 0), f))[: most // 8]})
+
+
+def _matrix(texts: list[np.ndarray], places: np.ndarray, width: int) -> np.ndarray:
+    """A row of 0 and 1 for each text; ``places`` has the column of each feature's number, or -1."""
+    out = np.zeros((len(texts), width), np.float32)
+    for i, t in enumerate(texts):
+        at = places[t]
+        out[i, at[at >= 0]] = 1.0
     return out
 
 
@@ -225,24 +223,32 @@ def train(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [text_features(t).tobytes() for t in batch["text_"]]
-            yield pd.DataFrame({"id_": batch["id_"], "role_": batch["role_"], "features": sets})
+            sets = ["\n".join(sorted(distinct_words(t))).encode("utf-8", "surrogatepass") for t in batch["text_"]]
+            yield pd.DataFrame({"id_": batch["id_"], "role_": batch["role_"], "words": sets})
 
     with scratch.batches_of(spark, 2000):
-        sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(run, "id_ long, role_ int, features binary").toPandas()
-    sample = sample.sort_values(["id_", "role_", "features"], kind="stable").drop_duplicates(["id_", "role_"])
-    sets = {r: [np.frombuffer(x, np.uint32) for x in sample.loc[sample["role_"] == r, "features"]] for r in (0, 1, 2)}
-    features = _choose(sets[2], scratch.keep(feature_counts(rows), "toxicity-counts", batch_rows=2000), rows.count(), most_features)
-    positive, unlabelled = _matrix(sets[2], features), _matrix(sets[1], features)
+        sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(run, "id_ long, role_ int, words binary").toPandas()
+    sample = sample.sort_values(["id_", "role_", "words"], kind="stable").drop_duplicates(["id_", "role_"])
+    of_role = [[x.decode("utf-8", "surrogatepass") for x in sample.loc[sample["role_"] == r, "words"]] for r in (2, 1, 0)]
+    (toxic, any_, clean), names = _numbered(of_role)
+    several, frequent = _proposed(toxic, any_, most_features)
+    proposed = {names[f] for f in (*several, *frequent)}
+    counted = scratch.keep(feature_counts(rows, proposed), "toxicity-counts", batch_rows=2000)
+    counts = {r["feature"]: r["n"] for r in counted.collect()}  # of what the bounded sample proposes
+    features = _choose({names[f]: n for f, n in several.items()}, len(toxic), counts, rows.count(), [names[f] for f in frequent], most_features)
+    at, places = {f: i for i, f in enumerate(features)}, np.full(len(names), -1)
+    for i, name in enumerate(names):
+        places[i] = at.get(name, -1)
+    positive, unlabelled = _matrix(toxic, places, len(features)), _matrix(any_, places, len(features))
     weights, bias = fit_nnpu(positive, unlabelled, prior)
     scale, shift = 1.0, 0.0
-    if sets[0]:
-        z = np.concatenate((positive @ weights, _matrix(sets[0], features) @ weights)) + bias
+    if clean:
+        z = np.concatenate((positive @ weights, _matrix(clean, places, len(features)) @ weights)) + bias
         scale, shift = _settle(z, np.arange(len(z)) < len(positive))
     else:  # as many of the unlabelled texts are toxic as the prior says
         shift = -float(np.quantile(unlabelled @ weights + bias, 1 - prior, method="midpoint"))
     used = np.abs(weights) > 1e-6
-    return Model(scale * bias + shift, {int(f): float(scale * w) for f, w in zip(features[used], weights[used], strict=True)})
+    return Model(scale * bias + shift, {f: float(scale * w) for f, w, use in zip(features, weights, used, strict=True) if use})
 
 
 def score(text: Column, model: Model) -> Column:
