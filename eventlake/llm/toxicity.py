@@ -127,16 +127,19 @@ def feature_counts(texts: DataFrame, features: Collection[str]) -> DataFrame:
     """(feature, n): in how many rows of ``texts`` (text_) each of the features is; tasks count before they send anything."""
     tables = _tables(features)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         held: Counter[str] = Counter()
         for batch in batches:
-            for text in batch["text_"]:
+            for text in batch.column(0).to_pylist():
                 for kind, some in parts(distinct_words(text)):
                     held.update([kind + x for x in some & tables[kind]])
-        yield pd.DataFrame({"feature": list(held.keys()), "n": np.fromiter(held.values(), np.int64, len(held))}, columns=["feature", "n"])
+        names = [x.encode("utf-8", "surrogatepass") for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["feature", "n"])
 
-    counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInPandas(run, "feature string, n long")
-    return counted.groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInArrow(run, "feature binary, n long")
+    return counted.groupBy(F.decode("feature", "UTF-8").alias("feature")).agg(F.sum("n").alias("n"))
 
 
 def _numbered(samples: list[list[str]]) -> tuple[list[list[np.ndarray]], list[str]]:
