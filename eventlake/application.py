@@ -60,7 +60,7 @@ class Repository:
 
     def _seeds(self, taken: DataFrame, types: Mapping[str, str]) -> DataFrame:
         known = self._application.decode(taken.where(F.col("topic") == self._spec.name))
-        state = F.from_json("state", ", ".join(f"`{n}` {t}" for n, t in types.items()))
+        state = F.from_json("state", ", ".join(f"`{n}` {t}" for n, t in types.items()), snapshots.READ)
         return known.select("originator_id", "originator_version", state.alias("s_")).select("originator_id", "originator_version", "s_.*")
 
     def replay(self, fields: Mapping[str, snapshots.Continued], types: Mapping[str, str], version: int | None = None) -> DataFrame:

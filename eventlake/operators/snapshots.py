@@ -17,6 +17,11 @@ from eventlake.operators.folds import project, span, unbroken
 from eventlake.schema import ProgrammingError
 
 
+#: Times in snapshots keep their microseconds; those written without are read too.
+WRITTEN = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+READ = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"}
+
+
 @dataclass(frozen=True)
 class Continued:
     """A field's aggregate over new events, and how it joins the earlier value."""
@@ -41,7 +46,7 @@ class Continued:
 def take(states: DataFrame, topic: str, class_version: int = 1) -> DataFrame:
     """Snapshots of states: id, version, the time and class they belong to, and the fields as JSON."""
     fields = [c for c in states.columns if c not in ("originator_id", "version")]
-    state = F.to_json(F.struct(*fields, *([F.lit(class_version).alias("class_version")] if class_version > 1 else [])))
+    state = F.to_json(F.struct(*fields, *([F.lit(class_version).alias("class_version")] if class_version > 1 else [])), WRITTEN)
     return states.select("originator_id", F.col("version").alias("originator_version"), F.lit(topic).alias("topic"), state.alias("state"))
 
 
