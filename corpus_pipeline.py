@@ -1,7 +1,11 @@
 """From raw documents to packed training windows, each stage one operator over all rows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents.  Between stages rows are written as Parquet and read again.
+of documents, and further columns of any names stay too.  Between stages rows are written as Parquet
+and read again.  Every stage has a defined result for null and empty texts (they are texts without
+words, and copies of each other), null ids (the largest of all, never labelled), repeated rows (each
+for itself, until deduplication leaves one) and an empty table (an empty result); very long texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.  Null and empty texts have the score of the bias; without labels all stay."""
     return toxicity.keep_clean(docs, _labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays."""
+    """One document of each text stays: of ties the one with the smallest id; null and empty texts are equal."""
     return exact_dedup.keep_one(docs)
 
 
@@ -35,12 +39,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of low quality are thinned towards the target weights; all others stay."""
+    """Documents of low quality are thinned towards the target weights; all others stay.  Without labels all stay."""
     return mixing.thin(docs, mixing.label_domains(_labels(spark, sf_dir)), MIX, protected="high")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training windows."""
+    """The pieces of training windows.  Null and empty texts are the end id alone."""
     return packing.pack(docs)
 
 
