@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training windows.  Null and empty texts are the end id alone."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached_words=500_000)  # beside a JVM that four stages have filled
 
 
 STAGES = [

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlake.llm.memory import released
 from eventlake.llm.tokens import default_path, tokenizer
 from eventlake.plans import scratch
 
@@ -117,13 +118,13 @@ def plan(histogram: dict[int, int], window: int) -> tuple[list[tuple], int]:
     return rows, sequences
 
 
-def _tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, path: str, end_id: int) -> DataFrame:
+def _tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, path: str, end_id: int, cached_words: int) -> DataFrame:
     """A row per document with its checksums of natural pieces, its tail and its counters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), tokenizer(path).encode
+        part, encode = TaskContext.get().partitionId(), tokenizer(path, entries=cached_words).encode
         end, of_length, full, row = np.array([end_id], "<u4").tobytes(), [0] * window, 0, 0
         for batch in batches:
             out = []
@@ -142,7 +143,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, window: int, path: s
 
     # The id goes as text, as pandas has no long that may be null.
     rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    return rows.mapInPandas(run, _ROWS).withColumn("id_", F.col("id_").cast("long"))
+    return rows.mapInPandas(released(run, words=True), _ROWS).withColumn("id_", F.col("id_").cast("long"))
 
 
 def _cut_checksums(rows: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def _cut_checksums(rows: DataFrame) -> DataFrame:
                 crcs.append(zlib.crc32(wide.tobytes()))
             yield batch.drop(columns=["ids_"]).assign(crc_=np.array(crcs, np.int64))
 
-    found = rows.withColumn("id_", F.col("id_").cast("string")).mapInPandas(run, "id_ string, tokens_ long, tail_ int, a_ int, b_ int, sequence_id long, offset long, crc_ long")
+    found = rows.withColumn("id_", F.col("id_").cast("string")).mapInPandas(released(run, words=True), "id_ string, tokens_ long, tail_ int, a_ int, b_ int, sequence_id long, offset long, crc_ long")
     return found.withColumn("id_", F.col("id_").cast("long"))
 
 
@@ -167,10 +168,11 @@ def pack(
     window: int = 2048,
     tokenizer_path: str | None = None,
     end_id: int = 1,
+    cached_words: int = 800_000,
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A worker caches ``cached_words`` words, which the result does not depend on."""
     spark = docs.sparkSession
-    rows = scratch.keep(_tokenised(docs, id_col, text_col, window, tokenizer_path or default_path(), end_id), "pack-rows", batch_rows=2000)
+    rows = scratch.keep(_tokenised(docs, id_col, text_col, window, tokenizer_path or default_path(), end_id, cached_words), "pack-rows", batch_rows=500)
 
     by_part = scratch.keep(rows.groupBy("part_", "tail_").agg(F.count(F.lit(1)).alias("n_"), F.sum(F.expr(f"tokens_ div {window}")).alias("f_")), "pack-counts")
     histogram = {r["tail_"]: r["n_"] for r in by_part.groupBy("tail_").agg(F.sum("n_").alias("n_")).collect()}  # at most `window` rows

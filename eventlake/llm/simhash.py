@@ -43,11 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm.components import components
+from eventlake.llm.memory import released
 from eventlake.plans import scratch
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 14  # counts within it fit 16 bits
 _FEW_BITS = 15
+_SIEVE = 18
 VIEWS, SLICE, _FIRST, _WHOLE_BITS = 20, 4, 4, (61, 80)
 _SMALL, _HELD, _LONG = 16, 32 << 20, 1 << 22
 _WHOLE = ["w0_", "w1_", "w2_", "w3_"]
@@ -269,7 +271,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
             yield pd.DataFrame(out | {w: wholes[:, i] for i, w in enumerate(_WHOLE)} | {"keys_": [k.view(np.int64) for _, k in found]})
 
     wholes = ", ".join(f"{w} long" for w in _WHOLE)
-    found = _rows(docs, id_col, text_col).mapInPandas(run, f"id_ string, mark_ long, size_ long, {wholes}, keys_ array<long>")
+    found = _rows(docs, id_col, text_col).mapInPandas(released(run), f"id_ string, mark_ long, size_ long, {wholes}, keys_ array<long>")
     return found.withColumn("id_", F.col("id_").cast("long"))
 
 
@@ -283,6 +285,20 @@ def _close(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.where(sizes & (differ <= most)).select("u", "v")
 
 
+def _of_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """One of the ``rows`` for each of the distinct ``marks`` (mark_) that has any, without a shuffle of all texts to find few.
+
+    A bitmap of 2**``_SIEVE`` numbers at most is broadcast, whatever the size of the tables; of n marks
+    about n / 2**24 of the other rows pass it and meet the join.  The join is an inner one, as
+    the optimizer would put a semi join below the bitmap.
+    """
+    place = F.col("mark_").bitwiseAND((1 << _SIEVE) - 1)
+    bit = f"shiftleft(1L, int(shiftrightunsigned(mark_, {_SIEVE}) & 63))"
+    bitmap = marks.groupBy(place.alias("place_")).agg(F.bit_or(F.expr(bit)).alias("bits_"))
+    found = rows.join(F.broadcast(bitmap), place == F.col("place_")).where(F.expr(f"bits_ & {bit} <> 0"))
+    return found.drop("place_", "bits_").join(marks, "mark_").dropDuplicates(["mark_"])
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
     """The ``pairs`` (u, v) of marks whose whole texts have a similarity of ``least`` or more."""
 
@@ -309,10 +325,10 @@ def _alike(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, least:
 
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("mark_")).distinct()
     texts = docs.select(mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    texts = scratch.keep(texts.join(nodes, "mark_", "left_semi").dropDuplicates(["mark_"]), "similar-texts")
+    texts = scratch.keep(_of_marks(texts, nodes), "similar-texts")
     of = lambda name: texts.select(F.col("mark_").alias(name), F.col("text_").alias(f"text_{name}"))
     both = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "text_u", "text_v")
-    return scratch.keep(both.mapInPandas(run, "u long, v long"), "similar-edges", batch_rows=1000)
+    return scratch.keep(both.mapInPandas(released(run), "u long, v long"), "similar-edges", batch_rows=1000)
 
 
 def _sets(docs: DataFrame, marks: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -323,8 +339,8 @@ def _sets(docs: DataFrame, marks: DataFrame, text_col: str, words: int) -> DataF
             yield pd.DataFrame({"mark_": batch["mark_"], "set_": [shingles(t, words).tobytes() for t in batch["text_"]]})
 
     texts = docs.select(mark(text_col).alias("mark_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    wanted = texts.join(marks.select("mark_").distinct(), "mark_", "left_semi").dropDuplicates(["mark_"])
-    return scratch.keep(wanted.mapInPandas(run, "mark_ long, set_ binary"), "similar-sets", batch_rows=2000)
+    wanted = _of_marks(texts, marks.select("mark_").distinct())
+    return scratch.keep(wanted.mapInPandas(released(run), "mark_ long, set_ binary"), "similar-sets", batch_rows=2000)
 
 
 def _crossing(members: DataFrame, least: float) -> DataFrame:
@@ -377,7 +393,7 @@ def _crossing(members: DataFrame, least: float) -> DataFrame:
         return edges
 
     rows = members.select("g_", "p_", "q_", "part_", "mark_", "root_", "set_")
-    return rows.repartition("g_", "p_", "q_").sortWithinPartitions("g_", "p_", "q_").mapInPandas(run, "u long, v long")
+    return rows.repartition("g_", "p_", "q_").sortWithinPartitions("g_", "p_", "q_").mapInPandas(released(run), "u long, v long")
 
 
 def _tiles(members: DataFrame, crowd: int) -> DataFrame:

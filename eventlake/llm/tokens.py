@@ -118,6 +118,6 @@ class WordTokenizer:
 
 
 @lru_cache(4)
-def tokenizer(path: str, literal_specials: bool = False) -> WordTokenizer:
+def tokenizer(path: str, literal_specials: bool = False, entries: int = 800_000) -> WordTokenizer:
     """One per Python worker and file."""
-    return WordTokenizer(path, literal_specials)
+    return WordTokenizer(path, literal_specials, entries)

@@ -42,6 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.memory import released
 from eventlake.llm.sample import bounded
 from eventlake.plans import scratch
 
@@ -138,7 +139,7 @@ def feature_counts(texts: DataFrame, features: Collection[str]) -> DataFrame:
         names = [x.encode("utf-8", "surrogatepass") for x in held]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(list(held.values()), pa.int64())], names=["feature", "n"])
 
-    counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInArrow(run, "feature binary, n long")
+    counted = texts.select(F.coalesce("text_", F.lit("")).alias("text_")).mapInArrow(released(run), "feature binary, n long")
     return counted.groupBy(F.decode("feature", "UTF-8").alias("feature")).agg(F.sum("n").alias("n"))
 
 
@@ -230,7 +231,7 @@ def train(
             yield pd.DataFrame({"id_": batch["id_"], "role_": batch["role_"], "words": sets})
 
     with scratch.batches_of(spark, 2000):
-        sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(run, "id_ long, role_ int, words binary").toPandas()
+        sample = rows.join(F.broadcast(chosen), "id_").mapInPandas(released(run), "id_ long, role_ int, words binary").toPandas()
     sample = sample.sort_values(["id_", "role_", "words"], kind="stable").drop_duplicates(["id_", "role_"])
     of_role = [[x.decode("utf-8", "surrogatepass") for x in sample.loc[sample["role_"] == r, "words"]] for r in (2, 1, 0)]
     (toxic, any_, clean), names = _numbered(of_role)
@@ -258,8 +259,8 @@ def score(text: Column, model: Model) -> Column:
     """The score of each whole text, 0 to 1."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts))
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(lambda some: (pd.Series(model.scores(texts)) for texts in some))(batches)
 
     return scored(F.coalesce(text, F.lit("")))
 
